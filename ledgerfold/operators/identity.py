@@ -105,6 +105,8 @@ def blocked_pairs(queries: DataFrame, cands: DataFrame, threshold: float) -> Dat
     unchanged in the query, shifted by at most k.  Joining pieces with query
     substrings is therefore lossless and never forms the cross product.
     """
+    if threshold < 2 / 3:
+        raise ValueError("the piece join is lossless only for thresholds of two thirds and more")
     la, lb = F.length("norm"), F.length("cand")
     c = cands.select(F.col("norm").alias("cand")).distinct().withColumn("lc", lb)
     # lengths a query may have to reach this candidate

@@ -30,7 +30,8 @@ def archetype(cap: str = "multi_entry_max", taxonomy: str = "discovery", size: s
     if taxonomy == "features":
         return first_rule([(c > 1, "MME"), (F.col(size) <= 20, "SE")], "limited")
     if taxonomy == "mart":
-        return first_rule([(c == 1, "single_entry"), (c <= 20, "limited"), (c <= 150, "mass_multi")], "unlimited")
+        return first_rule([(c == 1, "Single Entry"), (c == 3, "3-Max"), (c == 20, "20-Max"), (c == 150, "150-Max"),
+                           (c.between(2, 19), "Limited")], "MME")
     raise ValueError(f"unknown taxonomy {taxonomy}")
 
 

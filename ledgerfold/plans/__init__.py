@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["returns", "features"]
+MODULES = ["returns", "features", "markets", "people", "relational"]
 
 
 def load():

@@ -102,11 +102,11 @@ def _(t):
 
 @query("W03_row_grain_expanding", """
 SELECT player_id, contest_id, round(avg(actual_points) OVER (PARTITION BY player_id ORDER BY date_id, contest_id
-       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS actual_points_exp_mean FROM players""")
+       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 9) AS actual_points_exp_mean FROM players""")
 def _(t):
     d = W.row_expanding_mean(t.players.select("player_id", "date_id", "contest_id", "actual_points"), ["player_id"],
                              ["date_id", "contest_id"], "actual_points")
-    return rounded(d, ["player_id", "contest_id"], ["actual_points_exp_mean"])
+    return rounded(d, ["player_id", "contest_id"], ["actual_points_exp_mean"], 9)
 
 
 @query("W08_ranks", """

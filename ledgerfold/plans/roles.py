@@ -103,10 +103,12 @@ def players(t: Tables) -> DataFrame:
 
 
 def snapshots(t: Tables) -> DataFrame:
-    """Two-sided American quotes: market = (user, event type, day)."""
+    """Two-sided American quotes: market = (user, event type, ten days)."""
     return t.events.select(
-        F.concat_ws("-", F.date_format("ts", "yyyyMMdd"), F.col("user_id"), F.col("event_type")).alias("event_id"),
-        F.date_format("ts", "yyyyMMdd").cast("int").alias("date_id"),
+        F.concat_ws("-", F.date_format("ts", "yyyyMM"), F.expr("(day(ts) - 1) div 10").cast("string"), F.col("user_id"),
+                    F.col("event_type")).alias("event_id"),
+        (F.date_format("ts", "yyyyMM").cast("int") * 100 + 1 + 10 * F.expr("(day(ts) - 1) div 10").cast("int"))
+        .alias("date_id"),
         F.col("ts").alias("snapshot_ts"),
         F.concat(F.lit("book"), (F.get_json_object("props", "$.k").cast("int") % 5).cast("string")).alias("book"),
         F.concat(F.lit("a"), F.col("user_id")).alias("side_a"),
@@ -161,8 +163,8 @@ players AS (
         FROM lineitem GROUP BY 1, 2) m
   JOIN contests c USING (contest_id) JOIN part ON p_partkey = m.player_id),
 snapshots AS (
-  SELECT strftime(ts, '%Y%m%d') || '-' || user_id || '-' || event_type AS event_id,
-         strftime(ts, '%Y%m%d')::INT AS date_id, ts AS snapshot_ts,
+  SELECT strftime(ts, '%Y%m') || '-' || ((day(ts)-1)//10) || '-' || user_id || '-' || event_type AS event_id,
+         (strftime(ts, '%Y%m')::INT*100 + 1 + 10*((day(ts)-1)//10))::INT AS date_id, ts AS snapshot_ts,
          'book' || ((props->>'$.k')::INT % 5) AS book, 'a' || user_id AS side_a, 'b' || user_id AS side_b,
          round(value*20) - 400 AS odds_a, 380 - round(value*20) AS odds_b, event_id AS quote_id
   FROM events)

@@ -1,0 +1,26 @@
+"""Canonical shapes of the domain tables."""
+
+from __future__ import annotations
+
+from pyspark.sql.types import (DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType)
+
+L, I, D, S, TS = LongType(), IntegerType(), DoubleType(), StringType(), TimestampType()
+
+
+def _schema(**cols) -> StructType:
+    return StructType([StructField(k, v) for k, v in cols.items()])
+
+
+CONTESTS = _schema(contest_id=L, date_id=I, contest_date=TS, contest_name=S, entry_cost=D, contest_size=I,
+                   multi_entry_max=I, cash_line=D, total_prizes=D, lineups_complete=I)
+PLAYERS = _schema(player_id=L, contest_id=L, full_name=S, salary=I, ownership=D, actual_points=D)
+LINEUPS = _schema(id=L, contest_id=L, lineup_hash=S, lineup_rank=I, points=D, total_salary=I, total_ownership=D,
+                  min_ownership=D, max_ownership=D, is_cashing=I, payout=D, lineup_percentile=D, user_count=I,
+                  lineup_count=I, favorite_count=I, tossup_count=I, odds_coverage=I, implied_prob_sum=D, own_prob_ratio=D)
+LINEUP_PLAYERS = _schema(lineup_id=L, player_id=L, roster_slot=S)
+LINEUP_USERS = _schema(lineup_id=L, username=S)
+ODDS_RAW = _schema(event_id=S, date_id=I, commence_time=S, fighter_a=S, fighter_b=S, bookmaker_key=S, bookmaker=S,
+                   odds_a=D, odds_b=D, implied_prob_a=D, implied_prob_b=D, line_type=S, snapshot_timestamp=S)
+CANONICAL = _schema(canonical_id=L, canonical_name=S)
+ALIASES = _schema(alias_name=S, alias_source=S, canonical_id=L, confidence=D)
+EVAL_RESULTS = _schema(run_id=S, model=S, metrics=S, config=S)
