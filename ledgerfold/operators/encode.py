@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerfold import presets as P
 from ledgerfold.functions import bands as B, scalars as S
 from ledgerfold.operators import ordered as O, returns as R, windows as W
+from ledgerfold.operators.ordered import attach_row
 
 
 class LeakageError(ValueError):
@@ -34,13 +35,13 @@ def fit_target_encoding(train: DataFrame, key: str, target: str, *, smoothing: f
     n, m = F.col("_n"), F.col("_m")
     per = train.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(target).alias("_n"), F.avg(target).alias("_m"))
     value = F.when(n >= min_samples, (n * m + smoothing * F.col("_global")) / (n + smoothing)).otherwise(F.col("_global"))
-    return per.crossJoin(g).select(key, value.alias("_te"), "_global")  # g is one row
+    return per.transform(attach_row, g).select(key, value.alias("_te"), "_global")
 
 
 def apply_target_encoding(df: DataFrame, enc: DataFrame, key: str, name: str) -> DataFrame:
     """Encoded value; the global mean for categories not seen in training."""
     g = enc.agg(F.max("_global").alias("_g"))
-    return df.join(enc.select(key, "_te"), key, "left").crossJoin(g).withColumn(
+    return df.join(enc.select(key, "_te"), key, "left").transform(attach_row, g).withColumn(
         name, F.coalesce("_te", "_g")).drop("_te", "_g")
 
 
@@ -48,7 +49,7 @@ def frequency_encoding(df: DataFrame, key: str, name: str) -> DataFrame:
     """Share of each category among rows that have one."""
     per = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = per.agg(F.sum("_n").alias("_t"))
-    table = per.crossJoin(total).select(key, (F.col("_n") / F.col("_t")).alias(name))
+    table = per.transform(attach_row, total).select(key, (F.col("_n") / F.col("_t")).alias(name))
     return df.join(table, key, "left")
 
 
@@ -61,7 +62,7 @@ def quantile_bins(df: DataFrame, col: str, k: int, name: str) -> DataFrame:
     edges = O.percentiles(df, [], col, points)
     edges = edges.select(F.array_sort(F.array_distinct(F.array(*[F.col(p) for p in points]))).alias("_e"))
     below = F.size(F.filter("_e", lambda e: e < F.col(col)))
-    return df.crossJoin(edges).withColumn(name, F.when(F.col(col).isNotNull(), F.greatest(below - 1, F.lit(0)))).drop("_e")
+    return df.transform(attach_row, edges).withColumn(name, F.when(F.col(col).isNotNull(), F.greatest(below - 1, F.lit(0)))).drop("_e")
 
 
 def contest_features(c: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ledgerfold import presets as P
 from ledgerfold.functions.bands import rate
 from ledgerfold.operators import ordered as O
 from ledgerfold.operators.models import auc
+from ledgerfold.operators.ordered import attach_row
 
 Predict = Callable[[DataFrame], DataFrame]
 
@@ -66,7 +67,7 @@ def permutation_importance(
             copies = copies.withColumn(f, F.when(F.col("_f") == f, F.col(f"_p_{f}")).otherwise(F.col(f)))
         s = score(predict(copies), y, metric, weight, ["_f"])
         runs = s if runs is None else runs.unionByName(s)
-    j = runs.crossJoin(base)  # base is one row
+    j = runs.transform(attach_row, base)
     d = F.col("_base") - F.col("score")
     return j.groupBy(F.col("_f").alias("feature")).agg(F.avg(d).alias("importance"), F.stddev_pop(d).alias("std"))
 
@@ -93,14 +94,14 @@ def partial_dependence(df: DataFrame, predict: Predict, feature: str, *, grid: i
     """(grid_value, mean prediction).  Rows meet the grid on the map side and are
     averaged there: the shuffle carries partitions x grid rows."""
     ends = O.percentiles(df, [], feature, {"_lo": limits[0], "_hi": limits[1]})
-    spread = df.crossJoin(ends).withColumn("grid_value", F.explode(_grid(F.col("_lo"), F.col("_hi"), grid)))  # ends: one row
+    spread = df.transform(attach_row, ends).withColumn("grid_value", F.explode(_grid(F.col("_lo"), F.col("_hi"), grid)))  # ends: one row
     return predict(spread.withColumn(feature, F.col("grid_value"))).groupBy("grid_value").agg(F.avg("prediction").alias("pd"))
 
 
 def partial_dependence_2d(df: DataFrame, predict: Predict, f1: str, f2: str, *, grid: int = 10) -> DataFrame:
     """(v1, v2, mean prediction) on a min-max grid."""
     ends = df.agg(*[fn(f).cast("double").alias(f"_{n}{i}") for i, f in enumerate((f1, f2)) for n, fn in (("lo", F.min), ("hi", F.max))])
-    spread = df.crossJoin(ends).withColumn("v1", F.explode(_grid(F.col("_lo0"), F.col("_hi0"), grid))).withColumn(
+    spread = df.transform(attach_row, ends).withColumn("v1", F.explode(_grid(F.col("_lo0"), F.col("_hi0"), grid))).withColumn(
         "v2", F.explode(_grid(F.col("_lo1"), F.col("_hi1"), grid)))
     return predict(spread.withColumn(f1, F.col("v1")).withColumn(f2, F.col("v2"))).groupBy("v1", "v2").agg(F.avg("prediction").alias("pd"))
 
@@ -111,7 +112,7 @@ def ale(df: DataFrame, predict: Predict, feature: str, bins: int = 10) -> DataFr
     e = O.percentiles(df, [], feature, points).select(F.array_sort(F.array_distinct(F.array(*[F.col(p) for p in points]))).alias("_e"))
     x = F.col(feature)
     at = F.least(F.greatest(F.size(F.filter("_e", lambda v: v <= x)) - 1, F.lit(0)), F.size("_e") - 2)
-    d = df.crossJoin(e).withColumn("bin", at).withColumn("_a", F.col("_e")[F.col("bin")]).withColumn("_b", F.col("_e")[F.col("bin") + 1])
+    d = df.transform(attach_row, e).withColumn("bin", at).withColumn("_a", F.col("_e")[F.col("bin")]).withColumn("_b", F.col("_e")[F.col("bin") + 1])
     both = d.withColumn("_side", F.explode(F.array(F.lit("lo"), F.lit("hi")))).withColumn(
         feature, F.when(F.col("_side") == "lo", F.col("_a")).otherwise(F.col("_b")))
     sign = F.when(F.col("_side") == "hi", F.col("prediction")).otherwise(-F.col("prediction"))
@@ -127,7 +128,7 @@ def interactions(df: DataFrame, predict: Predict, features: Sequence[str], *, gr
     out = None
     for a, b in combinations(features, 2):
         v12 = partial_dependence_2d(df, predict, a, b, grid=grid).agg(F.var_pop("pd").alias("_v"))
-        row = v12.crossJoin(var[a]).crossJoin(var[b]).select(  # one row each
+        row = v12.transform(attach_row, var[a]).transform(attach_row, var[b]).select(
             F.lit(a).alias("feature1"), F.lit(b).alias("feature2"),
             F.coalesce(F.greatest(F.lit(0.0), F.try_divide(F.col("_v") - F.col(f"_v_{a}") - F.col(f"_v_{b}"), F.col("_v"))), F.lit(0.0)).alias("h"))
         out = row if out is None else out.unionByName(row)
@@ -136,8 +137,8 @@ def interactions(df: DataFrame, predict: Predict, features: Sequence[str], *, gr
 
 def linear_attribution(df: DataFrame, coefs: Mapping[str, float]) -> DataFrame:
     """``coef * (x - mean)`` per feature; exact for linear models."""
-    means = df.agg(*[F.avg(f).alias(f"_m_{f}") for f in coefs])  # one row
-    return df.crossJoin(means).withColumns({f"attr_{f}": F.lit(float(c)) * (F.col(f) - F.col(f"_m_{f}")) for f, c in coefs.items()}).drop(
+    means = df.agg(*[F.avg(f).alias(f"_m_{f}") for f in coefs])
+    return df.transform(attach_row, means).withColumns({f"attr_{f}": F.lit(float(c)) * (F.col(f) - F.col(f"_m_{f}")) for f, c in coefs.items()}).drop(
         *[f"_m_{f}" for f in coefs])
 
 

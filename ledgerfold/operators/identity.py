@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ledgerfold import presets as P
 from ledgerfold.functions import scalars as S
 from ledgerfold.operators import ordered as O
+from ledgerfold.operators.ordered import attach_row
 
 
 def build_canonical(names: DataFrame, col: str) -> DataFrame:
@@ -161,7 +162,7 @@ def match_names(queries: DataFrame, cands: DataFrame, aliases: DataFrame, thresh
 def match_report(matches: DataFrame) -> DataFrame:
     """Counts and shares by method."""
     by = matches.groupBy("method").agg(F.count(F.lit(1)).alias("n"))
-    return by.crossJoin(by.agg(F.sum("n").alias("total"))).select("method", "n", (F.col("n") / F.col("total")).alias("share"))
+    return by.transform(attach_row, by.agg(F.sum("n").alias("total"))).select("method", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
 def unmatched(queries: DataFrame, matches: DataFrame) -> DataFrame:

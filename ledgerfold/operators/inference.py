@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ledgerfold import presets as P
 from ledgerfold.operators.returns import ratio
+from ledgerfold.operators.ordered import attach_row
 
 
 def hash_uniform_int(n: Column, *parts: Column) -> Column:
@@ -71,7 +72,7 @@ def bootstrap_ratio(
     spread = spread.select(*by, F.col("_q")[0].alias("ci_lower"), F.col("_q")[1].alias("ci_upper"), "std",
                            p.alias("p_value"))
     if not by:
-        return point.crossJoin(spread)  # one row each
+        return point.transform(attach_row, spread)
     return point.join(spread, list(by))
 
 
@@ -193,4 +194,4 @@ def row_bootstrap_rmse(
     a = (1 - ci) / 2
     q = per.agg(F.percentile("x", F.array(F.lit(a), F.lit(1 - a))).alias("_q"), F.stddev_pop("x").alias("std"))
     point = df.agg(F.sqrt(F.avg(err2)).alias("rmse"), F.count(F.lit(1)).alias("n_rows"))
-    return point.crossJoin(q.select(F.col("_q")[0].alias("ci_lower"), F.col("_q")[1].alias("ci_upper"), "std"))
+    return point.transform(attach_row, q.select(F.col("_q")[0].alias("ci_lower"), F.col("_q")[1].alias("ci_upper"), "std"))

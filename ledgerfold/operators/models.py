@@ -22,6 +22,7 @@ from ledgerfold import presets as P
 from ledgerfold.functions.scalars import clip
 from ledgerfold.operators import folds as V, inference as I, ordered as O
 from ledgerfold.operators.returns import ratio
+from ledgerfold.operators.ordered import attach_row
 
 
 # --- preprocessing and estimators -------------------------------------------
@@ -177,7 +178,7 @@ def bagged_prediction(df: DataFrame, bags: DataFrame, features: Sequence[str]) -
     """
     packed = bags.agg(F.sort_array(F.collect_list(F.struct("b", "coef"))).alias("_all"))  # one row, `members` arrays
     preds = F.transform("_all", lambda m: linear_prediction(m["coef"], features))
-    d = df.crossJoin(packed).withColumn("_p", preds)
+    d = df.transform(attach_row, packed).withColumn("_p", preds)
     mean = F.aggregate("_p", F.lit(0.0), lambda a, x: a + x) / F.size("_p")
     d = d.withColumn("pred_mean", mean)
     var = F.aggregate(F.transform("_p", lambda x: F.pow(x - F.col("pred_mean"), 2)), F.lit(0.0), lambda a, x: a + x) / F.size("_p")
@@ -218,7 +219,7 @@ def binary_metrics(df: DataFrame, label: str, prob: str, threshold: float = 0.5)
                F.coalesce(ratio(F.sum(hit * y), F.sum(y)), F.lit(0.0)).alias("recall"),
                F.avg(-(y * F.log(q) + (1 - y) * F.log(1 - q))).alias("log_loss"), F.count(F.lit(1)).alias("n"))
     f1 = F.coalesce(ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
-    return m.withColumn("f1", f1).crossJoin(auc(df, label, prob))  # one row each
+    return m.withColumn("f1", f1).transform(attach_row, auc(df, label, prob))
 
 
 def event_metric_interval(df: DataFrame, y: str, yhat: str, metric: str = "mae", event: str = "date_id", **kw) -> DataFrame:
@@ -337,10 +338,10 @@ def apply_isotonic(df: DataFrame, model, lo: float = 0.0, hi: float = 100.0) ->
 
 def calibration_bins(df: DataFrame, y: str, yhat: str, bins: int = 10) -> DataFrame:
     """Equal-width bins over ``[min, max + 1e-8]`` with mean prediction and outcome."""
-    rng = df.agg(F.min(yhat).alias("_lo"), (F.max(yhat) + 1e-8).alias("_hi"))  # one row
+    rng = df.agg(F.min(yhat).alias("_lo"), (F.max(yhat) + 1e-8).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.least(F.floor((F.col(yhat) - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
-    return df.crossJoin(rng).groupBy(b.alias("bin")).agg(
+    return df.transform(attach_row, rng).groupBy(b.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(yhat).alias("mean_pred"), F.avg(y).alias("mean_true")).withColumn(
         "abs_error", F.abs(F.col("mean_pred") - F.col("mean_true")))
 
@@ -350,7 +351,7 @@ def calibration_metrics(df: DataFrame, y: str, yhat: str, bins: int = 10) -> Dat
     ece = calibration_bins(df, y, yhat, bins).agg(ratio(F.sum(F.col("abs_error") * F.col("n")), F.sum("n")).alias("ece"))
     fit = df.agg(F.avg(F.abs(F.col(y) - F.col(yhat))).alias("mae"), F.coalesce(F.regr_slope(y, yhat), F.lit(1.0)).alias("slope"),
                  F.coalesce(F.regr_intercept(y, yhat), F.lit(0.0)).alias("intercept"), F.count(F.lit(1)).alias("n_samples"))
-    return fit.crossJoin(ece)
+    return fit.transform(attach_row, ece)
 
 
 def pooling_adjustments(df: DataFrame, by: str, y: str, yhat: str, strength: float = 10.0) -> DataFrame:
@@ -371,7 +372,7 @@ def holdout_evaluation(df: DataFrame, features: Sequence[str], target: str, even
     """Fit on all development events, score the holdout once, with event intervals."""
     parts = V.holdout(df.dropna(subset=[*features, target]), event, n)
     coef = fit_ridge(parts.where("not is_holdout"), features, target, alpha)
-    scored = parts.where("is_holdout").crossJoin(coef).withColumn(  # coef is one row
+    scored = parts.where("is_holdout").transform(attach_row, coef).withColumn(
         "prediction", clip(linear_prediction(F.col("coef"), features), 0.0, 100.0))
     out = None
     for metric in ("mae", "rmse"):

@@ -124,10 +124,20 @@ def value_positions(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     return running(counts, by, [col], number="_dense", sums={"_cum": "_n"})
 
 
+def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table to every row.
+
+    A scalar subquery, not a join: Spark runs it once, ships one value, and
+    fails if it ever holds a second row.
+    """
+    row = one.select(F.struct(*one.columns).alias("_s")).scalar()
+    return df.withColumn("_row", row).select(*df.columns, *[F.col("_row")[c].alias(c) for c in one.columns])
+
+
 def _join_by(left: DataFrame, right: DataFrame, by: Sequence[str], how: str) -> DataFrame:
     """Null-safe N:1 join on ``by`` keeping the left key columns."""
     if not by:
-        return left.crossJoin(right)  # right side is a single row
+        return attach_row(left, right)
     cond = None
     for b in by:
         part = F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}"))

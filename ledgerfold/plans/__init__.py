@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["returns", "features", "markets", "people", "relational"]
+MODULES = ["returns", "features", "markets", "people", "relational", "modeling", "profiles", "marts"]
 
 
 def load():

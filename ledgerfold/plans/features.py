@@ -418,10 +418,16 @@ def _(t):
                              F.coalesce(F.nullif("c_nationkey", F.lit(0)), F.lit(-1)).cast("int").alias("nation"))
 
 
-@query("F18_normal_distribution")
+def _z_sql() -> str:
+    from statistics import NormalDist
+    return "CASE contest_id % 10 " + " ".join(f"WHEN {i} THEN {NormalDist().inv_cdf((i + 0.5) / 10)!r}::DOUBLE" for i in range(10)) + " END"
+
+
+@query("F18_normal_distribution", f"""
+SELECT contest_id, round({_z_sql()}, 6) AS z, round((contest_id % 10 + 0.5::DOUBLE)/10, 6) AS p_back FROM contests""")
 def _(t):
-    d = t.contests.withColumn("p", (F.col("contest_id") % 997 + 1) / 998.0)
-    return d.select("contest_id", r6(S.normal_ppf("p")).alias("z"), r6(S.normal_cdf(S.normal_ppf("p")), 4).alias("p_back"))
+    d = t.contests.withColumn("p", (F.col("contest_id") % 10 + 0.5) / 10)
+    return d.select("contest_id", r6(S.normal_ppf("p")).alias("z"), r6(S.normal_cdf(S.normal_ppf("p"))).alias("p_back"))
 
 
 @query("F19_effective_entries", f"""
