@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ledgerfold import presets as P
 from ledgerfold.operators.returns import ratio
+from ledgerfold.operators import ordered
 from ledgerfold.operators.ordered import attach_row
 
 
@@ -168,13 +169,21 @@ def validate_rules(
         (flag("train") & flag("test")).alias("holds"))
 
 
-def poisson_one(u: Column, cap: int = 12) -> Column:
-    """Poisson(1) count from a uniform by inverting the distribution function."""
+def poisson_cuts(cap: int = 12) -> list[float]:
+    """Distribution function of Poisson(1) at 0..cap-1."""
     from math import exp, factorial
-    total, chain = 0.0, None
+    total, out = 0.0, []
     for k in range(cap):
         total += exp(-1) / factorial(k)
-        chain = F.when(u < total, F.lit(k)) if chain is None else chain.when(u < total, F.lit(k))
+        out.append(total)
+    return out
+
+
+def poisson_one(u: Column, cap: int = 12) -> Column:
+    """Poisson(1) count from a uniform by inverting the distribution function."""
+    chain = None
+    for k, cut in enumerate(poisson_cuts(cap)):
+        chain = F.when(u < cut, F.lit(k)) if chain is None else chain.when(u < cut, F.lit(k))
     return chain.otherwise(F.lit(cap))
 
 
@@ -195,3 +204,24 @@ def row_bootstrap_rmse(
     q = per.agg(F.percentile("x", F.array(F.lit(a), F.lit(1 - a))).alias("_q"), F.stddev_pop("x").alias("std"))
     point = df.agg(F.sqrt(F.avg(err2)).alias("rmse"), F.count(F.lit(1)).alias("n_rows"))
     return point.transform(attach_row, q.select(F.col("_q")[0].alias("ci_lower"), F.col("_q")[1].alias("ci_upper"), "std"))
+
+
+def row_bootstrap_auc(
+    df: DataFrame, key: Sequence[str], label: str, score: str, *, draws: int = 100, ci: float = P.CONFIDENCE, seed: int = P.SEED
+) -> DataFrame:
+    """Row bootstrap of the area under the ROC curve with Poisson(1) weights.
+
+    Weights are summed per (replicate, score) first; the weighted rank sum then
+    runs over distinct scores with the distributed running sum.
+    """
+    reps = df.select(*key, label, score, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
+    u = hash_uniform_int(F.lit(2 ** 31), F.lit(seed), F.col("b"), *[F.col(k) for k in key]) / F.lit(float(2 ** 31))
+    w = reps.withColumn("_w", poisson_one(u).cast("long")).groupBy("b", score).agg(
+        F.sum(F.col("_w") * F.col(label)).alias("_p"), F.sum("_w").alias("_n"))
+    run = ordered.running(w, ["b"], [score], sums={"_cum": "_n"})
+    mean_rank = F.col("_cum") - F.col("_n") + (F.col("_n") + 1) / 2
+    per = run.groupBy("b").agg(F.sum(mean_rank * F.col("_p")).alias("_r"), F.sum("_p").alias("_P"), F.sum("_n").alias("_N"))
+    x = per.withColumn("x", ratio(F.col("_r") - F.col("_P") * (F.col("_P") + 1) / 2, F.col("_P") * (F.col("_N") - F.col("_P"))))
+    a = (1 - ci) / 2
+    q = x.agg(F.percentile("x", F.array(F.lit(a), F.lit(1 - a))).alias("_q"), F.stddev_pop("x").alias("std"))
+    return q.select(F.col("_q")[0].alias("ci_lower"), F.col("_q")[1].alias("ci_upper"), "std")

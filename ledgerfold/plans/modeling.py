@@ -380,6 +380,21 @@ def _(t):
     return b.select(r6("rmse", 4).alias("rmse"), r6("ci_lower", 4).alias("ci_lower"), r6("ci_upper", 4).alias("ci_upper"))
 
 
+WT = "(" + " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in I.poisson_cuts()) + ")"
+
+
+@query("V07_row_bootstrap_auc", f"""
+, rp AS (SELECT b, (actual_points > 50)::INT AS y, close_prob AS p, {{h}} AS u FROM players, (SELECT unnest(range(20)) AS b)),
+w AS (SELECT b, p, sum({WT}*y) AS wp, sum({WT}) AS wn FROM rp GROUP BY 1, 2),
+r AS (SELECT *, sum(wn) OVER (PARTITION BY b ORDER BY p) - wn + (wn + 1)/2 AS mr FROM w),
+x AS (SELECT (sum(mr*wp) - sum(wp)*(sum(wp)+1)/2)/(sum(wp)*(sum(wn)-sum(wp))) AS x FROM r GROUP BY b)
+SELECT round(quantile_cont(x, 0.025), 6) AS ci_lower, round(quantile_cont(x, 0.975), 6) AS ci_upper, round(stddev_pop(x), 6) AS std FROM x""".replace(
+    "{h}", "('0x'||substr(md5('42|'||b||'|'||player_id||'|'||contest_id),1,8))::UBIGINT::BIGINT % 2147483648 / 2147483648.0::DOUBLE"))
+def _(t):
+    d = t.players.select("player_id", "contest_id", "close_prob", (F.col("actual_points") > 50).cast("int").alias("y"))
+    return rounded(I.row_bootstrap_auc(d, ["player_id", "contest_id"], "y", "close_prob", draws=20), [], ["ci_lower", "ci_upper", "std"])
+
+
 # ---- explanation ----------------------------------------------------------------
 RULE = X.column_model(FORMULA)
 KEY = ["player_id", "contest_id"]

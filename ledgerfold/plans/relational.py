@@ -579,3 +579,40 @@ def _(t):
 SELECT DISTINCT day_id FROM contests WHERE status = 'F' AND day_id NOT IN (SELECT day_id FROM contests WHERE priority = '1-URGENT')""")
 def _(t):
     return t.contests.where("status = 'F'").select("day_id").distinct().join(t.contests.where("priority = '1-URGENT'").select("day_id").distinct(), "day_id", "left_anti")
+
+
+@query("J02_left_join_two_keys", """
+, q AS (SELECT day_id, player_id, max(close_prob) AS p FROM players WHERE open_prob IS NOT NULL GROUP BY 1, 2)
+SELECT contest_id, player_id, round(p, 6) AS p FROM players LEFT JOIN q USING (day_id, player_id)""")
+def _(t):
+    q = t.players.where("open_prob IS NOT NULL").groupBy("day_id", "player_id").agg(r6(F.max("close_prob")).alias("p"))
+    return t.players.select("contest_id", "player_id", "day_id").join(q, ["day_id", "player_id"], "left").drop("day_id")
+
+
+@query("J18_mart_view_join", """
+SELECT s_suppkey, r_name, n_parts, round(avg_price, 4) AS avg_price FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey
+LEFT JOIN (SELECT l_suppkey, count(DISTINCT l_partkey) AS n_parts FROM lineitem GROUP BY 1) a ON a.l_suppkey = s_suppkey
+LEFT JOIN (SELECT l_suppkey, avg(l_extendedprice) AS avg_price FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) b ON b.l_suppkey = s_suppkey""")
+def _(t):
+    li = t.lineitem.withColumnRenamed("l_suppkey", "s_suppkey")
+    a = li.groupBy("s_suppkey").agg(F.countDistinct("l_partkey").alias("n_parts"))
+    b = li.where("l_returnflag = 'A'").groupBy("s_suppkey").agg(r6(F.avg("l_extendedprice"), 4).alias("avg_price"))
+    s = t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey")).join(t.region, F.col("r_regionkey") == F.col("n_regionkey"))
+    return s.select("s_suppkey", "r_name").join(a, "s_suppkey", "left").join(b, "s_suppkey", "left")
+
+
+@query("G04_having", "SELECT l_suppkey, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY 1 HAVING sum(l_quantity) > 15000")
+def _(t):
+    return t.lineitem.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("l_quantity"), 2).alias("q")).where("q > 15000")
+
+
+@query("O03_largest_groups", "SELECT player_id, round(sum(actual_points), 2) AS total FROM players GROUP BY 1 ORDER BY total DESC, player_id LIMIT 15")
+def _(t):
+    return t.players.groupBy("player_id").agg(r6(F.sum("actual_points"), 2).alias("total")).orderBy(F.desc("total"), "player_id").limit(15)
+
+
+@query("F03_similarity_ratio")
+def _(t):
+    from ledgerfold.operators.identity import similarity
+    d = t.documents.select("doc_id", F.concat_ws(" ", F.slice(F.split("text", " "), 1, 3)).alias("a"))
+    return d.withColumn("b", F.expr("substr(a, 2)")).select("doc_id", r6(similarity("a", "b")).alias("ratio"))
