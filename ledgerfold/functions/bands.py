@@ -20,22 +20,22 @@ def no_nan(c: Column | str) -> Column:
 
 
 def _ladder(col: Column | str, edges: Sequence[float], values: Sequence, closed: str, include_lowest: bool) -> Column:
+    """One comparison per edge, in rising order: a row leaves at its interval."""
     if len(values) != len(edges) - 1:
         raise ValueError("need one label fewer than edges")
-    x = _col(col)
-    chain = None
-    for i, value in enumerate(values):
-        lo, hi = edges[i], edges[i + 1]
-        if closed == "right":
-            above = (x >= lo) if (include_lowest and i == 0) else (x > lo)
-            below = F.lit(True) if hi == INF else (x <= hi)
-        elif closed == "left":
-            above, below = x >= lo, (F.lit(True) if hi == INF else (x < hi))
-        else:
-            raise ValueError("closed must be 'right' or 'left'")
-        cond = above & below & ~F.isnan(x.cast("double"))
-        chain = F.when(cond, F.lit(value)) if chain is None else chain.when(cond, F.lit(value))
-    return chain
+    if closed not in ("right", "left"):
+        raise ValueError("closed must be 'right' or 'left'")
+    x, none = _col(col), F.lit(None)
+    right = closed == "right"
+    below = (lambda e: x <= e) if right else (lambda e: x < e)
+    chain = F.when(x.isNull() | F.isnan(x.cast("double")), none)
+    if edges[0] != -INF:
+        chain = chain.when(x < edges[0] if right and include_lowest else below(edges[0]), none)
+    for hi, value in zip(edges[1:], values):
+        if hi == INF:
+            return chain.otherwise(F.lit(value))
+        chain = chain.when(below(hi), F.lit(value))
+    return chain.otherwise(none)
 
 
 def band(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ledgerfold import presets as P
-from ledgerfold.operators.returns import ratio
+from ledgerfold.operators.returns import ratio, unpivot_keys
 from ledgerfold.operators import ordered
 from ledgerfold.operators.ordered import attach_row
 
@@ -87,11 +87,7 @@ def roi_interval(
 
 def unpivot_dims(df: DataFrame, dims: Mapping[str, str], keep: Sequence[str]) -> DataFrame:
     """Each row once per (analysis, bucket) it falls into."""
-    pairs = F.array(*[F.struct(F.lit(a).alias("analysis"), F.col(c).cast("string").alias("bucket"))
-                      for a, c in dims.items()])
-    return df.select(*keep, F.explode(pairs).alias("_d")).select(
-        F.col("_d.analysis").alias("analysis"), F.col("_d.bucket").alias("bucket"), *keep
-    ).where(F.col("bucket").isNotNull())
+    return unpivot_keys(df, {a: [c] for a, c in dims.items()}, keep).withColumnRenamed("k0", "bucket")
 
 
 def all_dimension_intervals(

@@ -52,6 +52,17 @@ def _same(left: str, right: str, by: Sequence[str]) -> Column:
     return cond
 
 
+def with_carry(parts: DataFrame, carry: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Attach the carry columns by (partition, group).
+
+    Only a group that continues from an earlier partition has a carry row, so
+    the broadcast table has at most one row per range partition.
+    """
+    extra = [c for c in carry.columns if c not in {PART, *by}]
+    return parts.alias("l").join(F.broadcast(carry.alias("r")), _same("l", "r", by), "left").select(
+        "l.*", *[F.col(f"r.{c}") for c in extra])
+
+
 def running(
     df: DataFrame,
     by: Sequence[str],
@@ -99,19 +110,17 @@ def running(
         *[F.max(f"_c_{n}").over(before).alias(f"_c_{n}") for n in maxima],
     ).where(F.col("_c_rows").isNotNull())
 
-    left, right = out.alias("l"), F.broadcast(carry).alias("r")
-    joined = left.join(right, _same("l", "r", by), "left")
+    joined = with_carry(out, carry, by)
     made = {}
     if number:
-        made[number] = F.col(f"l.{number}") + F.coalesce(F.col("r._c_rows"), F.lit(0))
+        made[number] = F.col(number) + F.coalesce(F.col("_c_rows"), F.lit(0))
     for name in sums:
-        made[name] = F.when(
-            F.col(f"l.{name}").isNull() & F.col(f"r._c_{name}").isNull(), None
-        ).otherwise(F.coalesce(F.col(f"l.{name}"), F.lit(0)) + F.coalesce(F.col(f"r._c_{name}"), F.lit(0)))
+        made[name] = F.when(F.col(name).isNotNull() | F.col(f"_c_{name}").isNotNull(),
+                            F.coalesce(F.col(name), F.lit(0)) + F.coalesce(F.col(f"_c_{name}"), F.lit(0)))
     for name in maxima:
-        made[name] = F.greatest(F.col(f"l.{name}"), F.col(f"r._c_{name}"))
+        made[name] = F.greatest(F.col(name), F.col(f"_c_{name}"))
     kept = [c for c in df.columns if c not in made]
-    return joined.select(*[F.col(f"l.{c}") for c in kept], *[v.alias(k) for k, v in made.items()])
+    return joined.select(*kept, *[v.alias(k) for k, v in made.items()])
 
 
 def value_positions(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:

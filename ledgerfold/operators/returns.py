@@ -95,30 +95,46 @@ def roi_table(df: DataFrame, by: Sequence[str], **cols: str) -> DataFrame:
     return df.groupBy(*by).agg(*roi_aggs(**cols))
 
 
+def unpivot_keys(df: DataFrame, dims: Mapping[str, Sequence[str]], keep: Sequence[str], name: str = "analysis") -> DataFrame:
+    """Each row once per analysis, with that analysis' key columns as ``k0, k1, ...``.
+
+    Only small integers are exploded; names and keys are picked by CASE, so the
+    copies carry no arrays or structs and the following aggregate has a narrow
+    key.  Copies are combined before the shuffle, which then holds buckets, not
+    rows.  Rows without a bucket in an analysis are left out of it.
+    """
+    width = max(len(ks) for ks in dims.values())
+    columns = list(dict.fromkeys(k for ks in dims.values() for k in ks))
+    copies = df.select(*dict.fromkeys([*keep, *columns]), F.explode(F.array(*[F.lit(i) for i in range(len(dims))])).alias("_a"))
+    a, picks, lacking = F.col("_a"), [], F.lit(False)
+    for pos in range(width):
+        chain, has = None, []
+        for c in columns:
+            ids = [i for i, ks in enumerate(dims.values()) if len(ks) > pos and ks[pos] == c]
+            if ids:
+                has += ids
+                value = F.col(c).cast("string")
+                chain = F.when(a.isin(ids), value) if chain is None else chain.when(a.isin(ids), value)
+        picks.append(chain.alias(f"k{pos}"))
+        lacking = lacking | (a.isin(has) & F.col(f"k{pos}").isNull())
+    label = None
+    for i, n in enumerate(dims):
+        label = F.when(a == i, F.lit(n)) if label is None else label.when(a == i, F.lit(n))
+    return copies.select(*keep, "_a", label.alias(name), *picks).where(~lacking).drop("_a")
+
+
 def roi_tables(df: DataFrame, dims: Mapping[str, Sequence[str]], **cols: str) -> DataFrame:
     """Many ROI tables from one scan: ``{analysis: [key, ...]}`` -> long table.
 
-    All analyses come out of one GROUPING SETS aggregate; buckets of a
-    multi-key analysis are joined with `` / ``.
+    Buckets of a multi-key analysis are joined with `` / ``.
     """
-    keys = list(dict.fromkeys(k for ks in dims.values() for k in ks))
-    sets = [[F.col(k) for k in ks] for ks in dims.values()]
-    flags = [F.grouping(k).alias(f"_g_{k}") for k in keys]
-    out = df.groupingSets(sets, *[F.col(k) for k in keys]).agg(*roi_aggs(**cols), *flags)
+    need = [cols.get("payout", "payout"), cols.get("cost", "cost"), cols.get("weight", "user_count"),
+            cols.get("percentile", "lineup_percentile")]
+    long = unpivot_keys(df, dims, need)
+    keys = [c for c in long.columns if c not in {*need, "analysis"}]
+    out = long.groupBy("analysis", *keys).agg(*roi_aggs(**cols))
     metrics = ["n_lineups", "n_entries", "weighted_roi", "top1pct_rate", "cash_rate"]
-    analysis, bucket, keep = None, None, None
-    for name, ks in dims.items():
-        hit = F.lit(True)
-        for k in keys:
-            hit = hit & (F.col(f"_g_{k}") == (0 if k in ks else 1))
-        label = F.concat_ws(" / ", *[F.col(k).cast("string") for k in ks])
-        valid = hit
-        for k in ks:
-            valid = valid & F.col(k).isNotNull()
-        analysis = F.when(hit, F.lit(name)) if analysis is None else analysis.when(hit, F.lit(name))
-        bucket = F.when(hit, label) if bucket is None else bucket.when(hit, label)
-        keep = valid if keep is None else keep | valid
-    return out.where(keep).select(analysis.alias("analysis"), bucket.alias("bucket"), *metrics)
+    return out.select("analysis", F.concat_ws(" / ", *keys).alias("bucket"), *metrics)
 
 
 #: The one-dimensional tables and cross-tabs of a full discovery run.

@@ -149,10 +149,23 @@ def position_in_group(
 
 
 def equity_curve(df: DataFrame, by: Sequence[str], order: Sequence[str], pnl: str) -> DataFrame:
-    """Cumulative return, running peak and drawdown, for any number of rows."""
-    eq = ordered.running(df, by, order, sums={"equity": F.col(pnl)})
-    top = ordered.running(eq, by, order, maxima={"peak": F.col("equity")})
-    return top.withColumn("drawdown", F.col("peak") - F.col("equity"))
+    """Cumulative return, running peak and drawdown, for any number of rows.
+
+    One range partitioning serves both: a partition's peak is its local peak
+    lifted by the return carried in, or the highest peak before it.
+    """
+    parts = ordered.range_parts(df, by, order)
+    local = Window.partitionBy(ordered.PART, *by).orderBy(*ordered.sort_columns(order)).rowsBetween(Window.unboundedPreceding, 0)
+    inner = parts.withColumn("_eq", F.sum(pnl).over(local)).withColumn("_pk", F.max("_eq").over(local))
+    totals = inner.groupBy(ordered.PART, *by).agg(F.sum(pnl).alias("_t"), F.max("_pk").alias("_m"))
+    before = Window.partitionBy(*by).orderBy(ordered.PART).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.withColumn("_cs", F.sum("_t").over(before))
+    carry = carry.withColumn("_cp", F.max(F.col("_m") + F.coalesce("_cs", F.lit(0.0))).over(before))
+    carry = carry.where("_cs IS NOT NULL").select(ordered.PART, *by, "_cs", "_cp")
+    return ordered.with_carry(inner, carry, by).withColumns({
+        "equity": F.col("_eq") + F.coalesce("_cs", F.lit(0.0)),
+        "peak": F.greatest(F.col("_pk") + F.coalesce("_cs", F.lit(0.0)), F.col("_cp")),
+    }).withColumn("drawdown", F.col("peak") - F.col("equity")).select(*df.columns, "equity", "peak", "drawdown")
 
 
 # --- fractional differencing ----------------------------------------------

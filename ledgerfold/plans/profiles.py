@@ -70,9 +70,8 @@ PERF_DIMS = ["salary_band", "own_band", "prob_tier", "move_dir", "fav_dog", "cla
 
 def profile_long(df, dims):
     """The twelve-metric profile of many dimensions from one exploded pass."""
-    arr = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")) for d in dims])
     cols = ["actual_points", "actual_ownership", "salary", "salary_value", "is_ceiling", "is_smash", "is_dud", "close_prob"]
-    long = df.select(*cols, F.explode(arr).alias("x")).select(*cols, "x.*").where("value IS NOT NULL")
+    long = R.unpivot_keys(df, {d: [d] for d in dims}, cols, "dim").withColumnRenamed("k0", "value")
     return R.profile(long, ["dim", "value"])
 
 
@@ -115,9 +114,8 @@ E_DIMS = ["weight_class", "move_dir", "prob_band", "class_tier"]
 SELECT archetype, dim, bucket AS "value", count(*) AS n, round(avg(actual_points), 6) AS avg_points, round(avg(ownership), 6) AS avg_own, round(avg(is_ceiling), 6) AS ceiling_rate,
        round(avg(is_dud), 6) AS dud_rate, count(*) < 50 AS small_sample FROM l GROUP BY 1, 2, 3""")
 def _(t):
-    arr = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("value")) for d in E_DIMS])
-    long = member_panel(t).select("archetype", "actual_points", "ownership", "is_ceiling", "is_dud", F.explode(arr).alias("x")).select(
-        "archetype", "x.*", "actual_points", "ownership", "is_ceiling", "is_dud").where("value IS NOT NULL")
+    long = R.unpivot_keys(member_panel(t), {d: [d] for d in E_DIMS}, ["archetype", "actual_points", "ownership", "is_ceiling", "is_dud"],
+                          "dim").withColumnRenamed("k0", "value")
     g = long.groupBy("archetype", "dim", "value").agg(F.count(F.lit(1)).alias("n"), F.avg("actual_points").alias("avg_points"), F.avg("ownership").alias("avg_own"),
                                                      F.avg("is_ceiling").alias("ceiling_rate"), F.avg("is_dud").alias("dud_rate"))
     return rounded(g, ["archetype", "dim", "value", "n"], ["avg_points", "avg_own", "ceiling_rate", "dud_rate"]).withColumn("small_sample", F.col("n") < 50)

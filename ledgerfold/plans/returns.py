@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerfold import presets as P
-from ledgerfold.functions.bands import apply_band, rate
+from ledgerfold.functions.bands import apply_band
 from ledgerfold.operators import inference as I, returns as R
 from ledgerfold.plans.registry import query, r6
 
@@ -217,11 +217,8 @@ SELECT arch, analysis, bucket, round(sum(CASE WHEN c > 0 THEN p/c*n END)/sum(CAS
 FROM c1 GROUP BY ALL""")
 def _(t):
     e = t.entries.withColumn("arch", R.archetype(taxonomy="study"))
-    for n, (x, spec) in STUDY.items():
-        e = e.withColumn(f"_b_{n}", apply_band(x, spec))
-    long = e.select("arch", "contest_id", "payout", "entry_fee", "points", "cost", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("analysis"), F.col(f"_b_{n}").alias("bucket")) for n in STUDY])).alias("d")).select(
-        "arch", "d.*", "contest_id", "payout", "entry_fee", "points", "cost").where(F.col("bucket").isNotNull())
+    e = e.withColumns({f"_b_{n}": apply_band(x, spec) for n, (x, spec) in STUDY.items()})
+    long = I.unpivot_dims(e, {n: f"_b_{n}" for n in STUDY}, ["arch", "contest_id", "payout", "entry_fee", "points", "cost"])
     out = R.contest_mean_roi(long, ["arch", "analysis", "bucket"], cost="entry_fee", extra=[
         F.sum((F.col("payout") > F.col("cost")).cast("long")).alias("cashed"), F.sum("points").alias("pts")])
     return out.select("arch", "analysis", "bucket", r6("roi", 4).alias("roi"), "n_lineups",

@@ -12,6 +12,8 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, functions as F
 
+from ledgerfold.session import spread
+
 if TYPE_CHECKING:
     from ledgerfold.plans.registry import Tables
 
@@ -54,7 +56,7 @@ def entries(t: Tables) -> DataFrame:
     """One row per line item: payout, cost and weight with the set's features."""
     x = F.col("l_extendedprice")
     gate = F.col("l_suppkey") % 10 != 0
-    li = t.lineitem.select(
+    li = spread(t.lineitem).select(
         F.col("l_orderkey").alias("contest_id"),
         F.col("l_partkey").alias("part_id"),
         F.col("l_suppkey").alias("supp_id"),
