@@ -34,11 +34,11 @@ def event_sums(df: DataFrame, by: Sequence[str], event: str, sums: Mapping[str,
 def draw_counts(sizes: DataFrame, draws: int, seed: int) -> DataFrame:
     """How often position ``pos`` is drawn in replicate ``b`` among ``n_events``."""
     reps = sizes.select("n_events").distinct().select(
-        "n_events", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
-    shots = reps.select("n_events", "b", F.explode(F.sequence(F.lit(0), F.col("n_events").cast("int") - 1)).alias("j"))
-    pos = hash_uniform_int(F.col("n_events"), F.lit(seed), F.col("b"), F.col("j"))
-    return shots.select("n_events", "b", pos.alias("pos")).groupBy("n_events", "b", "pos").agg(
-        F.count(F.lit(1)).alias("times"))
+        "n_events", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_rep"))
+    shots = reps.select("n_events", "_rep", F.explode(F.sequence(F.lit(0), F.col("n_events").cast("int") - 1)).alias("_j"))
+    pos = hash_uniform_int(F.col("n_events"), F.lit(seed), F.col("_rep"), F.col("_j"))
+    return shots.select("n_events", "_rep", pos.alias("_pos")).groupBy("n_events", "_rep", "_pos").agg(
+        F.count(F.lit(1)).alias("_times"))
 
 
 def bootstrap_ratio(
@@ -53,13 +53,13 @@ def bootstrap_ratio(
     order = Window.partitionBy(*by).orderBy(event)
     whole = Window.partitionBy(*by)
     ranked = sums.select(
-        *by, num, den, "n_rows", (F.row_number().over(order) - 1).cast("long").alias("pos"),
+        *by, num, den, "n_rows", (F.row_number().over(order) - 1).cast("long").alias("_pos"),
         F.count(F.lit(1)).over(whole).alias("n_events"))
     point = ranked.groupBy(*by).agg(
         ratio(F.sum(num), F.sum(den)).alias("point_estimate"), F.count(F.lit(1)).alias("n_events"),
         F.sum("n_rows").alias("n_samples"))
-    times = F.col("times") if with_multiplicity else F.lit(1)
-    stat = ranked.join(draw_counts(ranked, draws, seed), ["n_events", "pos"]).groupBy(*by, "b").agg(
+    times = F.col("_times") if with_multiplicity else F.lit(1)
+    stat = ranked.join(draw_counts(ranked, draws, seed), ["n_events", "_pos"]).groupBy(*by, "_rep").agg(
         F.sum(F.col(num) * times).alias("_n"), F.sum(F.col(den) * times).alias("_d"))
     stat = stat.withColumn("x", F.when(F.col("_d") > 0, F.col("_n") / F.col("_d")).otherwise(0.0))
     a = (1 - ci) / 2
@@ -192,9 +192,9 @@ def row_bootstrap_rmse(
     shuffle carries partitions x draws rows, not rows x draws.
     """
     err2 = F.pow(F.col(y) - F.col(yhat), 2)
-    reps = df.select(*key, err2.alias("_e"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
-    u = hash_uniform_int(F.lit(2 ** 31), F.lit(seed), F.col("b"), *[F.col(k) for k in key]) / F.lit(float(2 ** 31))
-    per = reps.withColumn("_w", poisson_one(u)).groupBy("b").agg(
+    reps = df.select(*key, err2.alias("_e"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_rep"))
+    u = hash_uniform_int(F.lit(2 ** 31), F.lit(seed), F.col("_rep"), *[F.col(k) for k in key]) / F.lit(float(2 ** 31))
+    per = reps.withColumn("_w", poisson_one(u)).groupBy("_rep").agg(
         F.sqrt(ratio(F.sum(F.col("_e") * F.col("_w")), F.sum("_w"))).alias("x"))
     a = (1 - ci) / 2
     q = per.agg(F.percentile("x", F.array(F.lit(a), F.lit(1 - a))).alias("_q"), F.stddev_pop("x").alias("std"))
@@ -210,13 +210,13 @@ def row_bootstrap_auc(
     Weights are summed per (replicate, score) first; the weighted rank sum then
     runs over distinct scores with the distributed running sum.
     """
-    reps = df.select(*key, label, score, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
-    u = hash_uniform_int(F.lit(2 ** 31), F.lit(seed), F.col("b"), *[F.col(k) for k in key]) / F.lit(float(2 ** 31))
-    w = reps.withColumn("_w", poisson_one(u).cast("long")).groupBy("b", score).agg(
+    reps = df.select(*key, label, score, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_rep"))
+    u = hash_uniform_int(F.lit(2 ** 31), F.lit(seed), F.col("_rep"), *[F.col(k) for k in key]) / F.lit(float(2 ** 31))
+    w = reps.withColumn("_w", poisson_one(u).cast("long")).groupBy("_rep", score).agg(
         F.sum(F.col("_w") * F.col(label)).alias("_p"), F.sum("_w").alias("_n"))
-    run = ordered.running(w, ["b"], [score], sums={"_cum": "_n"})
+    run = ordered.running(w, ["_rep"], [score], sums={"_cum": "_n"})
     mean_rank = F.col("_cum") - F.col("_n") + (F.col("_n") + 1) / 2
-    per = run.groupBy("b").agg(F.sum(mean_rank * F.col("_p")).alias("_r"), F.sum("_p").alias("_P"), F.sum("_n").alias("_N"))
+    per = run.groupBy("_rep").agg(F.sum(mean_rank * F.col("_p")).alias("_r"), F.sum("_p").alias("_P"), F.sum("_n").alias("_N"))
     x = per.withColumn("x", ratio(F.col("_r") - F.col("_P") * (F.col("_P") + 1) / 2, F.col("_P") * (F.col("_N") - F.col("_P"))))
     a = (1 - ci) / 2
     q = x.agg(F.percentile("x", F.array(F.lit(a), F.lit(1 - a))).alias("_q"), F.stddev_pop("x").alias("std"))

@@ -163,11 +163,11 @@ def bagged_ridge(
     cols = _gram_cols(k)
     per = event_gram(df, features, target, event)
     w = Window.partitionBy(F.lit(1)).orderBy(event)  # one row per date
-    ranked = per.withColumn("pos", (F.row_number().over(w) - 1).cast("long")).withColumn(
+    ranked = per.withColumn("_pos", (F.row_number().over(w) - 1).cast("long")).withColumn(
         "n_events", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
     draws = I.draw_counts(ranked, members, seed)
-    g = ranked.join(draws, ["n_events", "pos"]).groupBy("b").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in cols])
-    return g.select("b", solve_ridge(k, alpha)(F.array(*cols)).alias("coef"))
+    g = ranked.join(draws, ["n_events", "_pos"]).groupBy("_rep").agg(*[F.sum(F.col(c) * F.col("_times")).alias(c) for c in cols])
+    return g.select("_rep", solve_ridge(k, alpha)(F.array(*cols)).alias("coef"))
 
 
 def bagged_prediction(df: DataFrame, bags: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -176,7 +176,7 @@ def bagged_prediction(df: DataFrame, bags: DataFrame, features: Sequence[str]) -
     The member coefficients are ``members`` short arrays packed into one row;
     each data row evaluates them in place.
     """
-    packed = bags.agg(F.sort_array(F.collect_list(F.struct("b", "coef"))).alias("_all"))  # one row, `members` arrays
+    packed = bags.agg(F.sort_array(F.collect_list(F.struct("_rep", "coef"))).alias("_all"))  # one row, `members` arrays
     preds = F.transform("_all", lambda m: linear_prediction(m["coef"], features))
     d = df.transform(attach_row, packed).withColumn("_p", preds)
     mean = F.aggregate("_p", F.lit(0.0), lambda a, x: a + x) / F.size("_p")

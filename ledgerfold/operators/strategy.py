@@ -57,15 +57,15 @@ def expected_max_sharpe(trials: Column) -> Column:
     return (1 - EULER_GAMMA) * normal_ppf(1 - 1 / n) + EULER_GAMMA * normal_ppf(1 - 1 / (n * e))
 
 
-def deflated_sharpe(s: str, trials: str | Column, skew: str | Column = F.lit(0.0), kurt: str | Column = F.lit(3.0),
+def deflated_sharpe(s: str, trials: str | Column, skew: str | Column | None = None, kurt: str | Column | None = None,
                     variant: str = "divided") -> Column:
     """Probability that the Sharpe beats the best of ``trials`` unskilled ones.
 
     ``divided`` divides the variance by trials-1, ``undivided`` does not.
     """
     x, n = F.col(s), F.col(trials) if isinstance(trials, str) else trials
-    sk = F.col(skew) if isinstance(skew, str) else skew
-    ku = F.col(kurt) if isinstance(kurt, str) else kurt
+    pick = lambda c, default: F.lit(default) if c is None else F.col(c) if isinstance(c, str) else c
+    sk, ku = pick(skew, 0.0), pick(kurt, 3.0)
     var = 1 + 0.5 * x * x - sk * x + (ku - 3) / 4 * x * x
     if variant == "divided":
         var = var / F.greatest(n - 1, F.lit(1))

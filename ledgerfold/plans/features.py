@@ -14,7 +14,11 @@ PANEL = """
 , pan AS (SELECT player_id, date_id, avg(ownership) AS own, avg(actual_points) AS pts, min(contest_date) AS ts
           FROM players GROUP BY 1, 2)
 """
-TL = timeline = W.timeline(["player_id"], "date_id")
+
+
+def line():
+    """Window over the (player, date) panel."""
+    return W.timeline(["player_id"], "date_id")
 
 
 def panel(t):
@@ -34,8 +38,8 @@ _W = "OVER (PARTITION BY player_id ORDER BY date_id)"
 SELECT player_id, date_id, round(lag(own, 1) {_W}, 6) AS own_lag1, round(lag(own, 2) {_W}, 6) AS own_lag2,
        round(coalesce(lag(pts, 1) {_W}, 0), 6) AS pts_lag1 FROM pan""")
 def _(t):
-    d = W.lags(panel(t), ["own"], [1, 2], TL)
-    return rounded(W.lags(d, ["pts"], [1], TL, fill=0.0), _K, ["own_lag1", "own_lag2", "pts_lag1"])
+    d = W.lags(panel(t), ["own"], [1, 2], line())
+    return rounded(W.lags(d, ["pts"], [1], line(), fill=0.0), _K, ["own_lag1", "own_lag2", "pts_lag1"])
 
 
 _R3 = "OVER (PARTITION BY player_id ORDER BY date_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)"
@@ -49,8 +53,8 @@ SELECT player_id, date_id, round(avg(own) {_R3}, 6) AS own_roll3_mean, round(max
        CASE WHEN count(pts) {_R5} >= 2 THEN round(stddev_samp(pts) {_R5}, 6) END AS pts_roll5_std,
        CASE WHEN count(pts) {_R5} >= 2 THEN round(sum(pts) {_R5}, 6) END AS pts_roll5_sum FROM pan""")
 def _(t):
-    d = W.rolling(panel(t), ["own"], [3], TL, aggs=("mean", "max", "median"))
-    d = W.rolling(d, ["pts"], [5], TL, aggs=("std", "sum"), min_periods=2)
+    d = W.rolling(panel(t), ["own"], [3], line(), aggs=("mean", "max", "median"))
+    d = W.rolling(d, ["pts"], [5], line(), aggs=("std", "sum"), min_periods=2)
     return rounded(d, _K, ["own_roll3_mean", "own_roll3_max", "own_roll3_median", "pts_roll5_std", "pts_roll5_sum"])
 
 
@@ -58,21 +62,21 @@ def _(t):
 SELECT player_id, date_id, round(avg(own) {_RX}, 6) AS own_exp_mean, round(min(pts) {_RX}, 6) AS pts_exp_min,
        round(max(pts) {_RX}, 6) AS pts_exp_max FROM pan""")
 def _(t):
-    d = W.expanding(W.expanding(panel(t), ["own"], TL), ["pts"], TL, aggs=("min", "max"))
+    d = W.expanding(W.expanding(panel(t), ["own"], line()), ["pts"], line(), aggs=("min", "max"))
     return rounded(d, _K, ["own_exp_mean", "pts_exp_min", "pts_exp_max"])
 
 
 @query("W04_diff", PANEL + f"""
 SELECT player_id, date_id, round(pts - lag(pts, 1) {_W}, 6) AS pts_diff1, round(pts - lag(pts, 3) {_W}, 6) AS pts_diff3 FROM pan""")
 def _(t):
-    return rounded(W.diffs(panel(t), ["pts"], [1, 3], TL), _K, ["pts_diff1", "pts_diff3"])
+    return rounded(W.diffs(panel(t), ["pts"], [1, 3], line()), _K, ["pts_diff1", "pts_diff3"])
 
 
 @query("W05_pct_change", PANEL + f"""
 SELECT player_id, date_id, CASE WHEN lag(own) {_W} <> 0 THEN round((own - lag(own) {_W})/lag(own) {_W}, 6) + 0.0::DOUBLE END AS own_pct1
 FROM pan""")
 def _(t):
-    return rounded(W.pct_changes(panel(t), ["own"], [1], TL), _K, ["own_pct1"])
+    return rounded(W.pct_changes(panel(t), ["own"], [1], line()), _K, ["own_pct1"])
 
 
 @query("W06_prior_row_count", """
@@ -87,7 +91,7 @@ def _(t):
 SELECT player_id, date_id, floor((epoch(ts) - epoch(lag(ts) {_W}))/86400)::BIGINT AS days_since_last,
        (row_number() {_W} - 1)::INT AS n_prior FROM pan""")
 def _(t):
-    return W.recency(panel(t), "ts", TL).select(*_K, "days_since_last", F.col("n_prior").cast("int").alias("n_prior"))
+    return W.recency(panel(t), "ts", line()).select(*_K, "days_since_last", F.col("n_prior").cast("int").alias("n_prior"))
 
 
 @query("W01_row_grain_lags", """
@@ -186,7 +190,7 @@ def _ffd_case(d, thr, col="own"):
 SELECT player_id, date_id, round({_ffd_case(0.4, 0.02)[1]}, 6) AS own_fd FROM pan
 WINDOW w AS (PARTITION BY player_id ORDER BY date_id)""")
 def _(t):
-    return rounded(W.frac_diff(panel(t), "own", TL, 0.4, 0.02), _K, ["own_fd"])
+    return rounded(W.frac_diff(panel(t), "own", line(), 0.4, 0.02), _K, ["own_fd"])
 
 
 def daily(t):

@@ -263,13 +263,13 @@ def _(t):
     return s.select("trial", "params", r6("cv_rmse", 4).alias("cv_rmse"))
 
 
-FORMULA = 60 * F.col("close_prob") + 0.5 * F.col("ownership") + F.col("close_prob") * F.col("ownership") / 10
+FORMULA = "60 * close_prob + 0.5D * ownership + close_prob * ownership / 10"
 FSQL = "(60*close_prob + 0.5::DOUBLE*ownership + close_prob*ownership/10)"
 PRED = f", pr AS (SELECT *, least(greatest({FSQL}, 0), 100) AS prediction FROM players)"
 
 
 def predicted(t):
-    return M.clipped(t.players.withColumn("prediction", FORMULA))
+    return M.clipped(t.players.withColumn("prediction", F.expr(FORMULA)))
 
 
 @query("M06_regression_metrics", PRED + """
@@ -396,7 +396,13 @@ def _(t):
 
 
 # ---- explanation ----------------------------------------------------------------
-RULE = X.column_model(FORMULA)
+
+
+def rule(extra: str = ""):
+    """The fixed formula as a predict function."""
+    return X.column_model(F.expr(FORMULA + extra))
+
+
 KEY = ["player_id", "contest_id"]
 
 
@@ -411,7 +417,7 @@ def swap_sql(col, seed=42, src="players"):
 SELECT feature, round(e - e0, 6) AS importance, 0.0::DOUBLE AS std FROM r, b""")
 def _(t):
     d = t.players.select(*KEY, "close_prob", "ownership", "actual_points")
-    return rounded(X.permutation_importance(d, RULE, KEY, ["close_prob", "ownership"], "actual_points"), ["feature"], ["importance", "std"])
+    return rounded(X.permutation_importance(d, rule(), KEY, ["close_prob", "ownership"], "actual_points"), ["feature"], ["importance", "std"])
 
 
 PERIODS = [(1990, 1996), (1997, 1999), (2000, 2100)]
@@ -429,7 +435,7 @@ def _(t):
     out = None
     for i, (lo, hi) in enumerate(PERIODS):
         d = years.where(F.col("year").between(lo, hi)).select(*KEY, "close_prob", "ownership", "actual_points")
-        one = X.permutation_importance(d, RULE, KEY, ["close_prob", "ownership"], "actual_points", seed=42 + i).select(
+        one = X.permutation_importance(d, rule(), KEY, ["close_prob", "ownership"], "actual_points", seed=42 + i).select(
             "feature", F.lit(i).alias("fold"), "importance")
         out = one if out is None else out.unionByName(one)
     return rounded(X.fold_importance(out), ["feature"], ["mean_importance", "std_importance", "mean_rank", "std_rank", "rank_stability"])
@@ -440,7 +446,7 @@ def _(t):
 SELECT round(v, 6) AS grid_value, round(avg({FSQL.replace('close_prob', 'v')}), 6) AS pd FROM players, g GROUP BY v""")
 def _(t):
     d = t.players.select("close_prob", "ownership")
-    return rounded(X.partial_dependence(d, RULE, "close_prob", grid=10), [], ["grid_value", "pd"])
+    return rounded(X.partial_dependence(d, rule(), "close_prob", grid=10), [], ["grid_value", "pd"])
 
 
 @query("I03_partial_dependence_2d", f"""
@@ -449,7 +455,7 @@ g AS (SELECT a + (b-a)*i/4 AS v1, c + (d-c)*j/4 AS v2 FROM q, (SELECT unnest(ran
 SELECT round(v1, 6) AS v1, round(v2, 6) AS v2, round({FSQL.replace('close_prob', 'v1').replace('ownership', 'v2')}, 6) AS pd FROM g""")
 def _(t):
     d = t.players.select("close_prob", "ownership")
-    return rounded(X.partial_dependence_2d(d, RULE, "close_prob", "ownership", grid=5), [], ["v1", "v2", "pd"])
+    return rounded(X.partial_dependence_2d(d, rule(), "close_prob", "ownership", grid=5), [], ["v1", "v2", "pd"])
 
 
 @query("I04_accumulated_local_effects", f"""
@@ -460,14 +466,13 @@ c AS (SELECT bin, (a+z)/2 AS center, sum(d) OVER (ORDER BY bin) AS s FROM l)
 SELECT bin, round(center, 6) AS center, round(s - avg(s) OVER (), 6) AS ale FROM c""")
 def _(t):
     d = t.players.select("close_prob", "ownership")
-    return rounded(X.ale(d, RULE, "close_prob", 5), ["bin"], ["center", "ale"])
+    return rounded(X.ale(d, rule(), "close_prob", 5), ["bin"], ["center", "ale"])
 
 
 @query("I05_interactions")
 def _(t):
-    rule = X.column_model(FORMULA + F.col("salary") / 1000)
     d = t.players.select("close_prob", "ownership", "salary")
-    return rounded(X.interactions(d, rule, ["close_prob", "ownership", "salary"], grid=5), ["feature1", "feature2"], ["h"])
+    return rounded(X.interactions(d, rule(" + salary / 1000"), ["close_prob", "ownership", "salary"], grid=5), ["feature1", "feature2"], ["h"])
 
 
 @query("I06_linear_attribution", """

@@ -187,7 +187,7 @@ def _(t):
 SELECT cohort, round(quantile_cont(actual_points, 0.1), 6) AS p10, round(quantile_cont(actual_points, 0.5), 6) AS p50 FROM l GROUP BY 1""")
 def _(t):
     named = {k: v for k, v in COHORTS.items() if k != "all"}
-    tag = F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in named.items()]))).alias("cohort")
+    tag = F.explode(F.array_compact(F.array(*[F.when(F.expr(c), F.lit(n)) for n, c in named.items()]))).alias("cohort")
     long = member_panel(t).select("actual_points", tag)
     return rounded(O.percentiles(long, ["cohort"], "actual_points", {"p10": 0.1, "p50": 0.5}), ["cohort"], ["p10", "p50"])
 

@@ -267,10 +267,9 @@ def _(t):
 
 
 COHORTS = {
-    "leverage": (F.col("ownership").between(5, 20)) & (F.col("move_dir") == "steamed") & (F.col("is_favorite") == 0),
-    "lock": (F.col("ownership") >= 25) & F.col("move_dir").isin("stable", "steamed") & (F.col("is_favorite") == 1),
-    "trap": (F.col("ownership") >= 20) & (F.col("move_dir") == "drifted"),
-    "low_owned": F.col("ownership").between(5, 15), "all": F.lit(True),
+    "leverage": "ownership BETWEEN 5 AND 20 AND move_dir = 'steamed' AND is_favorite = 0",
+    "lock": "ownership >= 25 AND move_dir IN ('stable', 'steamed') AND is_favorite = 1",
+    "trap": "ownership >= 20 AND move_dir = 'drifted'", "low_owned": "ownership BETWEEN 5 AND 15", "all": "true",
 }
 
 
@@ -281,7 +280,7 @@ COHORTS = {
  UNION ALL SELECT 'all', * FROM mp)
 SELECT cohort, count(*) AS n, round(avg(actual_points), 6) AS avg_points, round(avg(is_ceiling), 6) AS ceiling_rate, round(avg(is_dud), 6) AS dud_rate FROM l GROUP BY 1""")
 def _(t):
-    c = R.cohorts(member_panel(t), COHORTS, {"avg_points": F.col("actual_points"), "ceiling_rate": F.col("is_ceiling"), "dud_rate": F.col("is_dud")})
+    c = R.cohorts(member_panel(t), {k: F.expr(v) for k, v in COHORTS.items()}, {"avg_points": F.col("actual_points"), "ceiling_rate": F.col("is_ceiling"), "dud_rate": F.col("is_dud")})
     return rounded(c, ["cohort", "n"], ["avg_points", "ceiling_rate", "dud_rate"])
 
 

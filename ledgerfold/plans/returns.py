@@ -176,13 +176,13 @@ def _(t):
 
 
 STUDY = {
-    "total_ownership": (F.col("total_ownership"), P.TOTAL_OWN),
-    "salary_remaining": (F.lit(50000) - F.col("total_salary"), P.STUDY_SALARY_REMAINING),
-    "salary_spread": (F.col("salary_spread"), P.STUDY_SALARY_SPREAD),
-    "min_ownership": (F.col("min_ownership"), P.STUDY_MIN_OWN),
-    "max_ownership": (F.col("max_ownership"), P.STUDY_MAX_OWN),
-    "duplication": (F.col("lineup_count"), P.DUPLICATION),
-    "favorite_count": (F.col("favorite_count"), P.FAV_COUNT),
+    "total_ownership": ("total_ownership", P.TOTAL_OWN),
+    "salary_remaining": ("50000 - total_salary", P.STUDY_SALARY_REMAINING),
+    "salary_spread": ("salary_spread", P.STUDY_SALARY_SPREAD),
+    "min_ownership": ("min_ownership", P.STUDY_MIN_OWN),
+    "max_ownership": ("max_ownership", P.STUDY_MAX_OWN),
+    "duplication": ("lineup_count", P.DUPLICATION),
+    "favorite_count": ("favorite_count", P.FAV_COUNT),
 }
 
 
@@ -217,7 +217,7 @@ SELECT arch, analysis, bucket, round(sum(CASE WHEN c > 0 THEN p/c*n END)/sum(CAS
 FROM c1 GROUP BY ALL""")
 def _(t):
     e = t.entries.withColumn("arch", R.archetype(taxonomy="study"))
-    e = e.withColumns({f"_b_{n}": apply_band(x, spec) for n, (x, spec) in STUDY.items()})
+    e = e.withColumns({f"_b_{n}": apply_band(F.expr(x), spec) for n, (x, spec) in STUDY.items()})
     long = I.unpivot_dims(e, {n: f"_b_{n}" for n in STUDY}, ["arch", "contest_id", "payout", "entry_fee", "points", "cost"])
     out = R.contest_mean_roi(long, ["arch", "analysis", "bucket"], cost="entry_fee", extra=[
         F.sum((F.col("payout") > F.col("cost")).cast("long")).alias("cashed"), F.sum("points").alias("pts")])
