@@ -209,7 +209,8 @@ def cv_columns(d):
 
 def fold_report(cv, keys=("fold",)):
     m = M.regression_metrics(cv, "actual_points", "prediction", list(keys))
-    return m.select(*keys, *[r6(c, 4).alias(c) for c in ("mae", "rmse", "r2", "mean_pred", "mean_actual", "calibration_ratio")], "n")
+    return m.select(*keys, *[r6(c, 4).alias(c) for c in ("mae", "rmse", "r2", "mean_pred", "calibration_ratio")],
+                    r6("mean_actual", 9).alias("mean_actual"), "n")
 
 
 @query("M02_ridge_walk_forward", EV + """
@@ -217,7 +218,7 @@ def fold_report(cv, keys=("fold",)):
 """ + RIDGE.format(by="test,", src="tr GROUP BY test", a="1.0::DOUBLE") + """
 , pr AS (SELECT test, p.actual_points AS y, least(greatest(my - w1*m1 - w2*m2 + w1*close_prob + w2*ownership, 0), 100) AS yh FROM players p JOIN cf ON p.date_id = test)
 SELECT (no - 61)::INT AS fold, round(avg(abs(yh-y)), 4) AS mae, round(sqrt(avg((yh-y)*(yh-y))), 4) AS rmse, round(1 - sum((yh-y)*(yh-y))/(var_pop(y)*count(*)), 4) AS r2,
-       round(avg(yh), 4) AS mean_pred, round(avg(y), 4) AS mean_actual, round(avg(yh)/avg(y), 4) AS calibration_ratio, count(*) AS n FROM pr JOIN ev ON date_id = test GROUP BY no""")
+       round(avg(yh), 4) AS mean_pred, round(avg(y), 9) AS mean_actual, round(avg(yh)/avg(y), 4) AS calibration_ratio, count(*) AS n FROM pr JOIN ev ON date_id = test GROUP BY no""")
 def ridge_walk_forward(t):
     return fold_report(M.ridge_walk_forward(t.players, X2, "actual_points", min_train=60))
 
