@@ -51,7 +51,7 @@ def estimator(kind: str, label: str, features: str = "features", **kw):
     """``ridge``, ``forest``, ``boosted`` or ``logistic`` with the engine's defaults."""
     base = {"featuresCol": features, "labelCol": label}
     if kind == "ridge":
-        # The reference objective is RSS + alpha*|w|^2; Spark divides the loss
+        # The objective wanted is RSS + alpha*|w|^2; Spark divides the loss
         # by 2n and scales by the label's deviation, see ridge_reg_param.
         return LinearRegression(**base, elasticNetParam=0.0, standardization=False, solver="l-bfgs", tol=1e-12,
                                 maxIter=500, regParam=kw.pop("reg_param", 0.0), **kw)

@@ -27,12 +27,10 @@ def _(t):
 SELECT (f.no - 71)::INT AS fold, count(*) FILTER (e.no < f.no) AS n_train, count(*) FILTER (e.no = f.no) AS n_test
 FROM players p JOIN ev e USING (date_id) JOIN ev f ON f.no > 70 AND e.no <= f.no GROUP BY 1""")
 def _(t):
-    n = V.number_events(t.players, "date_id")
-    per = n.groupBy("event_no").agg(F.count(F.lit(1)).alias("c"))  # reduce before meeting the folds
-    f = V.walk_forward(t.players, "date_id", 70)
-    j = per.join(f, per.event_no <= f.train_last_no + 1)
-    train = F.col("event_no") <= F.col("train_last_no")
-    return j.groupBy("fold").agg(F.sum(F.when(train, F.col("c")).otherwise(0)).alias("n_train"), F.sum(F.when(~train, F.col("c")).otherwise(0)).alias("n_test"))
+    per = t.players.groupBy("date_id").agg(F.count(F.lit(1)).alias("c"))  # reduce before meeting the folds
+    j = per.join(V.walk_forward_roles(t.players, "date_id", 70), "date_id")
+    rows = lambda role: F.sum(F.when(F.col("role") == role, F.col("c")).otherwise(0))
+    return j.groupBy("fold").agg(rows("train").alias("n_train"), rows("test").alias("n_test"))
 
 
 @query("V02_holdout", EV + """
