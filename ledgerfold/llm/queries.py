@@ -92,8 +92,8 @@ low AS (SELECT a, least(a, min(b)) AS component FROM reach GROUP BY a)"""
 ORACLES = {
     "op1_pq_near_vectors": f"""
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id AND len(x.e) = len(y.e)
   WHERE list_cosine_similarity(x.e, y.e) >= {COSINE}),
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), {_REACH},
@@ -103,14 +103,14 @@ FROM embeddings LEFT JOIN low ON low.a = vec_id LEFT JOIN degree ON degree.a = v
     "op6_content_addressed_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
 d AS (SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha1(payload) AS h, max(page_id) OVER (PARTITION BY payload) AS top FROM p),
-b AS (SELECT *, list_transform(range(4), g -> ('0x' || substr(h, (g * 10 + 1)::INT, 10))::BIGINT) AS part FROM d)
-SELECT page_id, payload_bytes::BIGINT AS payload_bytes, array_to_string(list_transform(range(32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+b AS (SELECT *, list_transform(range(4), lambda g: ('0x' || substr(h, (g * 10 + 1)::INT, 10))::BIGINT) AS part FROM d)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
   (((part[(k // 8 + 1)::INT] >> (35 - 5 * (k % 8))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM b""",
     "op9_setsketch_near_documents": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-  ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w)),
+  ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
 links AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
@@ -121,7 +121,7 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.a = d.d
 WITH dw AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 bw AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 wins AS (SELECT DISTINCT item_id, len(g) AS l, array_to_string(g, ' ') AS k FROM (SELECT item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 13
-  THEN [w] ELSE list_transform(range(1, len(w) - 11), i -> list_slice(w, i, i + 12)) END) AS g FROM bw)),
+  THEN [w] ELSE list_transform(range(1, len(w) - 11), lambda i: list_slice(w, i, i + 12)) END) AS g FROM bw)),
 places AS (SELECT doc_id, l, i, array_to_string(list_slice(w, i, i + l - 1), ' ') AS k FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i
   FROM dw, (SELECT DISTINCT l FROM wins))),
 hit AS (SELECT doc_id, item_id, i, p.l FROM places p JOIN wins USING (k, l)),
