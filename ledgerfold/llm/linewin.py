@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ledgerfold.llm.graph import arrow_batches, fresh
 from ledgerfold.llm.text import NONSPACE, Words, as_long, buffers, pieces, runs_hash
+from ledgerfold.session import materialize
 
 LINES, MIN_WORDS = 3, 20
 
@@ -98,15 +99,17 @@ def repeated_windows(docs: DataFrame, *, doc: str, text: str, lines: int, min_wo
     names = ["h1", "h2", "id", "rk", "line"]
     kind = docs.schema[doc].dataType
     schema = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("id", kind),
-                           T.StructField("rk", T.LongType()), T.StructField("line", T.IntegerType())])
+                           T.StructField("rk", T.IntegerType()), T.StructField("line", T.IntegerType())])
 
     def rows(batches):
         for batch in batches:
             yield from window_rows(batch.column(0), batch.column(1), batch.column(2), lines, min_words, names)
 
-    windows = docs.select(F.col(doc).alias("id"), F.xxhash64(doc, text).alias("rk"), F.col(text).alias("t")).mapInArrow(rows, schema)
+    windows = docs.select(F.col(doc).alias("id"), F.hash(doc, text).alias("rk"), F.col(text).alias("t")).mapInArrow(rows, schema)
     place = F.struct("id", "rk", "line")
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
+    # written, so that both sides of the join are plain exchanges, of which Spark splits the skewed ones
+    first = materialize(first, "first")
     return windows.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("id", "rk", "line").distinct()
 
 
@@ -120,7 +123,7 @@ def remove_repeats(docs: DataFrame, *, doc: str = "doc_id", text: str = "text",
     later = repeated_windows(docs, doc=doc, text=text, lines=lines, min_words=min_words).groupBy("id", "rk").agg(
         F.collect_list("line").alias("marked"))
     rk, marked = fresh(docs, "rk"), fresh(docs, "marked")
-    keyed = docs.withColumn(rk, F.xxhash64(doc, text))
+    keyed = docs.withColumn(rk, F.hash(doc, text))
     joined = keyed.join(later.withColumnsRenamed({"id": "_later_id", "rk": "_later_rk", "marked": marked}),
                         F.col(doc).eqNullSafe(F.col("_later_id")) & (F.col(rk) == F.col("_later_rk")), "left")
     joined = joined.select(*docs.columns, marked)
