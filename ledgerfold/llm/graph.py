@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerfold.session import materialize
@@ -53,3 +54,14 @@ def fresh(df: DataFrame, base: str) -> str:
         k += 1
         name = f"_{base}_{k}"
     return name
+
+
+def local_groups(i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray):
+    """Smallest node reachable by the links (a[i], b[j]) inside a block, for both sides."""
+    left, right = a.copy(), b.copy()
+    while True:
+        before = (left.sum(), right.sum())
+        np.minimum.at(right, j, left[i])
+        np.minimum.at(left, i, right[j])
+        if (left.sum(), right.sum()) == before:
+            return left, right

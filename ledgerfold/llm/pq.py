@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerfold.llm.graph import arrow_batches, components
+from ledgerfold.llm.graph import arrow_batches, components, local_groups
 from ledgerfold.session import materialize
 
 SAMPLE, SUBSPACES, CODES, MARGIN = 16_384, 8, 256, 3.0
@@ -92,17 +92,6 @@ class Index:
         return np.sqrt(np.maximum(total, 0))
 
 
-def local_groups(i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray):
-    """Smallest node reachable by the links (a[i], b[j]) inside a block, for both sides."""
-    left, right = a.copy(), b.copy()
-    while True:
-        before = (left.sum(), right.sum())
-        np.minimum.at(right, j, left[i])
-        np.minimum.at(left, i, right[j])
-        if (left.sum(), right.sum()) == before:
-            return left, right
-
-
 def exact_cosine(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     out = np.empty(len(i))
     for lo in range(0, len(i), 50_000):

@@ -10,8 +10,9 @@ full sets decide.
 Groups are never expanded into pairs.  Equal sets are one node.  In a bucket
 every node is first compared with one partner that differs from band to band;
 of those estimates only the best of each node is verified, then those that
-still join different groups.  What is left in a bucket outside its largest
-group is compared with all of the bucket, so no candidate link is skipped.
+still join different groups.  What is left in a cluster of candidates outside
+its largest group is compared with all of the cluster, so no candidate link is
+skipped.
 
 Edge cases: a text without words has an empty set, links with nothing and is
 its own component; a row without id can only be an exact copy; rows that share
@@ -26,12 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerfold.llm.graph import arrow_batches, components
+from ledgerfold.llm.graph import arrow_batches, components, local_groups
 from ledgerfold.llm.text import NONSPACE, Words, pieces, runs_hash
 from ledgerfold.session import materialize
 
 BASE, RATE = 1.1, 20.0
 BANDS, ROWS = 25, 5
+PIVOTS = 2
+X_BLOCK, Y_BLOCK = 256, 2_048
 REGISTERS = BANDS * ROWS
 _RNG = np.random.Generator(np.random.PCG64(917))
 _MUL = _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -174,6 +177,63 @@ def band_members(reps: DataFrame) -> DataFrame:
     return reps.select(F.explode(key).alias("band"), "node", "n_shingles")
 
 
+def overlapping(x_values, x_offsets, y_values, y_offsets, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All (i, j) with enough overlap between two lists of sets."""
+    universe, code = np.unique(np.concatenate([x_values, y_values]), return_inverse=True)
+    x_code, y_code = code[:len(x_values)], code[len(x_values):]
+    n_y = np.diff(y_offsets)
+    flag = np.zeros(len(universe), dtype=np.int32)
+    out_i, out_j = [], []
+    for i in range(len(x_offsets) - 1):
+        own = x_code[x_offsets[i]:x_offsets[i + 1]]
+        flag[own] = 1
+        inter = np.add.reduceat(flag[y_code], y_offsets[:-1])
+        flag[own] = 0
+        j = np.flatnonzero(100 * inter >= percent * (len(own) + n_y - inter))
+        out_i.append(np.full(len(j), i))
+        out_j.append(j)
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
+def cross_links(star: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different groups of a cluster of candidates.
+
+    Members outside the cluster's largest group meet all of the cluster, in
+    blocks of bounded size on both sides.  A block reports the local groups of
+    its links, not the pairs.
+    """
+    cluster = components(star.select("a", "b"), "clusters").withColumnRenamed("component", "cluster")
+    placed = materialize(cluster.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    share = placed.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c"))
+    mixed = share.groupBy("cluster").agg(F.max(F.struct("c", "component")).alias("p"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("n")).where("k > 1").select(
+        "cluster", F.col("p.component").alias("main"), F.ceil((F.col("n") - F.col("p.c")) / X_BLOCK).cast("int").alias("nx"),
+        F.ceil(F.col("n") / Y_BLOCK).cast("int").alias("ny"))
+    rich = placed.join(mixed, "cluster").join(sets, "node")
+    x_own, y_own = (F.pmod(F.xxhash64("node", F.lit(k)), F.col(n)).cast("int") for k, n in ((1, "nx"), (2, "ny")))
+    outside = rich.where(F.col("component") != F.col("main")).select(
+        "cluster", x_own.alias("xb"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("yb"), "node", "component", "shingles")
+    inside = rich.select(F.col("cluster").alias("q"), F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("p"), y_own.alias("r"),
+                         F.col("node").alias("m"), F.col("component").alias("c"), F.col("shingles").alias("s"))
+
+    def flat(column):
+        parts = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in column]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(v) for v in parts])]).astype(np.int64)
+
+    def work(left, right):
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        i, j = overlapping(*flat(left["shingles"]), *flat(right["s"]), percent)
+        nx, ny = left["node"].to_numpy(), right["m"].to_numpy()
+        new = left["component"].to_numpy()[i] != right["c"].to_numpy()[j]
+        i, j = i[new], j[new]
+        top_x, top_y = local_groups(i, j, nx, ny)
+        hit_x, hit_y = np.unique(i), np.unique(j)
+        return pa.table({"a": np.concatenate([nx[hit_x], ny[hit_y]]), "b": np.concatenate([top_x[hit_x], top_y[hit_y]])})
+
+    found = outside.groupBy("cluster", "xb", "yb").cogroup(inside.groupBy("q", "p", "r")).applyInArrow(work, "a long, b long")
+    return found.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_groups(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id and kept."""
     arrow_batches(docs.sparkSession, 1000)
@@ -189,9 +249,22 @@ def near_groups(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", siz
     pick = F.min(F.struct(F.xxhash64("node", "band").alias("h"), F.col("node").alias("top"), F.col("n_shingles").alias("n_top")))
     buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("c"), pick.alias("p")).where("c > 1").select("band", "p.top", "p.n_top")
     in_bucket = materialize(members.join(buckets, "band"), "buckets")
-    star = (in_bucket.where(F.col("node") != F.col("top")).where(close(F.col("n_shingles"), F.col("n_top")))
-            .select(F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b")).distinct())
-    star = materialize(estimated(star, reps, least), "star")
+    star, left = None, in_bucket
+    for turn in range(PIVOTS):
+        pairs = left.where(F.col("node") != F.col("top"))
+        near = (pairs.where(close(F.col("n_shingles"), F.col("n_top")))
+                .select(F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b")).distinct())
+        near = materialize(estimated(near, reps, least), "star")
+        star = near if star is None else star.union(near)
+        if turn + 1 == PIVOTS:
+            break
+        # members unlike the first partner meet another one of their own
+        pairs = pairs.withColumn("a", F.least("node", "top")).withColumn("b", F.greatest("node", "top"))
+        rest = pairs.join(near.select("a", "b"), ["a", "b"], "left_anti").select("band", "node", "n_shingles")
+        tops = rest.groupBy("band").agg(F.count(F.lit(1)).alias("c"), pick.alias("p")).where("c > 1").select("band", "p.top", "p.n_top")
+        left = rest.join(tops, "band")
+    star = star.groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+    star = materialize(star, "star")
     nodes = in_bucket.select("node").distinct()
     sets = materialize(shingle_table(docs, nodes, doc=doc, text=text, size=size).dropDuplicates(["node"]), "sets")
     # the best partner of every node first
@@ -210,19 +283,7 @@ def near_groups(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", siz
     rest = grouped(star, comp).join(tried, ["a", "b"], "left_anti")
     links = materialize(links.union(verified(rest, sets, percent)), "links")
     comp = components(links)
-    # members of a bucket outside its largest group meet all of the bucket
-    placed = materialize(in_bucket.select("band", "node", "n_shingles").join(comp, "node", "left")
-                         .withColumn("component", F.coalesce("component", "node")), "placed")
-    share = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"))
-    main = share.groupBy("band").agg(F.max(F.struct("c", "component")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1").select(
-        "band", F.col("p.component").alias("main"))
-    outside = placed.join(main, "band").where(F.col("component") != F.col("main")).select(
-        "band", F.col("node").alias("x"), F.col("component").alias("c_x"), F.col("n_shingles").alias("n_x"))
-    cross = (placed.join(outside, "band").where(F.col("component") != F.col("c_x")).where(close(F.col("n_shingles"), F.col("n_x")))
-             .select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-             .join(star.select("a", "b"), ["a", "b"], "left_anti"))
-    cross = verified(estimated(cross, reps, least), sets, percent)
-    links = materialize(links.union(cross), "links")
+    links = materialize(links.union(cross_links(star, comp, sets, percent)), "links")
     comp = components(links)
     named = reps.join(comp, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = own.join(named, "digest", "left")
