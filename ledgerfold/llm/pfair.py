@@ -23,7 +23,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-BLOCK_ROWS, PERIOD, ROWS_PER_BUCKET = 64, 1024, 50_000
+BLOCK_ROWS, PERIOD, ROWS_PER_BUCKET = 64, 1024, 5_000
 
 
 def blocks_per_period(weights: Mapping, period: int) -> dict:
@@ -78,7 +78,7 @@ def numbered(docs: DataFrame, *, doc: str, source: str, rows: int) -> DataFrame:
     inside a bucket come from a window, those before it from the bucket counts,
     so a source that holds a third of all rows is never one task.
     """
-    buckets = max(1, -(-rows // ROWS_PER_BUCKET)) * 4
+    buckets = 16 * max(1, -(-rows // ROWS_PER_BUCKET))
     keyed = docs.select(F.col(doc).alias("doc_id"), F.col(source).alias("source")).withColumn("h", F.xxhash64("doc_id", F.lit(7)))
     keyed = keyed.withColumn("bucket", F.pmod("h", F.lit(buckets)))
     place = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id")) - 1

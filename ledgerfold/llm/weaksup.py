@@ -31,7 +31,7 @@ from ledgerfold.llm.text import LETTER, _TABLE, Words, mix, pieces, powers
 
 BITS = 21
 GRAMS = (4, 5, 6)
-SAMPLE, LONGEST, SHARDS, MOST_STEMS, MOST_VOTERS = 8_000, 20_000, 8, 2_048, 96
+SAMPLE, LONGEST, SHARDS, MOST_STEMS, MOST_VOTERS = 8_000, 20_000, 4, 2_048, 96
 DENSITY = 0.005
 RATIO, SURPRISE = 120, 30
 AGREEING = 3
@@ -110,20 +110,22 @@ def label_model(n: int, ones: np.ndarray, both: np.ndarray, prior: float) -> Lab
     var = np.maximum(mean * (1 - mean), 1e-12)
     noise = 2 * np.sqrt(np.outer(var, var) / max(n, 1))
     strong = cov > noise
-    strength = np.zeros(m)
-    for i in range(m):
-        found = []
-        near = [j for j in range(m) if j != i and strong[i, j]]
-        for a, j in enumerate(near):
-            for k in near[a + 1:]:
-                if strong[j, k]:
-                    found.append(cov[i, j] * cov[i, k] / cov[j, k])
-        strength[i] = np.sqrt(np.median(found)) if found else np.sqrt(var[i] * prior)
-    strength = np.minimum(strength, mean * np.sqrt((1 - prior) / prior))
+    most = mean * np.sqrt((1 - prior) / prior)
+    linked = np.zeros((m, m), dtype=bool)
+    for _ in range(2):  # the second time without the pairs that proved correlated
+        strength = np.zeros(m)
+        for i in range(m):
+            near = np.flatnonzero(strong[i] & ~linked[i] & (np.arange(m) != i))
+            j, k = np.meshgrid(near, near, indexing="ij")
+            use = (j < k) & strong[j, k] & ~linked[j, k]
+            found = cov[i, j[use]] * cov[i, k[use]] / cov[j[use], k[use]]
+            strength[i] = np.sqrt(np.median(found)) if len(found) else np.sqrt(var[i] * prior)
+        strength = np.minimum(strength, most)
+        rest = (cov - np.outer(strength, strength)) / np.sqrt(np.outer(var, var))
+        rest[np.diag_indices(m)] = 0
+        linked = rest > 0.2
     toxic = np.clip(mean + strength * np.sqrt((1 - prior) / prior), 1e-3, 0.999)
     clean = np.clip(mean - strength * np.sqrt(prior / (1 - prior)), 1e-5, 0.999)
-    rest = (cov - np.outer(strength, strength)) / np.sqrt(np.outer(var, var))
-    rest[np.diag_indices(m)] = 0
     rest = np.where(rest > 0.05, np.minimum(rest, 1), 0)
     weights = np.log(toxic / clean) / (1 + rest.sum(1))
     return LabelModel(prior, toxic, clean, weights, rest)
@@ -214,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, train: Column, doc: str = "doc_id
         part = bounded(labelled.where(F.col("y") == y), h, sample // 2, count[y]).distinct()
         wanted = part if wanted is None else wanted.union(part)
     known = (src.where(F.col("train") & (F.length("text") <= LONGEST)).join(wanted, "id")
-             .select(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(SHARDS)).alias("shard"), "y", "text").repartition(SHARDS, "shard").persist())
+             .select(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(SHARDS)).alias("shard"), "y", "text").repartition(SHARDS, "shard").coalesce(SHARDS).persist())
 
     def count_stems(batches):
         total = np.zeros((2, 1 << BITS), dtype=np.uint16)
