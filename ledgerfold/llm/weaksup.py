@@ -310,7 +310,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, train: Column, doc: str = "doc_id
                 yield pa.RecordBatch.from_arrays([pa.array(np.split(f[order], cuts), pa.list_(pa.int64())), pa.array(own.model.posterior(votes.astype(float)))],
                                                  names=["f", "p"])
 
-    table = rows.mapInArrow(examples, "f array<long>, p double").orderBy("p", "f").toArrow()
+    table = rows.mapInArrow(examples, "f array<long>, p double").toArrow()
+    table = table.take(np.argsort(table["p"].to_numpy(), kind="stable"))
     p = table["p"].to_numpy()
     fired = np.array([len(f) > 0 for f in table["f"].to_pylist()])
     # documents in which nothing fires hold what the prior leaves over
