@@ -20,6 +20,7 @@ labelled documents of both classes nothing is known and every score is 0.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,7 +57,7 @@ def stem_slots(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def stem_table(order: np.ndarray) -> np.ndarray:
     """Number of each wanted slot, -1 for the others."""
-    table = np.full(1 << BITS, -1, dtype=np.int32)
+    table = np.full(1 << BITS, -1, dtype=np.int16)
     table[order] = np.arange(len(order))
     return table
 
@@ -231,14 +232,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, train: Column, doc: str = "doc_id
                 own = y[lo:hi][one >> BITS]
                 for c in (0, 1):
                     total[c] += np.bincount(one[own == c] & ((1 << BITS) - 1), minlength=1 << BITS).astype(np.uint16)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["c", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["c", "n"])
 
     got = known.mapInArrow(count_stems, "c binary, n binary").toArrow()
-    counts = sum(np.frombuffer(b, dtype=np.uint16).reshape(2, -1).astype(np.int64) for b in got["c"].to_pylist())
+    counts = np.zeros((2, 1 << BITS), dtype=np.int32)
+    for b in got["c"].to_pylist():
+        counts += np.frombuffer(zlib.decompress(b), dtype=np.uint16).reshape(2, -1)
     n = sum(np.frombuffer(b, dtype=np.int64) for b in got["n"].to_pylist())
-    rate = (counts + 0.5) / (n[:, None] + 1)
-    order = np.flatnonzero((rate[1] >= RATIO * rate[0]) & (surprise(counts[1], counts[0], n[1], n[0]) >= SURPRISE))
-    order = order[np.argsort(-counts[1][order] * np.log(rate[1][order] / rate[0][order]), kind="stable")][:MOST_STEMS]
+    order = np.flatnonzero(counts[1])
+    seen = counts[:, order].astype(float)
+    del counts, got
+    rate = (seen + 0.5) / (n[:, None] + 1)
+    keep = np.flatnonzero((rate[1] >= RATIO * rate[0]) & (surprise(seen[1], seen[0], n[1], n[0]) >= SURPRISE))
+    keep = keep[np.argsort(-seen[1][keep] * np.log(rate[1][keep] / rate[0][keep]), kind="stable")][:MOST_STEMS]
+    order = order[keep]
     table = stem_table(order)
 
     def contexts(batches):
@@ -319,6 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, train: Column, doc: str = "doc_id
     detector.model.silent = float(np.clip(left / max(1, (~fired).sum()), 1e-4, 0.2))
     p = np.where(fired, p, detector.model.silent)
     detector.weights, detector.bias = logistic(table["f"].to_pylist(), p, k + m)
+    pa.default_memory_pool().release_unused()
     return detector
 
 
