@@ -170,10 +170,10 @@ def equity_curve(df: DataFrame, by: Sequence[str], order: Sequence[str], pnl: st
 
 # --- fractional differencing ----------------------------------------------
 
-def ffd_weights(d: float, threshold: float = 1e-3, max_size: int = 500) -> list[float]:
+def ffd_weights(d: float, threshold: float = 1e-5) -> list[float]:
     """Weights w_0.. of (1-L)^d; the first one below the threshold is kept."""
     w = [1.0]
-    while len(w) < max_size:
+    while True:
         k = len(w)
         w.append(-w[-1] * (d - k + 1) / k)
         if abs(w[-1]) < threshold:
@@ -181,7 +181,7 @@ def ffd_weights(d: float, threshold: float = 1e-3, max_size: int = 500) -> list[
     return w
 
 
-def frac_diff(df: DataFrame, col: str, w: WindowSpec, d: float, threshold: float = 1e-3, name: str | None = None) -> DataFrame:
+def frac_diff(df: DataFrame, col: str, w: WindowSpec, d: float, threshold: float = 1e-5, name: str | None = None) -> DataFrame:
     """Fixed-window fractional difference; NULL until the window is full."""
     weights = ffd_weights(d, threshold)
     m = len(weights)
@@ -215,7 +215,7 @@ def adf_t(df: DataFrame, entity: Sequence[str], date: str, col: str) -> DataFram
 
 
 def min_stationary_order(
-    df: DataFrame, entity: Sequence[str], date: str, col: str, grid: Sequence[float], *, threshold: float = 1e-2,
+    df: DataFrame, entity: Sequence[str], date: str, col: str, grid: Sequence[float], *, threshold: float = 1e-5,
     critical: float = -2.86,
 ) -> DataFrame:
     """Smallest differencing order of the grid whose unit-root t is below critical."""

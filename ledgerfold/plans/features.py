@@ -309,10 +309,10 @@ def _(t):
 # ---- scalar functions ------------------------------------------------------
 
 @query("F01_normalize_name", r"""
-, n AS (SELECT doc_id, concat(source, '-', substr(text, 1, 40), '.') AS nm FROM documents)
+, n AS (SELECT doc_id, concat(source, '-', coalesce(text, ''), '.') AS nm FROM documents)
 SELECT doc_id, trim(regexp_replace(replace(replace(lower(nm), '-', ' '), '.', ''), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS norm FROM n""")
 def _(t):
-    d = t.documents.select("doc_id", F.concat("source", F.lit("-"), F.substring("text", 1, 40), F.lit(".")).alias("nm"))
+    d = t.documents.select("doc_id", F.concat("source", F.lit("-"), F.coalesce("text", F.lit("")), F.lit(".")).alias("nm"))
     return d.select("doc_id", S.normalize_name("nm").alias("norm"))
 
 

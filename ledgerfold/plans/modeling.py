@@ -350,18 +350,18 @@ HOLD = EV + ", tr AS (SELECT p.* FROM players p JOIN ev USING (date_id) WHERE no
 """
 
 
-@query("M11_holdout_evaluation", HOLD + bootstrap_sql("one", "te", 500, "ae", "1.0::DOUBLE") + """
+@query("M11_holdout_evaluation", HOLD + bootstrap_sql("one", "te", 1000, "ae", "1.0::DOUBLE") + """
 SELECT 'mae' AS metric, round(point_estimate, 4) AS point_estimate, round(ci_lower, 4) AS ci_lower, round(ci_upper, 4) AS ci_upper, n_events, n_samples FROM boot""")
 def _(t):
-    m = M.holdout_evaluation(t.players, X2, "actual_points", draws=500).where("metric = 'mae'")
+    m = M.holdout_evaluation(t.players, X2, "actual_points", draws=1000).where("metric = 'mae'")
     return m.select("metric", *[r6(c, 4).alias(c) for c in ("point_estimate", "ci_lower", "ci_upper")], "n_events", "n_samples")
 
 
 @query("V06_event_metric_interval", PRED + ", er AS (SELECT 1 AS one, date_id, pow(actual_points-prediction, 2) AS se FROM pr)"
-       + bootstrap_sql("one", "er", 500, "se", "1.0::DOUBLE") + """
+       + bootstrap_sql("one", "er", 1000, "se", "1.0::DOUBLE") + """
 SELECT round(sqrt(point_estimate), 6) AS rmse, round(sqrt(ci_lower), 6) AS ci_lower, round(sqrt(ci_upper), 6) AS ci_upper, n_events FROM boot""")
 def _(t):
-    m = M.event_metric_interval(predicted(t), "actual_points", "prediction", "rmse", draws=500)
+    m = M.event_metric_interval(predicted(t), "actual_points", "prediction", "rmse", draws=1000)
     # sqrt of an interpolated squared interval, as the oracle takes it
     return m.select(r6("point_estimate").alias("rmse"), r6("ci_lower").alias("ci_lower"), r6("ci_upper").alias("ci_upper"), "n_events")
 

@@ -326,12 +326,12 @@ def all_dimension_ci(t):
     return interval_out(I.all_dimension_intervals(regime_entries(t), DIM10), ["analysis", "bucket"], ["survives_fdr"])
 
 
-@query("D21_fdr_summary", REGIMES + LONG10 + bootstrap_sql("analysis, bucket", "long", 500) + BH + """
+@query("D21_fdr_summary", REGIMES + LONG10 + bootstrap_sql("analysis, bucket", "long", 2000) + BH + """
 SELECT count(*) AS total_tests, sum(survives_fdr::INT)::BIGINT AS surviving, sum((NOT survives_fdr)::INT)::BIGINT AS rejected,
        0.1::DOUBLE AS q, round(min(p_value), 6) AS min_p,
        round(max(CASE WHEN survives_fdr THEN p_value END), 6) AS max_surviving_p FROM fdr""")
 def _(t):
-    ci = I.all_dimension_intervals(regime_entries(t), DIM10, draws=500)
+    ci = I.all_dimension_intervals(regime_entries(t), DIM10, draws=2000)
     s = I.fdr_summary(ci)
     return s.select("total_tests", "surviving", "rejected", "q", r6("min_p").alias("min_p"),
                     r6("max_surviving_p").alias("max_surviving_p"))
@@ -358,7 +358,7 @@ _RULES = " OR ".join(f"(analysis = '{d}' AND bucket = '{b}')" for d, b in P.PRIO
 
 @query("D23_rule_validation", REGIMES + LONG10 + SPLIT
        + f", lp AS (SELECT * FROM long JOIN per USING (date_id) WHERE {_RULES})"
-       + bootstrap_sql("analysis, bucket, period", "lp", 500) + """
+       + bootstrap_sql("analysis, bucket, period", "lp", 2000) + """
 SELECT analysis, bucket,
  round(max(point_estimate) FILTER (period='train' AND n_samples >= 100), 6) AS train_roi,
  round(max(ci_lower) FILTER (period='train' AND n_samples >= 100), 6) AS train_ci_lower,
@@ -370,7 +370,7 @@ SELECT analysis, bucket,
    AND coalesce(max(ci_lower) FILTER (period='test' AND n_samples >= 100) > 1, false) AS holds
 FROM boot GROUP BY 1, 2""")
 def _(t):
-    v = I.validate_rules(regime_entries(t), P.PRIORITY_RULES, draws=500)
+    v = I.validate_rules(regime_entries(t), P.PRIORITY_RULES, draws=2000)
     return v.select("analysis", "bucket", *[r6(c).alias(c) for c in
                     ["train_roi", "train_ci_lower", "test_roi", "test_ci_lower", "train_p_value"]],
                     "train_n", "test_n", "holds")

@@ -57,7 +57,7 @@ def profile_tables(tables: Mapping[str, DataFrame], dates: Mapping[str, str]) ->
     for name, df in tables.items():
         d = F.col(dates[name]) if name in dates else F.lit(None)
         row = df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"),
-                     F.min(d.cast("string")).alias("first"), F.max(d.cast("string")).alias("last"), F.countDistinct(d).alias("n_dates"))
+                     F.min(d).cast("string").alias("first"), F.max(d).cast("string").alias("last"), F.countDistinct(d).alias("n_dates"))
         out = row if out is None else out.unionByName(row)
     return out
 
