@@ -236,7 +236,7 @@ def event_metric_interval(df: DataFrame, y: str, yhat: str, metric: str = "mae",
 # --- tree models over folds ------------------------------------------------------
 
 def walk_forward_cv(
-    df: DataFrame, stages: Callable[[], list], target: str, event: str, *, min_train: int, max_folds: int | None = None,
+    df: DataFrame, stages: Callable[[], list], target: str, event: str, *, min_train: int,
     lo: float = 0.0, hi: float = 100.0,
 ) -> DataFrame:
     """Predictions of each fold's test event by a pipeline refitted per fold.
@@ -245,7 +245,7 @@ def walk_forward_cv(
     distributed job on the numbered rows.
     """
     numbered = V.number_events(df, event)
-    folds = V.walk_forward(df, event, min_train, max_folds).orderBy("fold").collect()  # one row per date
+    folds = V.walk_forward(df, event, min_train).orderBy("fold").collect()  # one row per date
     out = None
     for f in folds:
         model = Pipeline(stages=stages()).fit(numbered.where(F.col("event_no") <= f["train_last_no"]))
