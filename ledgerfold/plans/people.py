@@ -73,12 +73,13 @@ def _(t):
 # ---- names -----------------------------------------------------------------
 _NORM = r"trim(regexp_replace(replace(replace(lower({0}), '-', ' '), '.', ''), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')"
 NAMES = f"""
-, nm AS (SELECT doc_id, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS display FROM documents),
+, nm AS (SELECT 2*p_partkey AS name_id, 'part' AS source, p_name AS display FROM part
+       UNION ALL SELECT 2*s_suppkey + 1, 'supplier', s_name FROM supplier),
 nn AS (SELECT *, {_NORM.format('display')} AS norm FROM nm),
 canon AS (SELECT norm, min(display) AS display, row_number() OVER (ORDER BY encode(norm)) AS canonical_id FROM nn WHERE norm <> '' GROUP BY norm),
-qs AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN norm WHEN 1 THEN split_part(norm, ' ', 2) || ' ' || split_part(norm, ' ', 1)
+qs AS (SELECT name_id, CASE name_id % 5 WHEN 0 THEN norm WHEN 1 THEN CASE WHEN len(string_split(norm, ' ')) = 2 THEN split_part(norm, ' ', 2) || ' ' || split_part(norm, ' ', 1) ELSE norm END
        WHEN 2 THEN 'zz ' || split_part(norm, ' ', -1) WHEN 3 THEN substr(norm, 2) ELSE 'aka ' || norm END AS norm FROM nn),
-al AS (SELECT 'aka ' || norm AS alias, min(canonical_id) AS id FROM nn JOIN canon USING (norm) WHERE doc_id % 10 = 4 GROUP BY 1),
+al AS (SELECT 'aka ' || norm AS alias, min(canonical_id) AS id FROM nn JOIN canon USING (norm) WHERE name_id % 10 = 4 GROUP BY 1),
 ln AS (SELECT split_part(norm, ' ', -1) AS k, min(canonical_id) AS id FROM canon GROUP BY 1 HAVING count(DISTINCT canonical_id) = 1),
 mt AS (SELECT q.norm, CASE WHEN len(string_split(q.norm, ' ')) = 2 THEN split_part(q.norm, ' ', 2) || ' ' || split_part(q.norm, ' ', 1) END AS rv,
        c.canonical_id AS i1, al.id AS i2, ln.id AS i3 FROM (SELECT DISTINCT norm FROM qs) q LEFT JOIN canon c USING (norm)
@@ -89,9 +90,10 @@ tiers AS (SELECT mt.norm, coalesce(i1, i2, i3, c.canonical_id) AS id, CASE WHEN
 
 
 def names(t):
-    w = F.split("text", " ")
-    d = t.documents.select("doc_id", F.concat_ws(" ", w[0], F.coalesce(F.try_element_at(w, F.lit(2)), F.lit(""))).alias("display"))
-    return d.withColumn("norm", S.normalize_name("display"))
+    """Whole part and supplier names, one row per named row."""
+    parts = t.part.select((2 * F.col("p_partkey")).alias("name_id"), F.lit("part").alias("source"), F.col("p_name").alias("display"))
+    supp = t.supplier.select((2 * F.col("s_suppkey") + 1).alias("name_id"), F.lit("supplier").alias("source"), F.col("s_name").alias("display"))
+    return parts.unionByName(supp).withColumn("norm", S.normalize_name("display"))
 
 
 def canon(t):
@@ -99,22 +101,19 @@ def canon(t):
 
 
 def name_queries(t):
-    n = F.col("norm")
-    w = F.split(n, " ")
-    second = F.coalesce(F.try_element_at(w, F.lit(2)), F.lit(""))
-    k = F.col("doc_id") % 5
-    return names(t).select("doc_id", F.when(k == 0, n).when(k == 1, F.concat_ws(" ", second, w[0])).when(
+    n, k = F.col("norm"), F.col("name_id") % 5
+    return names(t).select("name_id", F.when(k == 0, n).when(k == 1, F.coalesce(S.reversed_name("norm"), n)).when(
         k == 2, F.concat(F.lit("zz "), S.last_name("norm"))).when(k == 3, F.expr("substr(norm, 2)")).otherwise(
         F.concat(F.lit("aka "), n)).alias("norm"))
 
 
 def name_aliases(t, c):
-    return names(t).where("doc_id % 10 = 4").join(c.select("norm", F.col("canonical_id").alias("id")), "norm").select(
+    return names(t).where("name_id % 10 = 4").join(c.select("norm", F.col("canonical_id").alias("id")), "norm").select(
         F.concat(F.lit("aka "), "norm").alias("alias"), "id")
 
 
-def tiers(t):
-    c = canon(t)
+def tiers(t, c=None):
+    c = canon(t) if c is None else c
     return D.match_exact_tiers(name_queries(t), c.select("norm", F.col("canonical_id").alias("id")), name_aliases(t, c))
 
 
@@ -124,14 +123,14 @@ def _(t):
 
 
 @query("E02_aliases", NAMES + """
-, direct AS (SELECT DISTINCT nn.norm AS alias, source FROM nn JOIN documents USING (doc_id)),
+, direct AS (SELECT DISTINCT norm AS alias, source FROM nn),
 known AS (SELECT * FROM (VALUES ('red small', 'small ring'), ('aka nobody', 'nobody known')) v(a, b)),
 al2 AS (SELECT alias, source, canonical_id FROM direct JOIN canon ON canon.norm = alias
         UNION ALL SELECT a, 'known', canonical_id FROM known JOIN canon ON norm = b
         UNION ALL SELECT b, 'known', canonical_id FROM known JOIN canon ON norm = a)
 SELECT alias, source, min(canonical_id) AS canonical_id FROM al2 GROUP BY 1, 2""")
 def _(t):
-    src = names(t).join(t.documents.select("doc_id", "source"), "doc_id").select(F.col("display").alias("name"), "source")
+    src = names(t).select(F.col("display").alias("name"), "source")
     return D.build_aliases(canon(t), src, {"red small": "small ring", "aka nobody": "nobody known"})
 
 
@@ -140,6 +139,16 @@ def _(t):
     return tiers(t)
 
 
+@query("E04_match_report_with_fuzzy")
+def _(t):
+    return D.match_report(match_names(t)).select("method", "n", r6("share").alias("share"))
+
+
+@query("J13_unmatched_after_fuzzy")
+def _(t):
+    return D.unmatched(name_queries(t), match_names(t))
+
+
 @query("E03_match_names_with_fuzzy")
 def match_names(t):
     c = canon(t)
@@ -161,7 +170,8 @@ def _(t):
 @query("E04_learned_aliases", NAMES + """
 SELECT alias, 'seen' AS source, min(id) AS id FROM (SELECT alias, id FROM al UNION ALL SELECT norm, id FROM tiers WHERE id IS NOT NULL) GROUP BY 1""")
 def _(t):
-    return D.learn_aliases(name_aliases(t, canon(t)).withColumn("source", F.lit("seen")), tiers(t), "seen")
+    c = canon(t)
+    return D.learn_aliases(name_aliases(t, c).withColumn("source", F.lit("seen")), tiers(t, c), "seen")
 
 
 @query("E05_fuzzy_tier")
@@ -173,11 +183,10 @@ def _(t):
 
 # ---- set repair --------------------------------------------------------------
 SETS = """
-, sl AS (SELECT l_orderkey AS set_id, l_linenumber AS slot, max(l_partkey) AS member FROM lineitem WHERE l_linenumber BETWEEN 1 AND 7 GROUP BY 1, 2),
-sd AS (SELECT set_id, member, min(slot) AS slot FROM sl GROUP BY 1, 2),
+, sd AS (SELECT l_orderkey AS set_id, l_partkey AS member, min(l_linenumber) AS slot FROM lineitem GROUP BY 1, 2),
 me AS (SELECT set_id, member, row_number() OVER w AS rk, count(*) OVER (PARTITION BY set_id) AS n, day_id AS date,
        6000 + (member*100) % 4700 AS salary, (member*7919) % 20011 AS points, (member*104729) % 5003 AS own
-       FROM sd JOIN contests ON contest_id = set_id WINDOW w AS (PARTITION BY set_id ORDER BY slot)),
+       FROM sd JOIN contests ON contest_id = set_id WINDOW w AS (PARTITION BY set_id ORDER BY slot, member)),
 hd AS (SELECT *, CASE WHEN set_id % 3 = 0 AND n >= 2 THEN 1 WHEN set_id % 3 = 1 AND n >= 3 THEN 2 ELSE 0 END AS h FROM me),
 kn AS (SELECT set_id, member FROM hd WHERE rk <= n - h),
 st AS (SELECT set_id, date, max(h) AS n_missing, sum(salary) AS ts, sum(points) AS tp, sum(own) AS tw,
@@ -206,10 +215,12 @@ def stat_columns(member="member"):
 
 
 def set_tables(t):
-    """Sets of at most seven slots per order with one or two members hidden."""
-    slots = [F.max(F.when(F.col("l_linenumber") == i, F.col("l_partkey"))) for i in range(1, 8)]
-    s = t.lineitem.groupBy(F.col("l_orderkey").alias("set_id")).agg(
-        F.array_distinct(F.array_compact(F.array(*slots))).alias("arr"))
+    """All members of each order, in line order, with one or two of them hidden.
+
+    A set is a value of its own (a delimited key), so its members meet in one row.
+    """
+    m = t.lineitem.groupBy(F.col("l_orderkey").alias("set_id"), F.col("l_partkey").alias("member")).agg(F.min("l_linenumber").alias("slot"))
+    s = m.groupBy("set_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "member"))), lambda x: x["member"]).alias("arr"))
     n, k = F.size("arr"), F.col("set_id") % 3
     hide = F.when((k == 0) & (n >= 2), 1).when((k == 1) & (n >= 3), 2).otherwise(0)
     c = t.contests.select(F.col("contest_id").alias("set_id"), F.col("day_id").alias("date"))
