@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ledgerfold import presets as P
 from ledgerfold.functions.bands import rate
-from ledgerfold.operators import ordered as O
+from ledgerfold.operators import inference as I, ordered as O
 from ledgerfold.operators.models import auc
 from ledgerfold.operators.ordered import attach_row
 
@@ -35,41 +35,39 @@ def score(df: DataFrame, y: str, metric: str, weight: str | None = None, by: Seq
     return df.groupBy(*by).agg(expr.alias("score"))
 
 
-def permute(df: DataFrame, key: Sequence[str], cols: Sequence[str], seed: int, rep: int) -> DataFrame:
-    """Shuffle each column independently of the rest of the row.
+def shuffled_copies(df: DataFrame, key: Sequence[str], cols: Sequence[str], seed: int, repeats: int) -> DataFrame:
+    """One copy of ``df`` per (``_f``, ``_rep``) with the column ``_f`` shuffled.
 
-    Position by key meets position by a hash of (seed, rep, column, key): two
-    distributed row numbers and an equi join, no sort in one task.
+    Rows are numbered once, in the order of a hash of their key, so neighbours
+    are unrelated.  A copy takes the column from the row a drawn number of
+    places further on, around the end: a permutation for any number of rows,
+    and one equi join serves all copies.  The drawn shift is never zero (but
+    for a single row).
     """
-    base = O.running(df, [], list(key), number="_at")
-    for c in cols:
-        h = F.md5(F.concat_ws("|", F.lit(seed), F.lit(rep), F.lit(c), *[F.col(k).cast("string") for k in key]))
-        src = O.running(df.select(*key, c).withColumn("_h", h), [], ["_h", *key], number="_at").select("_at", F.col(c).alias(f"_p_{c}"))
-        base = base.join(src, "_at")
-    return base.drop("_at")
+    h = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in key]))
+    at = O.running(df.withColumn("_h", h), [], ["_h", *key], number="_at").drop("_h").withColumn("_at", F.col("_at") - 1)
+    many = at.transform(attach_row, at.agg(F.count(F.lit(1)).alias("_n"))).withColumn(
+        "_f", F.explode(F.array(*[F.lit(c) for c in cols]))).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    shift = I.hash_uniform_int(F.greatest(F.col("_n") - 1, F.lit(1)), F.lit(seed), F.col("_rep"), F.col("_f")) + 1
+    many = many.withColumn("_src", (F.col("_at") + shift) % F.col("_n"))
+    source = at.select(F.col("_at").alias("_src"), *[F.col(c).alias(f"_p_{c}") for c in cols])
+    taken = {c: F.when(F.col("_f") == c, F.col(f"_p_{c}")).otherwise(F.col(c)) for c in cols}
+    return many.join(source, "_src").withColumns(taken).drop("_src", "_at", "_n", *[f"_p_{c}" for c in cols])
 
 
 def permutation_importance(
-    df: DataFrame, predict: Predict, key: Sequence[str], features: Sequence[str], y: str, *, metric: str = "mae", repeats: int = 1,
+    df: DataFrame, predict: Predict, key: Sequence[str], features: Sequence[str], y: str, *, metric: str = "mae", repeats: int = 10,
     weight: str | None = None, seed: int = P.SEED,
 ) -> DataFrame:
     """(feature, importance, std): loss of score when a feature is shuffled.
 
-    One shuffled copy per repeat serves all features: each is swapped in turn
-    by a literal array on the row, so scoring is a single aggregate.
+    All copies are scored by a single aggregate.
     """
     base = score(predict(df), y, metric, weight).withColumnRenamed("score", "_base")
-    runs = None
-    for r in range(repeats):
-        p = permute(df, key, features, seed, r)
-        copies = p.withColumn("_f", F.explode(F.array(*[F.lit(f) for f in features])))
-        for f in features:
-            copies = copies.withColumn(f, F.when(F.col("_f") == f, F.col(f"_p_{f}")).otherwise(F.col(f)))
-        s = score(predict(copies), y, metric, weight, ["_f"])
-        runs = s if runs is None else runs.unionByName(s)
-    j = runs.transform(attach_row, base)
+    runs = score(predict(shuffled_copies(df, key, features, seed, repeats)), y, metric, weight, ["_f", "_rep"])
     d = F.col("_base") - F.col("score")
-    return j.groupBy(F.col("_f").alias("feature")).agg(F.avg(d).alias("importance"), F.stddev_pop(d).alias("std"))
+    return runs.transform(attach_row, base).groupBy(F.col("_f").alias("feature")).agg(
+        F.avg(d).alias("importance"), F.stddev_pop(d).alias("std"))
 
 
 def fold_importance(per_fold: DataFrame) -> DataFrame:

@@ -142,7 +142,8 @@ def validate_rules(
     """Check (dimension, bucket) rules in both periods with one bootstrap.
 
     A rule holds when the lower end beats the null in train and in test; a
-    period with fewer than ``min_rows`` rows is insufficient.
+    period with fewer than ``min_rows`` rows is insufficient.  Every rule has a
+    row in the result, also one without any rows.
     """
     null_value = kw.get("null_value", P.ROI_NULL)
     dims = {d: d for d, _ in rules}
@@ -157,30 +158,36 @@ def validate_rules(
     side = lambda p, c: F.max(F.when(F.col("period") == p, F.when(enough, F.col(c))))
     flag = lambda p: F.coalesce(F.max(F.when(F.col("period") == p, F.col("profitable"))), F.lit(False))
     rows = lambda p: F.coalesce(F.max(F.when(F.col("period") == p, F.col("n_samples"))), F.lit(0))
-    return ci.groupBy("analysis", "bucket").agg(
+    named = df.sparkSession.createDataFrame([tuple(r) for r in rules], "analysis string, bucket string").distinct()
+    checked = ci.groupBy("analysis", "bucket").agg(
         *[side(p, c).alias(f"{p}_{n}") for p in ("train", "test")
           for c, n in (("point_estimate", "roi"), ("ci_lower", "ci_lower"), ("ci_upper", "ci_upper"))],
         *[F.coalesce(side(p, "p_value"), F.lit(1.0)).alias(f"{p}_p_value") for p in ("train", "test")],
         *[rows(p).alias(f"{p}_n") for p in ("train", "test")],
         (flag("train") & flag("test")).alias("holds"))
+    # a rule no row falls under does not hold
+    none = {"train_p_value": F.lit(1.0), "test_p_value": F.lit(1.0), "train_n": F.lit(0), "test_n": F.lit(0), "holds": F.lit(False)}
+    return named.join(checked, ["analysis", "bucket"], "left").withColumns({c: F.coalesce(c, v) for c, v in none.items()})
 
 
-def poisson_cuts(cap: int = 12) -> list[float]:
-    """Distribution function of Poisson(1) at 0..cap-1."""
+def poisson_cuts(steps: int = 2 ** 31) -> list[float]:
+    """Distribution function of Poisson(1) at 0, 1, ... until the next count is
+    out of reach of a uniform with ``steps`` values."""
     from math import exp, factorial
     total, out = 0.0, []
-    for k in range(cap):
-        total += exp(-1) / factorial(k)
+    while total <= 1 - 1 / steps:
+        total += exp(-1) / factorial(len(out))
         out.append(total)
     return out
 
 
-def poisson_one(u: Column, cap: int = 12) -> Column:
+def poisson_one(u: Column) -> Column:
     """Poisson(1) count from a uniform by inverting the distribution function."""
+    cuts = poisson_cuts()
     chain = None
-    for k, cut in enumerate(poisson_cuts(cap)):
+    for k, cut in enumerate(cuts):
         chain = F.when(u < cut, F.lit(k)) if chain is None else chain.when(u < cut, F.lit(k))
-    return chain.otherwise(F.lit(cap))
+    return chain.otherwise(F.lit(len(cuts)))
 
 
 def row_bootstrap_rmse(
@@ -208,7 +215,8 @@ def row_bootstrap_auc(
     """Row bootstrap of the area under the ROC curve with Poisson(1) weights.
 
     Weights are summed per (replicate, score) first; the weighted rank sum then
-    runs over distinct scores with the distributed running sum.
+    runs over distinct scores with the distributed running sum.  A resample of
+    one class counts 0.5.
     """
     reps = df.select(*key, label, score, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_rep"))
     u = hash_uniform_int(F.lit(2 ** 31), F.lit(seed), F.col("_rep"), *[F.col(k) for k in key]) / F.lit(float(2 ** 31))
@@ -217,7 +225,7 @@ def row_bootstrap_auc(
     run = ordered.running(w, ["_rep"], [score], sums={"_cum": "_n"})
     mean_rank = F.col("_cum") - F.col("_n") + (F.col("_n") + 1) / 2
     per = run.groupBy("_rep").agg(F.sum(mean_rank * F.col("_p")).alias("_r"), F.sum("_p").alias("_P"), F.sum("_n").alias("_N"))
-    x = per.withColumn("x", ratio(F.col("_r") - F.col("_P") * (F.col("_P") + 1) / 2, F.col("_P") * (F.col("_N") - F.col("_P"))))
+    x = per.withColumn("x", F.coalesce(ratio(F.col("_r") - F.col("_P") * (F.col("_P") + 1) / 2, F.col("_P") * (F.col("_N") - F.col("_P"))), F.lit(0.5)))
     a = (1 - ci) / 2
     q = x.agg(F.percentile("x", F.array(F.lit(a), F.lit(1 - a))).alias("_q"), F.stddev_pop("x").alias("std"))
     return q.select(F.col("_q")[0].alias("ci_lower"), F.col("_q")[1].alias("ci_upper"), "std")

@@ -216,15 +216,21 @@ def adf_t(df: DataFrame, entity: Sequence[str], date: str, col: str) -> DataFram
 
 def min_stationary_order(
     df: DataFrame, entity: Sequence[str], date: str, col: str, grid: Sequence[float], *, threshold: float = 1e-5,
-    critical: float = -2.86,
+    critical: float = -2.86, min_length: int = 10,
 ) -> DataFrame:
-    """Smallest differencing order of the grid whose unit-root t is below critical."""
+    """Smallest differencing order of the grid whose unit-root t is below critical.
+
+    A differenced series of fewer than ``min_length`` values is not tested; 1.0
+    stands where no order passes.
+    """
     w = timeline(entity, date)
     wide = df
     for i, d in enumerate(grid):
         wide = frac_diff(wide, col, w, d, threshold, f"_d{i}")
     pairs = F.array(*[F.struct(F.lit(float(d)).alias("d"), F.col(f"_d{i}").alias("x")) for i, d in enumerate(grid)])
     long = wide.select(*entity, date, F.explode(pairs).alias("_p")).select(*entity, date, "_p.d", "_p.x")
-    t = adf_t(long, [*entity, "d"], date, "x")
-    return t.groupBy(*entity).agg(F.min(F.when(F.col("t") < critical, F.col("d"))).alias("min_d"),
-                                  F.count(F.lit(1)).alias("n_orders_tested"))
+    # the regression loses two values to its lags
+    t = adf_t(long, [*entity, "d"], date, "x").where(F.col("n") >= min_length - 2)
+    found = t.groupBy(*entity).agg(F.min(F.when(F.col("t") < critical, F.col("d"))).alias("_d"), F.count(F.lit(1)).alias("_n"))
+    return df.select(*entity).distinct().join(found, list(entity), "left").select(
+        *entity, F.coalesce("_d", F.lit(1.0)).alias("min_d"), F.coalesce("_n", F.lit(0)).alias("n_orders_tested"))

@@ -198,7 +198,7 @@ def daily(t):
     return e.groupBy("user_id", "day").agg(F.avg("value").alias("v"))
 
 
-_GRID = [0.0, 0.25, 0.5, 0.75, 1.0]
+_GRID = [i / 10 for i in range(11)]
 
 
 def _adf_sql(i):
@@ -213,11 +213,11 @@ a1 AS (SELECT *, lag(x) OVER w AS x1, x - lag(x) OVER w AS z FROM lg WHERE x IS
 a2 AS (SELECT *, lag(z) OVER (PARTITION BY user_id, d ORDER BY day) AS x2 FROM a1),
 s AS (SELECT user_id, d, count(*) AS n, covar_pop(x1,x1)*count(*) AS s11, covar_pop(x2,x2)*count(*) AS s22,
       covar_pop(x1,x2)*count(*) AS s12, covar_pop(x1,z)*count(*) AS s1z, covar_pop(x2,z)*count(*) AS s2z,
-      covar_pop(z,z)*count(*) AS szz FROM a2 WHERE x2 IS NOT NULL GROUP BY 1, 2),
+      covar_pop(z,z)*count(*) AS szz FROM a2 WHERE x2 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 8),
 b AS (SELECT *, (s1z*s22 - s2z*s12)/(s11*s22-s12*s12) AS b1, (s2z*s11 - s1z*s12)/(s11*s22-s12*s12) AS b2 FROM s WHERE n > 3),
 v AS (SELECT *, (szz - b1*s1z - b2*s2z)/(n-3) AS s2 FROM b),
 t AS (SELECT *, CASE WHEN s2 > 0 THEN b1/sqrt(s2*s22/(s11*s22-s12*s12)) END AS t FROM v)
-SELECT user_id, min(CASE WHEN t < -2.86 THEN d END) AS min_d, count(*) AS n_orders_tested FROM t GROUP BY 1""")
+SELECT u.user_id, coalesce(min(CASE WHEN t < -2.86 THEN d END), 1.0::DOUBLE) AS min_d, count(t.user_id) AS n_orders_tested FROM (SELECT DISTINCT user_id FROM dl) u LEFT JOIN t ON t.user_id = u.user_id GROUP BY 1""")
 def _(t):
     return W.min_stationary_order(daily(t), ["user_id"], "day", "v", _GRID, threshold=0.1)
 

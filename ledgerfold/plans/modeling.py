@@ -24,11 +24,11 @@ def _(t):
 
 
 @query("J16_fold_join", EV + """
-SELECT (f.no - 71)::INT AS fold, count(*) FILTER (e.no < f.no) AS n_train, count(*) FILTER (e.no = f.no) AS n_test
-FROM players p JOIN ev e USING (date_id) JOIN ev f ON f.no > 70 AND e.no <= f.no GROUP BY 1""")
+SELECT (f.no - 21)::INT AS fold, count(*) FILTER (e.no < f.no) AS n_train, count(*) FILTER (e.no = f.no) AS n_test
+FROM players p JOIN ev e USING (date_id) JOIN ev f ON f.no > 20 AND e.no <= f.no GROUP BY 1""")
 def _(t):
     per = t.players.groupBy("date_id").agg(F.count(F.lit(1)).alias("c"))  # reduce before meeting the folds
-    j = per.join(V.walk_forward_roles(t.players, "date_id", 70), "date_id")
+    j = per.join(V.walk_forward_roles(t.players, "date_id", P.MIN_TRAIN_EVENTS), "date_id")
     rows = lambda role: F.sum(F.when(F.col("role") == role, F.col("c")).otherwise(0))
     return j.groupBy("fold").agg(rows("train").alias("n_train"), rows("test").alias("n_test"))
 
@@ -212,13 +212,13 @@ def fold_report(cv, keys=("fold",)):
 
 
 @query("M02_ridge_walk_forward", EV + """
-, tr AS (SELECT f.no AS fno, f.date_id AS test, p.* EXCLUDE (date_id) FROM ev f JOIN ev e ON e.no < f.no JOIN players p ON p.date_id = e.date_id WHERE f.no > 60)
+, tr AS (SELECT f.no AS fno, f.date_id AS test, p.* EXCLUDE (date_id) FROM ev f JOIN ev e ON e.no < f.no JOIN players p ON p.date_id = e.date_id WHERE f.no > 20)
 """ + RIDGE.format(by="test,", src="tr GROUP BY test", a="1.0::DOUBLE") + """
 , pr AS (SELECT test, p.actual_points AS y, least(greatest(my - w1*m1 - w2*m2 + w1*close_prob + w2*ownership, 0), 100) AS yh FROM players p JOIN cf ON p.date_id = test)
-SELECT (no - 61)::INT AS fold, round(avg(abs(yh-y)), 4) AS mae, round(sqrt(avg((yh-y)*(yh-y))), 4) AS rmse, round(1 - sum((yh-y)*(yh-y))/(var_pop(y)*count(*)), 4) AS r2,
+SELECT (no - 21)::INT AS fold, round(avg(abs(yh-y)), 4) AS mae, round(sqrt(avg((yh-y)*(yh-y))), 4) AS rmse, round(1 - sum((yh-y)*(yh-y))/(var_pop(y)*count(*)), 4) AS r2,
        round(avg(yh), 4) AS mean_pred, round(avg(y), 9) AS mean_actual, round(avg(yh)/avg(y), 4) AS calibration_ratio, count(*) AS n FROM pr JOIN ev ON date_id = test GROUP BY no""")
 def ridge_walk_forward(t):
-    return fold_report(M.ridge_walk_forward(t.players, X2, "actual_points", min_train=60))
+    return fold_report(M.ridge_walk_forward(t.players, X2, "actual_points", min_train=P.MIN_TRAIN_EVENTS))
 
 
 @query("M02_forest_walk_forward")
@@ -368,14 +368,14 @@ def _(t):
 
 @query("V07_row_bootstrap_rmse", PRED + """
 , rp AS (SELECT b, pow(actual_points-prediction, 2) AS se, ('0x'||substr(md5('42|'||b||'|'||player_id||'|'||contest_id),1,8))::UBIGINT::BIGINT % 2147483648 / 2147483648.0::DOUBLE AS u
-         FROM pr, (SELECT unnest(range(20)) AS b)),
+         FROM pr, (SELECT unnest(range(1000)) AS b)),
 w AS (SELECT b, se, (u >= exp(-1))::INT + (u >= exp(-1)*2)::INT + (u >= exp(-1)*2.5::DOUBLE)::INT + (u >= exp(-1)*(2.5::DOUBLE+1.0::DOUBLE/6))::INT
         + (u >= exp(-1)*(2.5::DOUBLE+1.0::DOUBLE/6+1.0::DOUBLE/24))::INT + (u >= exp(-1)*(2.5::DOUBLE+1.0::DOUBLE/6+1.0::DOUBLE/24+1.0::DOUBLE/120))::INT
         + (u >= exp(-1)*(2.5::DOUBLE+1.0::DOUBLE/6+1.0::DOUBLE/24+1.0::DOUBLE/120+1.0::DOUBLE/720))::INT + (u >= 0.99998980439::DOUBLE)::INT + (u >= 0.99999887479::DOUBLE)::INT + (u >= 0.99999988862::DOUBLE)::INT AS wt FROM rp),
 x AS (SELECT b, sqrt(sum(se*wt)/sum(wt)) AS x FROM w GROUP BY 1)
 SELECT round((SELECT sqrt(avg(pow(actual_points-prediction, 2))) FROM pr), 4) AS rmse, round(quantile_cont(x, 0.025), 4) AS ci_lower, round(quantile_cont(x, 0.975), 4) AS ci_upper FROM x""")
 def _(t):
-    b = I.row_bootstrap_rmse(predicted(t), ["player_id", "contest_id"], "actual_points", "prediction", draws=20)
+    b = I.row_bootstrap_rmse(predicted(t), ["player_id", "contest_id"], "actual_points", "prediction", draws=1000)
     return b.select(r6("rmse", 4).alias("rmse"), r6("ci_lower", 4).alias("ci_lower"), r6("ci_upper", 4).alias("ci_upper"))
 
 
@@ -405,24 +405,32 @@ def rule(extra: str = ""):
 KEY = ["player_id", "contest_id"]
 
 
+REPEATS = 10
+
+
 def swap_sql(col, seed=42, src="players"):
-    return f"""SELECT '{col}' AS feature, avg(abs(actual_points - {FSQL.replace(col, 's.v')})) AS e FROM
-  (SELECT *, row_number() OVER (ORDER BY player_id, contest_id) AS posn FROM {src}) b JOIN
-  (SELECT {col} AS v, row_number() OVER (ORDER BY md5('{seed}|0|{col}|'||player_id||'|'||contest_id), player_id, contest_id) AS posn FROM {src}) s USING (posn)"""
+    """Mean error per repeat with ``col`` taken from the row a drawn shift further on in hash order."""
+    return f"""SELECT '{col}' AS feature, rep, avg(abs(actual_points - {FSQL.replace(col, 's.v')})) AS e FROM
+  (SELECT *, (h.place + ('0x'||substr(md5('{seed}|'||rep||'|{col}'),1,8))::UBIGINT::BIGINT % greatest(h.n-1, 1) + 1) % h.n AS src_at FROM {src}_h h, (SELECT unnest(range({REPEATS})) AS rep)) b
+  JOIN (SELECT place AS src_at, {col} AS v FROM {src}_h) s USING (src_at) GROUP BY rep"""
+
+
+def hashed_sql(src, seed=42):
+    return f"""{src}_h AS (SELECT *, row_number() OVER (ORDER BY md5('{seed}|'||player_id||'|'||contest_id), player_id, contest_id) - 1 AS place, count(*) OVER () AS n FROM {src})"""
 
 
 @query("I01_permutation_importance", f"""
-, r AS ({swap_sql('close_prob')} UNION ALL {swap_sql('ownership')}), b AS (SELECT avg(abs(actual_points - {FSQL})) AS e0 FROM players)
-SELECT feature, round(e - e0, 6) AS importance, 0.0::DOUBLE AS std FROM r, b""")
+, {hashed_sql('players')}, r AS ({swap_sql('close_prob')} UNION ALL {swap_sql('ownership')}), b AS (SELECT avg(abs(actual_points - {FSQL})) AS e0 FROM players)
+SELECT feature, round(avg(e - e0), 6) AS importance, round(stddev_pop(e - e0), 6) AS std FROM r, b GROUP BY 1""")
 def _(t):
     d = t.players.select(*KEY, "close_prob", "ownership", "actual_points")
-    return rounded(X.permutation_importance(d, rule(), KEY, ["close_prob", "ownership"], "actual_points"), ["feature"], ["importance", "std"])
+    return rounded(X.permutation_importance(d, rule(), KEY, ["close_prob", "ownership"], "actual_points", repeats=REPEATS), ["feature"], ["importance", "std"])
 
 
 PERIODS = [(1990, 1996), (1997, 1999), (2000, 2100)]
-_FOLD_IMP = ", ".join(f"p{i} AS (SELECT * FROM players WHERE date_id // 10000 BETWEEN {lo} AND {hi})" for i, (lo, hi) in enumerate(PERIODS))
+_FOLD_IMP = ", ".join(f"p{i} AS (SELECT * FROM players WHERE date_id // 10000 BETWEEN {lo} AND {hi}), {hashed_sql(f'p{i}', 42 + i)}" for i, (lo, hi) in enumerate(PERIODS))
 _FOLD_ROWS = " UNION ALL ".join(
-    f"SELECT {i} AS fold, feature, e - (SELECT avg(abs(actual_points - {FSQL})) FROM p{i}) AS imp FROM ({swap_sql(c, 42 + i, f'p{i}')})"
+    f"SELECT {i} AS fold, any_value(feature) AS feature, avg(e) - (SELECT avg(abs(actual_points - {FSQL})) FROM p{i}) AS imp FROM ({swap_sql(c, 42 + i, f'p{i}')})"
     for i in range(len(PERIODS)) for c in ("close_prob", "ownership"))
 
 
@@ -434,44 +442,44 @@ def _(t):
     out = None
     for i, (lo, hi) in enumerate(PERIODS):
         d = years.where(F.col("year").between(lo, hi)).select(*KEY, "close_prob", "ownership", "actual_points")
-        one = X.permutation_importance(d, rule(), KEY, ["close_prob", "ownership"], "actual_points", seed=42 + i).select(
+        one = X.permutation_importance(d, rule(), KEY, ["close_prob", "ownership"], "actual_points", seed=42 + i, repeats=REPEATS).select(
             "feature", F.lit(i).alias("fold"), "importance")
         out = one if out is None else out.unionByName(one)
     return rounded(X.fold_importance(out), ["feature"], ["mean_importance", "std_importance", "mean_rank", "std_rank", "rank_stability"])
 
 
 @query("I03_partial_dependence", f"""
-, q AS (SELECT quantile_cont(close_prob, 0.05) AS lo, quantile_cont(close_prob, 0.95) AS hi FROM players), g AS (SELECT lo + (hi-lo)*i/9 AS v FROM q, (SELECT unnest(range(10)) AS i))
+, q AS (SELECT quantile_cont(close_prob, 0.05) AS lo, quantile_cont(close_prob, 0.95) AS hi FROM players), g AS (SELECT lo + (hi-lo)*i/49 AS v FROM q, (SELECT unnest(range(50)) AS i))
 SELECT round(v, 6) AS grid_value, round(avg({FSQL.replace('close_prob', 'v')}), 6) AS pd FROM players, g GROUP BY v""")
 def _(t):
     d = t.players.select("close_prob", "ownership")
-    return rounded(X.partial_dependence(d, rule(), "close_prob", grid=10), [], ["grid_value", "pd"])
+    return rounded(X.partial_dependence(d, rule(), "close_prob", grid=50), [], ["grid_value", "pd"])
 
 
 @query("I03_partial_dependence_2d", f"""
 , q AS (SELECT min(close_prob) AS a, max(close_prob) AS b, min(ownership) AS c, max(ownership) AS d FROM players),
-g AS (SELECT a + (b-a)*i/4 AS v1, c + (d-c)*j/4 AS v2 FROM q, (SELECT unnest(range(5)) AS i), (SELECT unnest(range(5)) AS j))
+g AS (SELECT a + (b-a)*i/24 AS v1, c + (d-c)*j/24 AS v2 FROM q, (SELECT unnest(range(25)) AS i), (SELECT unnest(range(25)) AS j))
 SELECT round(v1, 6) AS v1, round(v2, 6) AS v2, round({FSQL.replace('close_prob', 'v1').replace('ownership', 'v2')}, 6) AS pd FROM g""")
 def _(t):
     d = t.players.select("close_prob", "ownership")
-    return rounded(X.partial_dependence_2d(d, rule(), "close_prob", "ownership", grid=5), [], ["v1", "v2", "pd"])
+    return rounded(X.partial_dependence_2d(d, rule(), "close_prob", "ownership", grid=25), [], ["v1", "v2", "pd"])
 
 
 @query("I04_accumulated_local_effects", f"""
-, q AS (SELECT list_sort(list_distinct(quantile_cont(close_prob, [0,0.2,0.4,0.6,0.8,1.0]))) AS ed FROM players),
+, q AS (SELECT list_sort(list_distinct(quantile_cont(close_prob, [x/50 for x in range(51)]))) AS ed FROM players),
 b AS (SELECT *, least(greatest(len(list_filter(ed, lambda x: x <= close_prob)) - 1, 0), len(ed) - 2)::INT AS bin FROM players, q),
 l AS (SELECT bin, any_value(ed[bin+1]) AS a, any_value(ed[bin+2]) AS z, avg({FSQL.replace('close_prob', 'ed[bin+2]')} - {FSQL.replace('close_prob', 'ed[bin+1]')}) AS d FROM b GROUP BY 1),
 c AS (SELECT bin, (a+z)/2 AS center, sum(d) OVER (ORDER BY bin) AS s FROM l)
 SELECT bin, round(center, 6) AS center, round(s - avg(s) OVER (), 6) AS ale FROM c""")
 def _(t):
     d = t.players.select("close_prob", "ownership")
-    return rounded(X.ale(d, rule(), "close_prob", 5), ["bin"], ["center", "ale"])
+    return rounded(X.ale(d, rule(), "close_prob", 50), ["bin"], ["center", "ale"])
 
 
 @query("I05_interactions")
 def _(t):
     d = t.players.select("close_prob", "ownership", "salary")
-    return rounded(X.interactions(d, rule(" + salary / 1000"), ["close_prob", "ownership", "salary"], grid=5), ["feature1", "feature2"], ["h"])
+    return rounded(X.interactions(d, rule(" + salary / 1000"), ["close_prob", "ownership", "salary"], grid=20), ["feature1", "feature2"], ["h"])
 
 
 @query("I06_linear_attribution", """
@@ -591,12 +599,12 @@ def _(t):
 
 
 @query("T08_walk_forward_backtest", EV + """
-, tr AS (SELECT f.no AS fno, f.date_id AS test, p.* EXCLUDE (date_id) FROM ev f JOIN ev e ON e.no < f.no JOIN players p ON p.date_id = e.date_id WHERE f.no > 60)
+, tr AS (SELECT f.no AS fno, f.date_id AS test, p.* EXCLUDE (date_id) FROM ev f JOIN ev e ON e.no < f.no JOIN players p ON p.date_id = e.date_id WHERE f.no > 20)
 """ + RIDGE.format(by="test,", src="tr GROUP BY test", a="1.0::DOUBLE") + """
 , pr AS (SELECT test, p.actual_points AS y, least(greatest(my - w1*m1 - w2*m2 + w1*close_prob + w2*ownership, 0), 100) AS yh FROM players p JOIN cf ON p.date_id = test),
 re AS (SELECT test, (y - yh)/(abs(yh) + 1e-8) AS r FROM pr)
-SELECT (no - 61)::INT AS fold, count(*) AS n_trades, round(sum(r), 4) AS total_return, round((avg(r)*52 - 0.02::DOUBLE)/(stddev_samp(r)*sqrt(52)), 4) AS sharpe FROM re JOIN ev ON date_id = test GROUP BY no""")
+SELECT (no - 21)::INT AS fold, count(*) AS n_trades, round(sum(r), 4) AS total_return, round((avg(r)*52 - 0.02::DOUBLE)/(stddev_samp(r)*sqrt(52)), 4) AS sharpe FROM re JOIN ev ON date_id = test GROUP BY no""")
 def _(t):
-    p = M.ridge_walk_forward(t.players, X2, "actual_points", min_train=60)
+    p = M.ridge_walk_forward(t.players, X2, "actual_points", min_train=P.MIN_TRAIN_EVENTS)
     m = S.risk_metrics(p.withColumn("r", S.strategy_return("actual_points", "prediction", F.lit(1.0))), ["fold"], "r")
     return m.select("fold", "n_trades", r6("total_return", 4).alias("total_return"), r6("sharpe", 4).alias("sharpe"))

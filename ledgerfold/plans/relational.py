@@ -613,5 +613,6 @@ def _(t):
 @query("F03_similarity_ratio")
 def _(t):
     from ledgerfold.operators.identity import similarity
-    d = t.documents.select("doc_id", F.concat_ws(" ", F.slice(F.split("text", " "), 1, 3)).alias("a"))
-    return d.withColumn("b", F.expr("substr(a, 2)")).select("doc_id", r6(similarity("a", "b")).alias("ratio"))
+    d = t.part.select("p_partkey", S.normalize_name("p_name").alias("a"), F.lower("p_brand").alias("b"))
+    pairs = d.select("a", "b").distinct().withColumn("ratio", r6(similarity("a", "b")))  # each pair of values once
+    return d.join(pairs, ["a", "b"]).select("p_partkey", "ratio")

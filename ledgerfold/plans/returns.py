@@ -353,6 +353,7 @@ def _(t):
                                    F.min("date_id").alias("first_date"), F.max("date_id").alias("last_date"))
 
 
+_RULE_ROWS = ", ".join(f"('{d}', '{b}')" for d, b in P.PRIORITY_RULES)
 _RULES = " OR ".join(f"(analysis = '{d}' AND bucket = '{b}')" for d, b in P.PRIORITY_RULES)
 
 
@@ -368,7 +369,7 @@ SELECT analysis, bucket,
  coalesce(max(n_samples) FILTER (period='train'), 0) AS train_n, coalesce(max(n_samples) FILTER (period='test'), 0) AS test_n,
  coalesce(max(ci_lower) FILTER (period='train' AND n_samples >= 100) > 1, false)
    AND coalesce(max(ci_lower) FILTER (period='test' AND n_samples >= 100) > 1, false) AS holds
-FROM boot GROUP BY 1, 2""")
+FROM (SELECT * FROM (VALUES """ + _RULE_ROWS + """) v(analysis, bucket)) rules LEFT JOIN boot USING (analysis, bucket) GROUP BY 1, 2""")
 def _(t):
     v = I.validate_rules(regime_entries(t), P.PRIORITY_RULES, draws=2000)
     return v.select("analysis", "bucket", *[r6(c).alias(c) for c in

@@ -42,16 +42,6 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan that has fewer splits than cores one split per core.
-
-    A table of many files is returned as it is, so large inputs never shuffle
-    here; a single small file is not left to one core.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables, as named by ``spark.checkpoint.dir``.
 

@@ -76,24 +76,46 @@ def overwrite(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> Non
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def latest(incoming: DataFrame, keys: Sequence[str], batch: str | None = None) -> DataFrame:
+    """One row per key: the one of the largest ``batch``; without it, or among
+    equal batches, the row whose values are largest, so a rerun agrees."""
+    rest = [c for c in incoming.columns if c not in {*keys, batch}]
+    order = F.struct(*([batch] if batch else []), *rest)
+    one = incoming.groupBy(*keys).agg(F.max(order).alias("_row"))
+    return one.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in incoming.columns])
+
+
 def merge_rows(current: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Upsert: rows of ``incoming`` replace rows with the same key."""
-    rest = current.join(incoming.select(*keys).distinct(), list(keys), "left_anti")
+    """Upsert: rows of ``incoming``, unique per key, replace rows with the same key."""
+    rest = current.join(incoming.select(*keys), list(keys), "left_anti")
     return rest.unionByName(incoming, allowMissingColumns=True)
 
 
-def upsert(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], partition: str) -> None:
+def upsert(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], partition: str, batch: str | None = None) -> None:
     """Upsert into a partitioned table, rewriting only the partitions touched.
 
-    Assumes ``partition`` is part of the key or fixed per key.  The result is
-    staged first because a table cannot be overwritten while it is read.
+    Of several incoming rows with one key the latest ``batch`` wins.  Touched
+    are the partitions of the incoming rows and those that hold their keys now,
+    so a key may move.  Keys and partition values are not null.  The result is
+    staged first because a table cannot be overwritten while it is read; a
+    partition whose last row moved away is removed after that.  Running it
+    again after a failure gives the same table.
     """
     current = spark.read.parquet(path)
-    touched = current.join(incoming.select(partition).distinct(), partition, "left_semi")
+    new = latest(incoming, keys, batch)
+    moved = current.join(new.select(*keys), list(keys), "left_semi").select(partition)
+    touched = current.join(moved.unionByName(new.select(partition)).distinct(), partition, "left_semi")
     stage = f"{scratch_dir(spark)}/upsert-{uuid.uuid4().hex}"
-    merge_rows(touched, incoming, keys).select(*current.columns).write.parquet(stage)
-    (spark.read.parquet(stage).select(*current.columns).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
+    merge_rows(touched, new, keys).select(*current.columns).write.parquet(stage)
+    merged = spark.read.schema(current.schema).parquet(stage)
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+    held = current.select(partition, folder.alias("_folder")).join(moved.distinct(), partition, "left_semi")
+    emptied = held.join(merged.select(partition).distinct(), partition, "left_anti").select("_folder").distinct()
+    folders = [r["_folder"] for r in emptied.collect()]  # at most one per partition
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    for name in folders:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def write_json(df: DataFrame, path: str) -> None:

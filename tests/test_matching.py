@@ -141,6 +141,26 @@ def test_upsert_rewrites_only_touched_partitions(spark, tmp_path):
     assert {p.name for p in (tmp_path / "t" / "d=11").glob("*.parquet")} == before
 
 
+def test_upsert_latest_batch_wins_and_keys_may_move(spark, tmp_path):
+    path = str(tmp_path / "t")
+    T.overwrite(frame(spark, [(1, 1.0, 10, 0), (2, 2.0, 11, 0), (3, 3.0, 12, 0)], "k int, v double, d int, batch int"), path, ["d"])
+    new = frame(spark, [(1, 5.0, 12, 2), (1, 9.0, 10, 1), (2, 7.0, 12, 1)], "k int, v double, d int, batch int")
+    for _ in range(2):  # a second run changes nothing
+        T.upsert(spark, path, new, ["k"], "d", batch="batch")
+        got = sorted(tuple(r) for r in spark.read.parquet(path).select("k", "v", "d").collect())
+        assert got == [(1, 5.0, 12), (2, 7.0, 12), (3, 3.0, 12)]
+    assert not (tmp_path / "t" / "d=11").exists()
+
+
+def test_two_sets_that_lack_the_same_pair(spark):
+    res = frame(spark, [(1, "1:-1:-1", 1, 10, 2, 14000, 30, 7), (2, "2:-1:-1", 2, 10, 2, 14000, 30, 7)],
+                "set_id int, set_key string, contest_id int, date int, n_missing int, r_salary int, r_points int, r_own int")
+    known = frame(spark, [(1, 1), (2, 2)], "set_id int, member bigint")
+    pool = frame(spark, [(10, 8, 6500, 10, 3), (10, 9, 7500, 20, 4), (10, 7, 7500, 20, 5)], "date int, member bigint, salary int, points int, own int")
+    got = sorted(tuple(r) for r in X.two_missing(res, known, pool).collect())
+    assert got == [("1:-1:-1", 8, 9), ("2:-1:-1", 8, 9)]
+
+
 def test_fingerprint_ignores_order_not_content(spark):
     a = frame(spark, [(1, "x"), (2, "y")], "i int, s string")
     b = frame(spark, [(2, "y"), (1, "x")], "i int, s string").repartition(3)

@@ -6,7 +6,8 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
-from ledgerfold.operators import collinear as C, encode as N, explain as X, inference as I, models as M, returns as R, skill as K, strategy as S
+from ledgerfold.operators import (
+    collinear as C, encode as N, explain as X, inference as I, models as M, returns as R, skill as K, strategy as S, windows as W)
 
 
 @pytest.fixture(scope="module")
@@ -198,10 +199,45 @@ def test_permutation_importance_ranks_features(panel):
     assert got["x1"] > got["x2"] > 0
 
 
-def test_permute_keeps_the_values(panel):
+def test_shuffled_copies_keep_the_values(panel):
     df, p = panel
-    out = X.permute(df, ["id"], ["x1"], 42, 0).toPandas()
-    assert sorted(out["_p_x1"]) == sorted(p["x1"]) and not np.allclose(out.sort_values("id")["_p_x1"], p["x1"])
+    out = X.shuffled_copies(df, ["id"], ["x1", "x2"], 42, 3).toPandas()
+    assert len(out) == 6 * len(p)
+    for (f, _), part in out.groupby(["_f", "_rep"]):
+        part, other = part.sort_values("id"), "x2" if f == "x1" else "x1"
+        assert sorted(part[f]) == sorted(p[f]) and not np.allclose(part[f], p.sort_values("id")[f])
+        assert np.allclose(part[other], p.sort_values("id")[other])
+
+
+def test_shuffled_copies_of_one_row_and_none(spark):
+    one = spark.createDataFrame([(1, 2.0)], "id int, x double")
+    assert [r["x"] for r in X.shuffled_copies(one, ["id"], ["x"], 42, 2).collect()] == [2.0, 2.0]
+    assert X.shuffled_copies(one.where("id > 1"), ["id"], ["x"], 42, 2).count() == 0
+
+
+def test_rule_without_rows_is_reported(spark):
+    rows = [(d, 10.0, 1.0, 1.0, "x") for d in range(10) for _ in range(30)]
+    df = spark.createDataFrame(rows, "date_id int, payout double, cost double, user_count double, b string")
+    v = {r["bucket"]: r for r in I.validate_rules(df, [("b", "x"), ("b", "none")], draws=50).collect()}
+    assert v["x"]["holds"] and v["none"]["holds"] is False
+    assert (v["none"]["train_n"], v["none"]["test_n"], v["none"]["train_roi"]) == (0, 0, None)
+
+
+def test_poisson_cuts_reach_the_end_of_the_uniform():
+    cuts = I.poisson_cuts()
+    assert len(cuts) == 12 and cuts[-1] > 1 - 2 ** -31 >= cuts[-2]
+
+
+def test_one_class_resample_counts_half(spark):
+    df = spark.createDataFrame([(i, 1, float(i)) for i in range(20)], "id int, y int, s double")
+    r = I.row_bootstrap_auc(df, ["id"], "y", "s", draws=10).first()
+    assert (r["ci_lower"], r["ci_upper"]) == (0.5, 0.5)
+
+
+def test_order_is_one_without_a_testable_series(spark):
+    df = spark.createDataFrame([("a", i, float(i)) for i in range(6)], "e string, d int, v double")
+    r = W.min_stationary_order(df, ["e"], "d", "v", [0.0, 0.5], threshold=0.1).first()
+    assert (r["min_d"], r["n_orders_tested"]) == (1.0, 0)
 
 
 def test_product_interacts_more_than_sum(panel):
