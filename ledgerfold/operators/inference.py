@@ -8,8 +8,10 @@ partitioning, and shared by all groups with the same number of events.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -190,8 +192,22 @@ def poisson_one(u: Column) -> Column:
     return chain.otherwise(F.lit(len(cuts)))
 
 
+DRAW_PRIME = 2 ** 31 - 1
+
+
+def draw_seeds(seed: int, key: Sequence[str]) -> dict[str, Column]:
+    """Two 32-bit numbers per row; replicate b draws ``(_s1 + b*_s2) mod p``.
+
+    Rows are independent of one another in each replicate, and a row's draws
+    are pairwise independent over the replicates, for one md5 a row.
+    """
+    h = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in key]))
+    part = lambda at: F.conv(F.substring(h, at, 8), 16, 10).cast("long")
+    return {"_s1": part(1), "_s2": part(9)}
+
+
 def row_bootstrap_rmse(
-    df: DataFrame, key: Sequence[str], y: str, yhat: str, *, draws: int = 100, ci: float = P.CONFIDENCE, seed: int = P.SEED
+    df: DataFrame, key: Sequence[str], y: str, yhat: str, *, draws: int = 1000, ci: float = P.CONFIDENCE, seed: int = P.SEED
 ) -> DataFrame:
     """Row bootstrap of RMSE with Poisson(1) weights from a hash.
 
@@ -199,8 +215,9 @@ def row_bootstrap_rmse(
     shuffle carries partitions x draws rows, not rows x draws.
     """
     err2 = F.pow(F.col(y) - F.col(yhat), 2)
-    reps = df.select(*key, err2.alias("_e"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_rep"))
-    u = hash_uniform_int(F.lit(2 ** 31), F.lit(seed), F.col("_rep"), *[F.col(k) for k in key]) / F.lit(float(2 ** 31))
+    reps = df.select(err2.alias("_e"), *[c.alias(n) for n, c in draw_seeds(seed, key).items()]).withColumn(
+        "_rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    u = (F.col("_s1") + F.col("_s2") * F.col("_rep")) % DRAW_PRIME / F.lit(float(DRAW_PRIME))
     per = reps.withColumn("_w", poisson_one(u)).groupBy("_rep").agg(
         F.sqrt(ratio(F.sum(F.col("_e") * F.col("_w")), F.sum("_w"))).alias("x"))
     a = (1 - ci) / 2
@@ -209,23 +226,71 @@ def row_bootstrap_rmse(
     return point.transform(attach_row, q.select(F.col("_q")[0].alias("ci_lower"), F.col("_q")[1].alias("ci_upper"), "std"))
 
 
+def _rank_pieces(draws: int, chunk: int = 1000):
+    """Function for ``mapInPandas`` over rows (_x, _y, _s1, _s2) sorted by _x.
+
+    A task emits its first and its last group of equal scores, which may go on
+    in other tasks, and one row for all between them.  Weights exist only for
+    ``chunk`` rows at a time.
+    """
+    cuts, reps = np.array(poisson_cuts()), np.arange(draws, dtype="int64")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = last = None
+        low, rank, pos, num = None, np.zeros(draws), np.zeros(draws), np.zeros(draws)
+        for pdf in batches:
+            for at in range(0, len(pdf), chunk):
+                part = pdf.iloc[at:at + chunk]
+                x, y = part["_x"].to_numpy(), part["_y"].to_numpy()
+                u = (part["_s1"].to_numpy()[:, None] + part["_s2"].to_numpy()[:, None] * reps) % DRAW_PRIME / DRAW_PRIME
+                w = np.searchsorted(cuts, u, side="right").astype("float64")
+                starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+                xs, n = x[starts], np.add.reduceat(w, starts, axis=0)
+                p = np.add.reduceat(w * y[:, None], starts, axis=0)
+                if last is not None:
+                    if last[0] == xs[0]:
+                        n[0], p[0] = n[0] + last[2], p[0] + last[1]
+                    else:
+                        xs, n, p = np.r_[last[0], xs], np.vstack([last[2], n]), np.vstack([last[1], p])
+                last, xs, n, p = (xs[-1], p[-1].copy(), n[-1].copy()), xs[:-1], n[:-1], p[:-1]
+                if first is None and len(xs):
+                    first, xs, n, p = (xs[0], p[0].copy(), n[0].copy()), xs[1:], n[1:], p[1:]
+                if len(xs):
+                    low = xs[0] if low is None else low
+                    rank += ((num + np.cumsum(n, axis=0) - n + (n + 1) / 2) * p).sum(axis=0)
+                    pos, num = pos + p.sum(axis=0), num + n.sum(axis=0)
+        rows = [(g[0], 0, np.zeros(draws), g[1], g[2]) for g in (first, last) if g is not None]
+        if low is not None:
+            rows.append((low, 1, rank, pos, num))
+        yield pd.DataFrame(rows, columns=["_x", "_inner", "_r", "_p", "_n"])
+
+    return run
+
+
 def row_bootstrap_auc(
-    df: DataFrame, key: Sequence[str], label: str, score: str, *, draws: int = 100, ci: float = P.CONFIDENCE, seed: int = P.SEED
+    df: DataFrame, key: Sequence[str], label: str, score: str, *, draws: int = 1000, ci: float = P.CONFIDENCE, seed: int = P.SEED
 ) -> DataFrame:
     """Row bootstrap of the area under the ROC curve with Poisson(1) weights.
 
-    Weights are summed per (replicate, score) first; the weighted rank sum then
-    runs over distinct scores with the distributed running sum.  A resample of
-    one class counts 0.5.
+    Rows are ordered once by (score, seed), which also spreads a frequent
+    score; each task reduces its range to at most three rows of ``draws``
+    numbers, so rows x draws never exist outside a task's current chunk.  A
+    resample of one class counts 0.5; rows without label or score are left out.
     """
-    reps = df.select(*key, label, score, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_rep"))
-    u = hash_uniform_int(F.lit(2 ** 31), F.lit(seed), F.col("_rep"), *[F.col(k) for k in key]) / F.lit(float(2 ** 31))
-    w = reps.withColumn("_w", poisson_one(u).cast("long")).groupBy("_rep", score).agg(
-        F.sum(F.col("_w") * F.col(label)).alias("_p"), F.sum("_w").alias("_n"))
-    run = ordered.running(w, ["_rep"], [score], sums={"_cum": "_n"})
-    mean_rank = F.col("_cum") - F.col("_n") + (F.col("_n") + 1) / 2
-    per = run.groupBy("_rep").agg(F.sum(mean_rank * F.col("_p")).alias("_r"), F.sum("_p").alias("_P"), F.sum("_n").alias("_N"))
-    x = per.withColumn("x", F.coalesce(ratio(F.col("_r") - F.col("_P") * (F.col("_P") + 1) / 2, F.col("_P") * (F.col("_N") - F.col("_P"))), F.lit(0.5)))
+    x = F.col(score).cast("double")
+    d = df.where(F.col(label).isNotNull() & x.isNotNull() & ~F.isnan(x)).select(
+        x.alias("_x"), F.col(label).cast("double").alias("_y"), *[c.alias(n) for n, c in draw_seeds(seed, key).items()])
+    pieces = d.repartitionByRange("_x", "_s1").sortWithinPartitions("_x").mapInPandas(
+        _rank_pieces(draws), "_x double, _inner int, _r array<double>, _p array<double>, _n array<double>")
+    # tasks x draws rows from here on
+    long = pieces.select("_x", "_inner", F.posexplode(F.arrays_zip("_r", "_p", "_n")).alias("_rep", "_v")).groupBy("_rep", "_x", "_inner").agg(
+        *[F.sum(f"_v.{c}").alias(c) for c in ("_r", "_p", "_n")])
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_rep").orderBy("_x", "_inner").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    mean_rank = F.when(F.col("_inner") == 1, F.col("_before")).otherwise(F.col("_before") + (F.col("_n") + 1) / 2)
+    per = long.withColumn("_before", before).groupBy("_rep").agg(
+        F.sum(F.col("_r") + mean_rank * F.col("_p")).alias("_r"), F.sum("_p").alias("_P"), F.sum("_n").alias("_N"))
+    area = ratio(F.col("_r") - F.col("_P") * (F.col("_P") + 1) / 2, F.col("_P") * (F.col("_N") - F.col("_P")))
     a = (1 - ci) / 2
-    q = x.agg(F.percentile("x", F.array(F.lit(a), F.lit(1 - a))).alias("_q"), F.stddev_pop("x").alias("std"))
+    q = per.select(F.coalesce(area, F.lit(0.5)).alias("x")).agg(
+        F.percentile("x", F.array(F.lit(a), F.lit(1 - a))).alias("_q"), F.stddev_pop("x").alias("std"))
     return q.select(F.col("_q")[0].alias("ci_lower"), F.col("_q")[1].alias("ci_upper"), "std")

@@ -34,7 +34,7 @@ def preprocessing(numeric: Sequence[str], categorical: Sequence[str] = (), out:
     """
     filled = [f"{c}__f" for c in numeric]
     stages = [
-        Imputer(strategy="median", inputCols=list(numeric), outputCols=filled, relativeError=0.001),
+        Imputer(strategy="median", inputCols=list(numeric), outputCols=filled, relativeError=0.0),
         VectorAssembler(inputCols=filled, outputCol="_num"),
         StandardScaler(inputCol="_num", outputCol="_numz", withMean=True, withStd=True),
     ]
@@ -47,6 +47,26 @@ def preprocessing(numeric: Sequence[str], categorical: Sequence[str] = (), out:
     return stages + [VectorAssembler(inputCols=parts, outputCol=out)]
 
 
+def scaled(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()) -> DataFrame:
+    """Add ``<c>_z`` (exact median where missing, then mean 0 and deviation 1) and
+    ``<c>_slot``, the place of a category among the sorted ones (null: null).
+
+    A constant column gives 0.  Medians and moments are one-row tables; the
+    categories meet the rows in a join, so their number is not bounded.
+    """
+    for c in numeric:
+        df = df.transform(attach_row, O.percentiles(df, [], c, {f"_md_{c}": 0.5}))
+    full = df.withColumns({f"_x_{c}": F.coalesce(F.col(c).cast("double"), f"_md_{c}") for c in numeric})
+    moments = full.agg(*[f(f"_x_{c}").alias(f"_{n}_{c}") for c in numeric for n, f in (("mu", F.avg), ("sd", F.stddev_pop))])
+    out = full.transform(attach_row, moments) if numeric else full
+    out = out.withColumns({f"{c}_z": F.coalesce(F.try_divide(F.col(f"_x_{c}") - F.col(f"_mu_{c}"), F.col(f"_sd_{c}")), F.lit(0.0)) for c in numeric})
+    out = out.drop(*[f"_{p}_{c}" for c in numeric for p in ("md", "x", "mu", "sd")])
+    for c in categorical:
+        slots = O.running(df.where(F.col(c).isNotNull()).select(c).distinct(), [], [c], number=f"{c}_slot")
+        out = out.join(slots.withColumn(f"{c}_slot", F.col(f"{c}_slot") - 1), c, "left")
+    return out
+
+
 def estimator(kind: str, label: str, features: str = "features", **kw):
     """``ridge``, ``forest``, ``boosted`` or ``logistic`` with the engine's defaults."""
     base = {"featuresCol": features, "labelCol": label}
@@ -58,7 +78,8 @@ def estimator(kind: str, label: str, features: str = "features", **kw):
     if kind == "forest":
         return RandomForestRegressor(**base, seed=P.SEED, **{"numTrees": 200, "maxDepth": 10, "minInstancesPerNode": 5, **kw})
     if kind == "boosted":
-        return GBTRegressor(**base, seed=P.SEED, **{"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, **kw})
+        return GBTRegressor(**base, seed=P.SEED, **{"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8,
+                                           "minInstancesPerNode": 10, "featureSubsetStrategy": "0.8", **kw})
     if kind == "logistic":
         return LogisticRegression(**base, **kw)
     raise ValueError(f"unknown estimator {kind}")

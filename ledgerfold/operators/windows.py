@@ -227,10 +227,10 @@ def min_stationary_order(
     wide = df
     for i, d in enumerate(grid):
         wide = frac_diff(wide, col, w, d, threshold, f"_d{i}")
-    pairs = F.array(*[F.struct(F.lit(float(d)).alias("d"), F.col(f"_d{i}").alias("x")) for i, d in enumerate(grid)])
-    long = wide.select(*entity, date, F.explode(pairs).alias("_p")).select(*entity, date, "_p.d", "_p.x")
+    pairs = F.array(*[F.struct(F.lit(float(d)).alias("_order"), F.col(f"_d{i}").alias("_x")) for i, d in enumerate(grid)])
+    long = wide.select(*entity, date, F.explode(pairs).alias("_p")).select(*entity, date, "_p._order", "_p._x")
     # the regression loses two values to its lags
-    t = adf_t(long, [*entity, "d"], date, "x").where(F.col("n") >= min_length - 2)
-    found = t.groupBy(*entity).agg(F.min(F.when(F.col("t") < critical, F.col("d"))).alias("_d"), F.count(F.lit(1)).alias("_n"))
+    t = adf_t(long, [*entity, "_order"], date, "_x").where(F.col("n") >= min_length - 2)
+    found = t.groupBy(*entity).agg(F.min(F.when(F.col("t") < critical, F.col("_order"))).alias("_d"), F.count(F.lit(1)).alias("_n"))
     return df.select(*entity).distinct().join(found, list(entity), "left").select(
         *entity, F.coalesce("_d", F.lit(1.0)).alias("min_d"), F.coalesce("_n", F.lit(0)).alias("n_orders_tested"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
@@ -156,13 +158,16 @@ def _(t):
     return one.select(F.explode(arr).alias("x")).select("x.*")
 
 
-@query("C06_preprocessing")
+@query("C06_preprocessing", """
+, md AS (SELECT median(open_prob) AS mo, median(salary) AS ms FROM players),
+fl AS (SELECT player_id, contest_id, weight_class, coalesce(open_prob, mo) AS o, coalesce(salary, ms) AS s FROM players, md),
+st AS (SELECT avg(o) AS ao, stddev_pop(o) AS so, avg(s) AS sa, stddev_pop(s) AS ss FROM fl)
+SELECT player_id, contest_id, round((o - ao)/so, 6) AS open_prob_z, round((s - sa)/ss, 6) AS salary_z,
+       (SELECT count(DISTINCT weight_class) FROM players WHERE weight_class < fl.weight_class) AS weight_class_slot FROM fl, st""")
 def _(t):
-    from pyspark.ml.functions import vector_to_array
     d = t.players.select("player_id", "contest_id", "open_prob", "salary", "weight_class")
-    m = Pipeline(stages=M.preprocessing(["open_prob", "salary"], ["weight_class"])).fit(d)
-    f = m.transform(d).withColumn("v", vector_to_array("features"))
-    return f.select("player_id", "contest_id", r6(F.col("v")[0]).alias("open_prob_z"), r6(F.col("v")[1]).alias("salary_z"), F.size("v").alias("width"))
+    z = M.scaled(d, ["open_prob", "salary"], ["weight_class"])
+    return z.select("player_id", "contest_id", r6("open_prob_z").alias("open_prob_z"), r6("salary_z").alias("salary_z"), "weight_class_slot")
 
 
 # ---- linear models ------------------------------------------------------------
@@ -366,12 +371,18 @@ def _(t):
     return m.select(r6("point_estimate").alias("rmse"), r6("ci_lower").alias("ci_lower"), r6("ci_upper").alias("ci_upper"), "n_events")
 
 
-@query("V07_row_bootstrap_rmse", PRED + """
-, rp AS (SELECT b, pow(actual_points-prediction, 2) AS se, ('0x'||substr(md5('42|'||b||'|'||player_id||'|'||contest_id),1,8))::UBIGINT::BIGINT % 2147483648 / 2147483648.0::DOUBLE AS u
-         FROM pr, (SELECT unnest(range(1000)) AS b)),
-w AS (SELECT b, se, (u >= exp(-1))::INT + (u >= exp(-1)*2)::INT + (u >= exp(-1)*2.5::DOUBLE)::INT + (u >= exp(-1)*(2.5::DOUBLE+1.0::DOUBLE/6))::INT
-        + (u >= exp(-1)*(2.5::DOUBLE+1.0::DOUBLE/6+1.0::DOUBLE/24))::INT + (u >= exp(-1)*(2.5::DOUBLE+1.0::DOUBLE/6+1.0::DOUBLE/24+1.0::DOUBLE/120))::INT
-        + (u >= exp(-1)*(2.5::DOUBLE+1.0::DOUBLE/6+1.0::DOUBLE/24+1.0::DOUBLE/120+1.0::DOUBLE/720))::INT + (u >= 0.99998980439::DOUBLE)::INT + (u >= 0.99999887479::DOUBLE)::INT + (u >= 0.99999988862::DOUBLE)::INT AS wt FROM rp),
+# Poisson(1) weights written out for SQL, apart from the operator: F(k) = sum of 1/(e i!)
+_CDF = [sum(1 / math.factorial(i) for i in range(k + 1)) / math.e for k in range(12)]
+WT = "(" + " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in _CDF) + ")"
+_HEX = "('0x'||substr(md5('42|'||player_id||'|'||contest_id),{},8))::UBIGINT::BIGINT"
+SEEDS = f"{_HEX.format(1)} AS s1, {_HEX.format(9)} AS s2"
+DRAW = "((s1 + s2*b) % 2147483647)::DOUBLE / 2147483647.0::DOUBLE AS u"
+
+
+@query("V07_row_bootstrap_rmse", PRED + f"""
+, sd AS (SELECT pow(actual_points-prediction, 2) AS se, {SEEDS} FROM pr),
+rp AS (SELECT b, se, {DRAW} FROM sd, (SELECT unnest(range(1000)) AS b)),
+w AS (SELECT b, se, {WT} AS wt FROM rp),
 x AS (SELECT b, sqrt(sum(se*wt)/sum(wt)) AS x FROM w GROUP BY 1)
 SELECT round((SELECT sqrt(avg(pow(actual_points-prediction, 2))) FROM pr), 4) AS rmse, round(quantile_cont(x, 0.025), 4) AS ci_lower, round(quantile_cont(x, 0.975), 4) AS ci_upper FROM x""")
 def _(t):
@@ -379,19 +390,16 @@ def _(t):
     return b.select(r6("rmse", 4).alias("rmse"), r6("ci_lower", 4).alias("ci_lower"), r6("ci_upper", 4).alias("ci_upper"))
 
 
-WT = "(" + " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in I.poisson_cuts()) + ")"
-
-
 @query("V07_row_bootstrap_auc", f"""
-, rp AS (SELECT b, (actual_points > 50)::INT AS y, close_prob AS p, {{h}} AS u FROM players, (SELECT unnest(range(20)) AS b)),
+, sd AS (SELECT (actual_points > 50)::INT AS y, close_prob AS p, {SEEDS} FROM players),
+rp AS (SELECT b, y, p, {DRAW} FROM sd, (SELECT unnest(range(1000)) AS b)),
 w AS (SELECT b, p, sum({WT}*y) AS wp, sum({WT}) AS wn FROM rp GROUP BY 1, 2),
 r AS (SELECT *, sum(wn) OVER (PARTITION BY b ORDER BY p) - wn + (wn + 1)/2 AS mr FROM w),
 x AS (SELECT (sum(mr*wp) - sum(wp)*(sum(wp)+1)/2)/(sum(wp)*(sum(wn)-sum(wp))) AS x FROM r GROUP BY b)
-SELECT round(quantile_cont(x, 0.025), 6) AS ci_lower, round(quantile_cont(x, 0.975), 6) AS ci_upper, round(stddev_pop(x), 6) AS std FROM x""".replace(
-    "{h}", "('0x'||substr(md5('42|'||b||'|'||player_id||'|'||contest_id),1,8))::UBIGINT::BIGINT % 2147483648 / 2147483648.0::DOUBLE"))
+SELECT round(quantile_cont(x, 0.025), 6) AS ci_lower, round(quantile_cont(x, 0.975), 6) AS ci_upper, round(stddev_pop(x), 6) AS std FROM x""")
 def _(t):
     d = t.players.select("player_id", "contest_id", "close_prob", (F.col("actual_points") > 50).cast("int").alias("y"))
-    return rounded(I.row_bootstrap_auc(d, ["player_id", "contest_id"], "y", "close_prob", draws=20), [], ["ci_lower", "ci_upper", "std"])
+    return rounded(I.row_bootstrap_auc(d, ["player_id", "contest_id"], "y", "close_prob", draws=1000), [], ["ci_lower", "ci_upper", "std"])
 
 
 # ---- explanation ----------------------------------------------------------------
