@@ -81,8 +81,8 @@ def price_quality(players: DataFrame, minimum: float = 0.8) -> DataFrame:
     return players.groupBy("date_id").agg((B.rate(F.col("open_prob").isNotNull()) >= minimum).cast("int").alias("is_high_quality"))
 
 
-FEATURES = ["salary_pct", "salary_rank_overall", "salary_tier", "card_section", "ownership_lag1", "ownership_lag2",
-            "ownership_roll3", "historical_avg_ownership", "days_since_last", "n_prior", "log_field_size", "num_on_slate",
+FEATURES = ["salary", "salary_pct", "salary_rank_overall", "salary_tier", "card_section", "card_position", "ownership_lag1", "ownership_lag2",
+            "ownership_roll3", "historical_avg_ownership", "days_since_last", "n_prior", "contest_size", "entry_cost", "log_field_size", "num_on_slate",
             "consensus_prob", "is_favorite"]
 
 
@@ -103,7 +103,7 @@ def ownership_features(players: DataFrame) -> DataFrame:
         "days_since_last", F.col("n_prior").cast("int").alias("n_prior"))
     card = W.position_in_group(panel.select("date_id", "player_id", "_sal"), ["date_id"], ["-_sal", "player_id"],
                                name="card_position", labels=P.CARD_SECTIONS, default=P.CARD_DEFAULT,
-                               label_name="card_section").select("player_id", "date_id", "card_section")
+                               label_name="card_section").select("player_id", "date_id", "card_section", "card_position")
     size = players.groupBy("contest_id").agg(F.count(F.lit(1)).alias("num_on_slate"))
     gate = F.col("is_high_quality") == 1
     base = O.ranks(players, ["contest_id"], "salary", name="salary_rank_overall", descending=True)
@@ -111,6 +111,6 @@ def ownership_features(players: DataFrame) -> DataFrame:
            .join(size, "contest_id").join(price_quality(players), "date_id"))
     return out.withColumns({
         "salary_pct": F.col("salary") / P.SALARY_CAP, "salary_tier": B.apply_band("salary", P.SALARY_TIER),
-        "log_field_size": F.log1p("contest_size"), "consensus_prob": F.when(gate, F.col("close_prob")),
+        "entry_cost": F.col("entry_fee"), "log_field_size": F.log1p("contest_size"), "consensus_prob": F.when(gate, F.col("close_prob")),
         "is_favorite": F.when(gate, (F.col("close_prob") > 0.5).cast("int")),
     }).select("player_id", "contest_id", "date_id", *FEATURES, F.col("ownership").alias("target"))

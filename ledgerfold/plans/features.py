@@ -246,7 +246,7 @@ h AS (SELECT player_id, date_id, lag(own) OVER w AS l1, lag(own, 2) OVER w AS l2
       FROM pan WINDOW w AS (PARTITION BY player_id ORDER BY date_id)),
 cp AS (SELECT date_id, player_id, row_number() OVER (PARTITION BY date_id ORDER BY salary DESC, player_id) AS pos
        FROM (SELECT date_id, player_id, max(salary) AS salary FROM players GROUP BY 1, 2))
-SELECT player_id, contest_id, date_id, round(salary/50000, 6) AS salary_pct,
+SELECT player_id, contest_id, date_id, salary, pos AS card_position, contest_size, entry_fee AS entry_cost, round(salary/50000, 6) AS salary_pct,
   rank() OVER (PARTITION BY contest_id ORDER BY salary DESC) AS salary_rank_overall,
   """ + case_sql("salary", P.SALARY_TIER) + """ AS salary_tier,
   CASE WHEN pos = 1 THEN 'main_event' WHEN pos = 2 THEN 'co_main' WHEN pos <= 5 THEN 'main_card' ELSE 'prelim' END AS card_section,
@@ -258,7 +258,7 @@ SELECT player_id, contest_id, date_id, round(salary/50000, 6) AS salary_pct,
 FROM players JOIN q USING (date_id) JOIN h USING (player_id, date_id) JOIN cp USING (player_id, date_id)""")
 def ownership_features(t):
     f = N.ownership_features(t.players)
-    return f.select("player_id", "contest_id", "date_id", r6("salary_pct").alias("salary_pct"), "salary_rank_overall",
+    return f.select("player_id", "contest_id", "date_id", "salary", "card_position", "contest_size", "entry_cost", r6("salary_pct").alias("salary_pct"), "salary_rank_overall",
                     "salary_tier", "card_section", *[r6(c).alias(c) for c in (
                         "ownership_lag1", "ownership_lag2", "ownership_roll3", "historical_avg_ownership")],
                     "days_since_last", "n_prior", r6("log_field_size").alias("log_field_size"), "num_on_slate",

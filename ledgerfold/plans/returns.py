@@ -204,9 +204,12 @@ def case_sql(expr, spec):
 ARCH_B = """CASE WHEN multi_entry_max = 1 THEN 'SE' WHEN multi_entry_max BETWEEN 3 AND 18 THEN 'LIMITED'
  WHEN multi_entry_max = 20 THEN '20-Max' WHEN multi_entry_max = 150 THEN '150-Max' ELSE 'UNLIMITED' END"""
 _STUDY_SQL_COL = {"salary_remaining": "(50000-total_salary)", "duplication": "lineup_count"}
-STUDY_LONG = ", s AS (SELECT *, " + ARCH_B + " AS arch FROM entries), l AS (" + " UNION ALL ".join(
+STUDY_LONG = f"""
+, hs AS (SELECT contest_id, count(*) FILTER (salary >= {P.HIGH_SALARY}) AS high_salary_count FROM players GROUP BY 1),
+s AS (SELECT *, {ARCH_B} AS arch FROM entries LEFT JOIN hs USING (contest_id)), l AS (""" + " UNION ALL ".join(
     f"SELECT arch, '{n}' AS analysis, {case_sql(_STUDY_SQL_COL.get(n, n), spec)} AS bucket, contest_id, payout, entry_fee, points, cost FROM s"
-    for n, (_, spec) in STUDY.items()) + ")"
+    for n, (_, spec) in STUDY.items()) + """
+ UNION ALL SELECT arch, 'high_salary_count', high_salary_count::VARCHAR, contest_id, payout, entry_fee, points, cost FROM s)"""
 
 
 @query("D09_roi_by_band_per_archetype", STUDY_LONG + """
@@ -216,9 +219,10 @@ SELECT arch, analysis, bucket, round(sum(CASE WHEN c > 0 THEN p/c*n END)/sum(CAS
        sum(n)::BIGINT AS n_lineups, round(sum(cashed)/sum(n), 4) AS cash_rate, round(sum(pts)/sum(n), 2) AS avg_points
 FROM c1 GROUP BY ALL""")
 def _(t):
-    e = t.entries.withColumn("arch", R.archetype(taxonomy="study"))
+    dear = t.players.groupBy("contest_id").agg(F.count_if(F.col("salary") >= P.HIGH_SALARY).cast("string").alias("_b_high_salary_count"))
+    e = t.entries.withColumn("arch", R.archetype(taxonomy="study")).join(dear, "contest_id", "left")
     e = e.withColumns({f"_b_{n}": apply_band(F.expr(x), spec) for n, (x, spec) in STUDY.items()})
-    long = I.unpivot_dims(e, {n: f"_b_{n}" for n in STUDY}, ["arch", "contest_id", "payout", "entry_fee", "points", "cost"])
+    long = I.unpivot_dims(e, {n: f"_b_{n}" for n in [*STUDY, "high_salary_count"]}, ["arch", "contest_id", "payout", "entry_fee", "points", "cost"])
     out = R.contest_mean_roi(long, ["arch", "analysis", "bucket"], cost="entry_fee", extra=[
         F.sum((F.col("payout") > F.col("cost")).cast("long")).alias("cashed"), F.sum("points").alias("pts")])
     return out.select("arch", "analysis", "bucket", r6("roi", 4).alias("roi"), "n_lineups",
@@ -248,23 +252,36 @@ def _(t):
         "split", "bucket", r6("roi").alias("roi"), "n_lineups")
 
 
+OWN_COLUMNS = dict(zip(P.TOTAL_OWN["labels"], ["lt100", "100_125", "125_150", "150_175", "175_200", "200_up"]))
+_OWN_NO = "CASE total_own_band " + " ".join(f"WHEN '{b}' THEN {i}" for i, b in enumerate(OWN_COLUMNS)) + " END"
+
+
 @query("D10_effective_entries_cross_tab", REGIMES + f"""
 , f AS (SELECT *, least(coalesce(multi_entry_max, 999), contest_size)/contest_size AS eff FROM e WHERE contest_size > 0),
-g AS (SELECT {EFF_SQL} AS eff_band, total_own_band, count(*) AS n, avg(payout)/avg(cost) AS roi FROM f GROUP BY 1, 2)
-SELECT eff_band, round(max(roi) FILTER (total_own_band = '<100%'), 6) AS own_lt100,
-       round(max(roi) FILTER (total_own_band = '100-125%'), 6) AS own_100_125,
-       round(max(roi) FILTER (total_own_band = '200%+'), 6) AS own_200_up,
-       round(max(roi), 6) AS best_roi, arg_max(total_own_band, roi) AS best_band, sum(n)::BIGINT AS n_lineups
-FROM g WHERE eff_band IS NOT NULL AND total_own_band IS NOT NULL GROUP BY 1""")
+k AS (SELECT {EFF_SQL} AS eff_band, total_own_band, payout, cost, points FROM f),
+g AS (SELECT eff_band, total_own_band, count(*) AS n, CASE WHEN count(*) >= 10 THEN CASE WHEN avg(cost) > 0 THEN avg(payout)/avg(cost) ELSE 0 END END AS roi
+      FROM k WHERE eff_band IS NOT NULL AND total_own_band IS NOT NULL GROUP BY 1, 2),
+w AS (SELECT eff_band, """ + ", ".join(
+    f"round(max(roi) FILTER (total_own_band = '{b}'), 6) AS own_{c}, coalesce(max(n) FILTER (total_own_band = '{b}'), 0) AS n_{c}" for b, c in OWN_COLUMNS.items()) + f""",
+       arg_max(total_own_band, {{'r': roi, 'o': -({_OWN_NO})}}) FILTER (roi IS NOT NULL) AS best_band FROM g GROUP BY 1),
+a AS (SELECT eff_band, count(*) AS n_lineups, round(CASE WHEN avg(cost) > 0 THEN avg(payout)/avg(cost) ELSE 0 END, 6) AS roi, round(100*avg((payout > cost)::INT), 4) AS cash_pct,
+      round(avg(points), 4) AS avg_points FROM k WHERE eff_band IS NOT NULL GROUP BY 1)
+SELECT * FROM a LEFT JOIN w USING (eff_band)""")
 def _(t):
-    e = regime_entries(t).withColumn("eff_band", apply_band(R.effective_entries(), P.EFFECTIVE_ENTRIES))
-    cells = R.ratio_of_means(e.where("eff_band IS NOT NULL AND total_own_band IS NOT NULL"),
-                             ["eff_band", "total_own_band"])
-    cell = lambda b: r6(F.max(F.when(F.col("total_own_band") == b, F.col("roi"))))
+    e = regime_entries(t).withColumn("eff_band", apply_band(R.effective_entries(), P.EFFECTIVE_ENTRIES)).where("eff_band IS NOT NULL")
+    # one pass: partial sums per cell serve the cells and the band totals
+    cells = e.groupBy("eff_band", "total_own_band").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("payout").alias("p"), F.sum("cost").alias("c"), F.sum("points").alias("pts"), F.count("points").alias("np"),
+        F.count_if(F.col("payout") > F.col("cost")).alias("cashed"))
+    roi = lambda p, c: F.when(c > 0, p / c).otherwise(0.0)
+    cells = cells.withColumn("roi", F.when(F.col("total_own_band").isNotNull() & (F.col("n") >= 10), roi(F.col("p"), F.col("c"))))
+    place = F.array_position(F.array(*[F.lit(b) for b in OWN_COLUMNS]), F.col("total_own_band"))
+    at = lambda b, v: F.max(F.when(F.col("total_own_band") == b, F.col(v)))
+    best = F.max_by("total_own_band", F.when(F.col("roi").isNotNull(), F.struct("roi", (-place).alias("o"))))
     return cells.groupBy("eff_band").agg(
-        cell("<100%").alias("own_lt100"), cell("100-125%").alias("own_100_125"), cell("200%+").alias("own_200_up"),
-        r6(F.max("roi")).alias("best_roi"), F.max_by("total_own_band", "roi").alias("best_band"),
-        F.sum("n_lineups").alias("n_lineups"))
+        F.sum("n").alias("n_lineups"), r6(roi(F.sum("p"), F.sum("c"))).alias("roi"), r6(100 * F.sum("cashed") / F.sum("n"), 4).alias("cash_pct"),
+        r6(F.sum("pts") / F.sum("np"), 4).alias("avg_points"), best.alias("best_band"),
+        *[x for b, c in OWN_COLUMNS.items() for x in (r6(at(b, "roi")).alias(f"own_{c}"), F.coalesce(at(b, "n"), F.lit(0)).alias(f"n_{c}"))])
 
 
 @query("D11_scoring_thresholds", """
@@ -274,13 +291,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY contest_id ORDER BY points DESC,
 c AS (SELECT arch, contest_id, sum(points) AS pts, max(n) AS n, max(CASE WHEN rk = 1 THEN points END) AS win,
       max(CASE WHEN rk = least(cash_line, n) AND cash_line IS NOT NULL THEN points END) AS cash,
       max(CASE WHEN rk = greatest(1, floor(n*0.05::DOUBLE)) THEN points END) AS t5,
-      max(CASE WHEN rk = greatest(1, floor(n*0.5::DOUBLE)) THEN points END) AS t50 FROM r GROUP BY 1, 2)
+      max(CASE WHEN rk = greatest(1, floor(n*0.01::DOUBLE)) THEN points END) AS t1 FROM r GROUP BY 1, 2)
 SELECT arch, round(sum(pts)/sum(n), 4) AS avg_points, round(avg(cash), 4) AS cash_line_points,
-       round(avg(t5), 4) AS top_5pct_points, round(avg(t50), 4) AS top_50pct_points, round(avg(win), 4) AS winner_points,
+       round(avg(t5), 4) AS top_5pct_points, round(avg(t1), 4) AS top_1pct_points, round(avg(win), 4) AS winner_points,
        count(*) AS n_contests FROM c GROUP BY 1""")
 def _(t):
     e = t.entries.withColumn("arch", R.archetype(taxonomy="study"))
-    cols = {"top_5pct_points": 0.05, "top_50pct_points": 0.5}
+    cols = {"top_5pct_points": 0.05, "top_1pct_points": 0.01}
     e = e.select("arch", "contest_id", "points", "cash_line", "price", "part_id", "supp_id", "line_no", "ship_date")
     out = R.scoring_thresholds(e, ["arch"], order=["-points", "-price", "part_id", "supp_id", "line_no", "ship_date"],
                                fractions=cols)
