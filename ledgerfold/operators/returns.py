@@ -90,6 +90,12 @@ def roi_table(df: DataFrame, by: Sequence[str], **cols: str) -> DataFrame:
     return df.groupBy(*by).agg(*roi_aggs(**cols))
 
 
+def gender(weight_class: str = "weight_class", womens: Sequence[str] = P.WOMENS_CLASSES) -> Column:
+    """``Women's`` or ``Men's`` by weight class; NULL where the class is not known."""
+    c = F.col(weight_class)
+    return F.when(c.isin(*womens), "Women's").when(~c.isin("Unknown", "Catch Weight"), "Men's")
+
+
 def unpivot_keys(df: DataFrame, dims: Mapping[str, Sequence[str]], keep: Sequence[str], name: str = "analysis") -> DataFrame:
     """Each row once per analysis, with that analysis' key columns as ``k0, k1, ...``.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerfold import presets as P
 from ledgerfold.functions import bands as B
-from ledgerfold.operators import ordered as O, prices as M, returns as R
+from ledgerfold.operators import ordered as O, prices as M, returns as R, windows as W
 from ledgerfold.plans.features import rounded
 from ledgerfold.plans.registry import query, r6
 from ledgerfold.plans.relational import COHORTS, MEMBERS, PROFILE, PROFILE_COLS, TAGS, member_panel, tagged
@@ -20,7 +20,7 @@ def contest_money(t):
 
 COMP = MEMBERS + f"""
 , cp AS (SELECT contest_id, max(archetype) AS archetype, max({case_sql('entry_fee', P.STUDY_FEE)}) AS fee, sum((class_tier = 'S')::INT)::BIGINT AS tier_s, sum((class_tier = '?')::INT)::BIGINT AS tier_u,
-  sum((close_prob > 0.5)::INT)::BIGINT AS favs, sum((close_prob >= 0.7::DOUBLE)::INT)::BIGINT AS heavy, count(open_prob) = count(*) AS covered FROM mp GROUP BY 1),
+  sum((close_prob > 0.5)::INT)::BIGINT AS favs, sum((close_prob >= 0.7::DOUBLE)::INT)::BIGINT AS heavy, sum((gender = 'Women''s')::INT)::BIGINT AS women, count(open_prob) = count(*) AS covered FROM mp GROUP BY 1),
 mo AS (SELECT contest_id, sum(payout) AS payout, sum(cost) AS cost FROM entries GROUP BY 1), cm AS (SELECT * FROM cp JOIN mo USING (contest_id))
 """
 
@@ -30,7 +30,7 @@ def compositions(t):
     c = p.groupBy("contest_id").agg(
         F.max("archetype").alias("archetype"), F.max(B.apply_band("entry_fee", P.STUDY_FEE)).alias("fee"),
         F.count_if(F.col("class_tier") == "S").alias("tier_s"), F.count_if(F.col("class_tier") == "?").alias("tier_u"),
-        F.count_if(F.col("close_prob") > 0.5).alias("favs"), F.count_if(F.col("close_prob") >= 0.7).alias("heavy"),
+        F.count_if(F.col("close_prob") > 0.5).alias("favs"), F.count_if(F.col("close_prob") >= 0.7).alias("heavy"), F.count_if(F.col("gender") == "Women's").alias("women"),
         (F.count("open_prob") == F.count(F.lit(1))).alias("covered"))
     return c.join(contest_money(t), "contest_id")
 
@@ -42,7 +42,7 @@ def long_roi(df, keys, dims, min_n=1):
     return R.ratio_of_means(long, [*keys, "dim", "value"]).where(F.col("n_lineups") >= min_n)
 
 
-_CDIM = {"tier_s": "TRUE", "tier_u": "TRUE", "favs": "covered", "heavy": "covered"}
+_CDIM = {"tier_s": "TRUE", "tier_u": "TRUE", "favs": "covered", "heavy": "covered", "women": "TRUE"}
 
 
 def _comp_sql(key):
@@ -51,7 +51,7 @@ def _comp_sql(key):
 
 
 def comp_query(t, key):
-    ok = {"tier_s": F.lit(True), "tier_u": F.lit(True), "favs": F.col("covered"), "heavy": F.col("covered")}
+    ok = {"tier_s": F.lit(True), "tier_u": F.lit(True), "favs": F.col("covered"), "heavy": F.col("covered"), "women": F.lit(True)}
     return rounded(long_roi(compositions(t), [key], ok, 30), [key, "dim", "value", "n_lineups"], ["roi"])
 
 
@@ -65,6 +65,22 @@ def _(t):
     return comp_query(t, "fee")
 
 
+CARDED = MEMBERS + """
+, cs AS (SELECT date_id, player_id, CASE row_number() OVER (PARTITION BY date_id ORDER BY salary DESC, player_id) WHEN 1 THEN 'main_event' WHEN 2 THEN 'co_main'
+         WHEN 3 THEN 'main_card' WHEN 4 THEN 'main_card' WHEN 5 THEN 'main_card' ELSE 'prelim' END AS card_section
+         FROM (SELECT date_id, player_id, max(salary) AS salary FROM players GROUP BY 1, 2)),
+mc AS (SELECT * FROM mp JOIN cs USING (date_id, player_id))
+"""
+
+
+def carded(t):
+    """The member panel with each member's section of the date's card."""
+    d = t.players.groupBy("date_id", "player_id").agg(F.max("salary").alias("salary"))
+    card = W.position_in_group(d, ["date_id"], ["-salary", "player_id"], name="card_position", labels=P.CARD_SECTIONS, default=P.CARD_DEFAULT,
+                               label_name="card_section").select("date_id", "player_id", "card_section")
+    return member_panel(t).join(card, ["date_id", "player_id"])
+
+
 PERF_DIMS = ["salary_band", "own_band", "prob_tier", "move_dir", "fav_dog", "class_tier", "weight_class", "prob_band"]
 
 
@@ -88,6 +104,67 @@ def _(t):
     return rounded(R.profile(m, ["weight_class", "fav_dog", "move_dir"]).where("n >= 5"), ["weight_class", "fav_dog", "move_dir", "n"], PROFILE_COLS)
 
 
+# Averages of amounts in cents over 32 or 64 rows lie half-way between two
+# rounded values; both engines round after the same small step up.
+STEP = 1e-9
+
+
+def stepped(df, keys, cols):
+    return df.select(*keys, *[r6(F.col(c) + STEP).alias(c) for c in cols])
+
+
+def stepped_sql(text):
+    return text.replace(", 6)", f" + {STEP!r}::DOUBLE, 6)")
+
+
+# Keys of the detailed report.  A condition on a section is a column that is
+# NULL for the rows outside it, so one pass serves all sections.
+SECTION_COLUMNS = {
+    "moved": "CASE WHEN move_dir <> 'no_data' THEN move_dir END",
+    "swung": "CASE WHEN move_dir IN ('steamed', 'drifted') THEN move_dir END",
+    "mens_salary": "CASE WHEN gender = 'Men''s' THEN salary_band END",
+    "chalk_salary": "CASE WHEN close_prob >= 0.65 THEN salary_band END",
+    "low_owned": "CASE WHEN ownership BETWEEN 5 AND 15 THEN fav_dog END",
+    "womens_class": "CASE WHEN gender = 'Women''s' THEN weight_class END",
+    "womens_salary": "CASE WHEN gender = 'Women''s' THEN salary_band END",
+    "womens_move": "CASE WHEN gender = 'Women''s' AND move_dir <> 'no_data' THEN move_dir END",
+    "heavy_fav_dog": "CASE WHEN weight_class = 'LARGE' THEN fav_dog END",
+    "heavy_prob": "CASE WHEN weight_class = 'LARGE' THEN prob_tier END",
+    "cohort": """CASE WHEN ownership BETWEEN 5 AND 20 AND move_dir = 'steamed' AND fav_dog = 'Underdog' THEN 'low owned, steamed, underdog'
+                 WHEN ownership >= 25 AND move_dir IN ('stable', 'steamed') AND fav_dog = 'Favorite' THEN 'high owned, held, favorite'
+                 WHEN ownership >= 20 AND move_dir = 'drifted' THEN 'high owned, drifted' END""",
+}
+SECTIONS = {
+    "1a": ["gender"], "1b": ["fav_dog"], "1c": ["gender", "fav_dog"], "2a": ["weight_class"], "2b": ["weight_class", "fav_dog"],
+    "3a": ["salary_band", "fav_dog"], "3b": ["salary_band", "gender"], "3c": ["mens_salary", "weight_class"],
+    "4a": ["moved", "fav_dog", "gender"], "4b": ["weight_class", "moved"], "4c": ["swung", "move_size"],
+    "5a": ["prob_tier", "gender"], "5b": ["weight_class", "prob_tier"], "5c": ["prob_tier", "salary_band"], "5d": ["chalk_salary"],
+    "6a": ["own_band", "fav_dog"], "6b": ["own_band", "gender"], "6c": ["low_owned", "prob_tier"],
+    "7a": ["card_section", "fav_dog"], "7b": ["card_section", "gender"], "7c": ["card_section", "moved"], "9": ["cohort"],
+    "10a": ["womens_class", "fav_dog"], "10b": ["womens_salary", "fav_dog"], "10c": ["womens_move", "fav_dog"],
+    "11a": ["heavy_fav_dog"], "11b": ["heavy_prob"],
+}
+SECTION_MIN = {"3c": 20, "4a": 20, "4b": 15, "5b": 15, "5c": 15}
+
+
+def _section_sql(name, keys):
+    cols = ", ".join(f"{keys[i] if i < len(keys) else 'NULL'}::VARCHAR AS k{i}" for i in range(3))
+    return f"SELECT '{name}' AS section, {cols}, * FROM sx WHERE " + " AND ".join(f"{k} IS NOT NULL" for k in keys)
+
+
+@query("D14_report_sections", CARDED + ", sx AS (SELECT *, " + ", ".join(f"{x} AS {n}" for n, x in SECTION_COLUMNS.items()) + " FROM mc), l AS ("
+       + " UNION ALL ".join(_section_sql(n, ks) for n, ks in SECTIONS.items()) + f""")
+SELECT section, k0, k1, k2, {stepped_sql(PROFILE)} FROM l GROUP BY 1, 2, 3, 4 HAVING count(*) >= CASE section """
+       + " ".join(f"WHEN '{n}' THEN {m}" for n, m in SECTION_MIN.items()) + " ELSE 1 END")
+def _(t):
+    m = carded(t).withColumns({n: F.expr(x) for n, x in SECTION_COLUMNS.items()})
+    cols = ["actual_points", "actual_ownership", "salary", "salary_value", "is_ceiling", "is_smash", "is_dud", "close_prob"]
+    long = R.unpivot_keys(m, SECTIONS, cols, "section")
+    least = F.coalesce(F.create_map(*[F.lit(x) for kv in SECTION_MIN.items() for x in kv])[F.col("section")], F.lit(1))
+    keys = ["section", "k0", "k1", "k2"]
+    return stepped(R.profile(long, keys).where(F.col("n") >= least), [*keys, "n"], PROFILE_COLS)
+
+
 @query("D14_volatility_by_class", MEMBERS + """
 SELECT weight_class, count(*) AS n, round(avg(actual_points), 6) AS mean, round(stddev_samp(actual_points), 6) AS sd, round(stddev_samp(actual_points)/avg(actual_points), 6) AS cv,
        round(100*avg(is_dud), 6) AS dud_pct, round(quantile_cont(actual_points, 0.1), 6) AS floor_p10 FROM mp GROUP BY 1""")
@@ -106,15 +183,15 @@ def _(t):
     return rounded(R.profile(m, ["gap_band"]), ["gap_band", "n"], PROFILE_COLS)
 
 
-E_DIMS = ["weight_class", "move_dir", "prob_band", "class_tier"]
+E_DIMS = ["weight_class", "move_dir", "prob_band", "class_tier", "gender", "card_section"]
 
 
-@query("D15_entity_tables_by_archetype", MEMBERS + ", l AS (" + " UNION ALL ".join(
-    f"SELECT archetype, '{d}' AS dim, {d} AS bucket, actual_points, ownership, is_ceiling, is_dud FROM mp WHERE {d} IS NOT NULL" for d in E_DIMS) + """)
+@query("D15_entity_tables_by_archetype", CARDED + ", l AS (" + " UNION ALL ".join(
+    f"SELECT archetype, '{d}' AS dim, {d} AS bucket, actual_points, ownership, is_ceiling, is_dud FROM mc WHERE {d} IS NOT NULL" for d in E_DIMS) + """)
 SELECT archetype, dim, bucket AS "value", count(*) AS n, round(avg(actual_points), 6) AS avg_points, round(avg(ownership), 6) AS avg_own, round(avg(is_ceiling), 6) AS ceiling_rate,
        round(avg(is_dud), 6) AS dud_rate, count(*) < 50 AS small_sample FROM l GROUP BY 1, 2, 3""")
 def _(t):
-    long = R.unpivot_keys(member_panel(t), {d: [d] for d in E_DIMS}, ["archetype", "actual_points", "ownership", "is_ceiling", "is_dud"],
+    long = R.unpivot_keys(carded(t), {d: [d] for d in E_DIMS}, ["archetype", "actual_points", "ownership", "is_ceiling", "is_dud"],
                           "dim").withColumnRenamed("k0", "value")
     g = long.groupBy("archetype", "dim", "value").agg(F.count(F.lit(1)).alias("n"), F.avg("actual_points").alias("avg_points"), F.avg("ownership").alias("avg_own"),
                                                      F.avg("is_ceiling").alias("ceiling_rate"), F.avg("is_dud").alias("dud_rate"))
@@ -142,6 +219,21 @@ def _(t):
         r6(beat - F.avg("close_prob")).alias("outscore_gap")).where("n >= 5")
 
 
+BAND_TABS = {"move": ["prob_band", "move_dir"], "class": ["prob_band", "weight_class"], "card": ["prob_band", "card_section"], "gender": ["prob_band", "gender"]}
+
+
+@query("D16_band_cross_tabs", CARDED + ", l AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS analysis, {a} AS k0, {b} AS k1, actual_points, value AS v, is_ceiling, is_dud FROM mc WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+    for n, (a, b) in BAND_TABS.items()) + ") SELECT analysis, k0 AS prob_band, k1 AS \"value\", count(*) AS n, " + stepped_sql(
+    "round(avg(actual_points), 6) AS avg_points, round(avg(v), 6) AS avg_value, round(100*avg(is_ceiling), 6) AS ceil_pct, round(100*avg(is_dud), 6) AS dud_pct") + " FROM l GROUP BY 1, 2, 3")
+def _(t):
+    long = R.unpivot_keys(carded(t), BAND_TABS, ["actual_points", "salary_value", "is_ceiling", "is_dud"])
+    g = long.groupBy("analysis", F.col("k0").alias("prob_band"), F.col("k1").alias("value")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("actual_points").alias("avg_points"), F.avg("salary_value").alias("avg_value"),
+        (100 * F.avg("is_ceiling")).alias("ceil_pct"), (100 * F.avg("is_dud")).alias("dud_pct"))
+    return stepped(g, ["analysis", "prob_band", "value", "n"], ["avg_points", "avg_value", "ceil_pct", "dud_pct"])
+
+
 _MV = ["steamed", "drifted", "stable", "no_data"]
 
 

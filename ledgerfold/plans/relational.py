@@ -76,6 +76,9 @@ def _(t):
     return out
 
 
+WOMENS = ["ECONOMY", "SMALL"]  # the part types that play the women's classes
+
+
 def member_panel(t):
     """Members with price direction, value, outcome flags and class labels."""
     p = t.players.withColumns({
@@ -90,7 +93,8 @@ def member_panel(t):
         "prob_tier": B.apply_band("close_prob", P.PROB_TIER), "prob_band": B.apply_band("close_prob", P.PROB_BAND),
         "own_band": B.apply_band("ownership", P.ENTITY_OWN), "salary_band": B.apply_band("salary", P.ENTITY_SALARY),
         "class_tier": B.map_label("weight_class", {"ECONOMY": "S", "PROMO": "A", "STANDARD": "B"}, "?"),
-        "archetype": R.archetype(),
+        "archetype": R.archetype(), "gender": R.gender(womens=WOMENS),
+        "move_size": B.apply_band(F.abs("line_move"), P.MOVE_SIZE),
     })
     return p
 
@@ -104,7 +108,9 @@ MEMBERS = f"""
    {case_sql('ownership', P.ENTITY_OWN)} AS own_band, {case_sql('salary', P.ENTITY_SALARY)} AS salary_band,
    CASE weight_class WHEN 'ECONOMY' THEN 'S' WHEN 'PROMO' THEN 'A' WHEN 'STANDARD' THEN 'B' ELSE '?' END AS class_tier,
    CASE WHEN multi_entry_max IS NULL THEN 'UNLIMITED' WHEN multi_entry_max = 1 THEN 'SE' WHEN multi_entry_max <= 20 THEN 'LIMITED'
-        WHEN multi_entry_max <= 150 THEN '150-Max' ELSE 'UNLIMITED' END AS archetype FROM players)
+        WHEN multi_entry_max <= 150 THEN '150-Max' ELSE 'UNLIMITED' END AS archetype,
+   CASE WHEN weight_class IN ('ECONOMY', 'SMALL') THEN 'Women''s' ELSE 'Men''s' END AS gender,
+   {case_sql('abs(line_move)', P.MOVE_SIZE)} AS move_size FROM players)
 """
 
 
