@@ -264,7 +264,7 @@ def repaired(t):
     sets, known, pool, res = set_tables(t)
     fixes = X.one_missing_by_stats(res, known, pool).select("set_key", F.array("member").alias("fills")).unionByName(
         X.two_missing(res, known, pool).select("set_key", F.array("a", "b").alias("fills")))
-    return sets, X.apply_repairs(sets, fixes)
+    return sets, X.apply_repairs(sets, fixes), res
 
 
 @query("E09_apply_repairs", FIXED + """
@@ -273,7 +273,7 @@ nk AS (SELECT *, sum((tok = '-1')::INT) OVER (PARTITION BY set_id ORDER BY i) AS
 SELECT set_id, string_agg(CASE WHEN tok = '-1' AND fills IS NOT NULL THEN fills[hole::INT]::VARCHAR ELSE tok END, ':' ORDER BY i) AS new_key,
        any_value(fills) IS NOT NULL AS repaired FROM nk GROUP BY 1""")
 def _(t):
-    _, (out, _) = repaired(t)
+    _, (out, _), _ = repaired(t)
     return out.select("set_id", "new_key", "repaired")
 
 
@@ -285,11 +285,23 @@ def _(t):
     return repaired(t)[1][1]
 
 
+@query("E09_partial_totals", FIXED + """
+SELECT set_id, CASE WHEN set_id % 2 = 0 AND fills IS NULL THEN ks ELSE ts END::BIGINT AS total_salary FROM st LEFT JOIN fx USING (set_key)""")
+def _(t):
+    """Every second set arrives with a total that covers its known members only."""
+    sets, (out, _), res = repaired(t)
+    totals = res.join(sets.select("set_id", F.col("total_salary").alias("full_salary")), "set_id").select(
+        "set_id", (F.col("full_salary") - F.col("r_salary")).alias("known_salary"), "full_salary")
+    known = totals.select("set_id", F.col("known_salary").alias("_known"))
+    flawed = out.join(known, "set_id").withColumn("total_salary", F.when(F.col("set_id") % 2 == 0, F.col("_known")).otherwise(F.col("total_salary")))
+    return X.fix_partial_totals(flawed, totals).select("set_id", "total_salary")
+
+
 @query("E10_completeness", FIXED + """
 SELECT 'before' AS stage, n_missing::INT AS n_missing, count(*) AS n_sets FROM st GROUP BY 2
 UNION ALL SELECT 'after', CASE WHEN fills IS NOT NULL THEN 0 ELSE n_missing END::INT, count(*) FROM st LEFT JOIN fx USING (set_key) GROUP BY 2""")
 def _(t):
-    sets, (out, _) = repaired(t)
+    sets, (out, _), _ = repaired(t)
     return X.completeness(sets).withColumn("stage", F.lit("before")).unionByName(
         X.completeness(out, "new_key").withColumn("stage", F.lit("after")))
 

@@ -188,14 +188,14 @@ E_DIMS = ["weight_class", "move_dir", "prob_band", "class_tier", "gender", "card
 
 @query("D15_entity_tables_by_archetype", CARDED + ", l AS (" + " UNION ALL ".join(
     f"SELECT archetype, '{d}' AS dim, {d} AS bucket, actual_points, ownership, is_ceiling, is_dud FROM mc WHERE {d} IS NOT NULL" for d in E_DIMS) + """)
-SELECT archetype, dim, bucket AS "value", count(*) AS n, round(avg(actual_points), 6) AS avg_points, round(avg(ownership), 6) AS avg_own, round(avg(is_ceiling), 6) AS ceiling_rate,
-       round(avg(is_dud), 6) AS dud_rate, count(*) < 50 AS small_sample FROM l GROUP BY 1, 2, 3""")
+SELECT archetype, dim, bucket AS "value", count(*) AS n, round(avg(actual_points) + 1e-9::DOUBLE, 6) AS avg_points, round(avg(ownership) + 1e-9::DOUBLE, 6) AS avg_own, round(avg(is_ceiling) + 1e-9::DOUBLE, 6) AS ceiling_rate,
+       round(avg(is_dud) + 1e-9::DOUBLE, 6) AS dud_rate, count(*) < 50 AS small_sample FROM l GROUP BY 1, 2, 3""")
 def _(t):
     long = R.unpivot_keys(carded(t), {d: [d] for d in E_DIMS}, ["archetype", "actual_points", "ownership", "is_ceiling", "is_dud"],
                           "dim").withColumnRenamed("k0", "value")
     g = long.groupBy("archetype", "dim", "value").agg(F.count(F.lit(1)).alias("n"), F.avg("actual_points").alias("avg_points"), F.avg("ownership").alias("avg_own"),
                                                      F.avg("is_ceiling").alias("ceiling_rate"), F.avg("is_dud").alias("dud_rate"))
-    return rounded(g, ["archetype", "dim", "value", "n"], ["avg_points", "avg_own", "ceiling_rate", "dud_rate"]).withColumn("small_sample", F.col("n") < 50)
+    return stepped(g, ["archetype", "dim", "value", "n"], ["avg_points", "avg_own", "ceiling_rate", "dud_rate"]).withColumn("small_sample", F.col("n") < 50)
 
 
 @query("D15_steam_gap_by_field_size", MEMBERS + f"""
