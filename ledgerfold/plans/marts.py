@@ -114,7 +114,7 @@ def scratch(t, name):
 @query("S06_overwrite_partitioned", "SELECT date_id, count(*) AS n, round(sum(total_prizes), 2) AS total FROM contests GROUP BY 1")
 def _(t):
     path = scratch(t, "overwrite")
-    T.overwrite(t.contests.select("date_id", "contest_id", "total_prizes").repartition("date_id"), path, ["date_id"])
+    T.overwrite(t.contests.select("date_id", "contest_id", "total_prizes").hint("rebalance", "date_id"), path, ["date_id"])
     return t.spark.read.parquet(path).groupBy("date_id").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("total_prizes"), 2).alias("total"))
 
 
@@ -123,7 +123,7 @@ SELECT date_id, contest_id, CASE WHEN status = 'F' THEN total_prizes*2 ELSE tota
 def _(t):
     path = scratch(t, "upsert")
     c = t.contests.select("contest_id", "total_prizes", "date_id", "status")
-    T.overwrite(c.drop("status").repartition("date_id"), path, ["date_id"])
+    T.overwrite(c.drop("status").hint("rebalance", "date_id"), path, ["date_id"])
     new = c.where("status = 'F'").withColumn("total_prizes", F.col("total_prizes") * 2).drop("status")
     T.upsert(t.spark, path, new, ["contest_id", "date_id"], "date_id")
     return t.spark.read.parquet(path).select("date_id", "contest_id", "total_prizes")
