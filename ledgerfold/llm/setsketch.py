@@ -8,11 +8,14 @@ likelihood of two sketches and their known set sizes estimates the overlap; the
 full sets decide.
 
 Groups are never expanded into pairs.  Equal sets are one node.  In a bucket
-every node is first compared with one partner that differs from band to band;
-of those estimates only the best of each node is verified, then those that
-still join different groups.  What is left in a cluster of candidates outside
-its largest group is compared with all of the cluster, so no candidate link is
-skipped.
+every node is first compared with one partner that differs from band to band,
+those unlike it with a second one; of those estimates only the best of each node
+is verified, then those that still join different groups.  The partners only
+make groups large early, they rule nothing out: members outside the largest
+group of their cluster of partners, and after that members outside the largest
+group of each bucket, are compared by their full sets with all of the cluster or
+bucket, block by block.  So two members of one bucket always end in one group if
+their sets overlap enough.
 
 Edge cases: a text without words has an empty set, links with nothing and is
 its own component; a row without id can only be an exact copy; rows that share
@@ -195,19 +198,24 @@ def overlapping(x_values, x_offsets, y_values, y_offsets, percent: int) -> tuple
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
-def cross_links(star: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different groups of a cluster of candidates.
+def cross_links(clusters: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different groups of a cluster (cluster, node).
 
     Members outside the cluster's largest group meet all of the cluster, in
     blocks of bounded size on both sides.  A block reports the local groups of
-    its links, not the pairs.
+    its links, not the pairs.  Clusters of the same members are compared once.
     """
-    cluster = components(star.select("a", "b"), "clusters").withColumnRenamed("component", "cluster")
-    placed = materialize(cluster.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-    share = placed.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c"))
-    mixed = share.groupBy("cluster").agg(F.max(F.struct("c", "component")).alias("p"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("n")).where("k > 1").select(
-        "cluster", F.col("p.component").alias("main"), F.ceil((F.col("n") - F.col("p.c")) / X_BLOCK).cast("int").alias("nx"),
+    placed = materialize(clusters.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    share = placed.groupBy("cluster", "component").agg(
+        F.count(F.lit(1)).alias("c"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (3, 4)])
+    mixed = share.groupBy("cluster").agg(
+        F.max(F.struct("c", "component")).alias("p"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("n"),
+        *[F.bit_xor(f"x{k}").alias(f"x{k}") for k in (3, 4)]).where("k > 1")
+    mixed = mixed.groupBy("n", "x3", "x4").agg(F.min(F.struct("cluster", "p")).alias("m")).select(
+        "m.cluster", F.col("m.p.component").alias("main"), F.ceil((F.col("n") - F.col("m.p.c")) / X_BLOCK).cast("int").alias("nx"),
         F.ceil(F.col("n") / Y_BLOCK).cast("int").alias("ny"))
+    # written, so that what follows is joined by measured sizes
+    mixed = materialize(mixed, "mixed")
     rich = placed.join(mixed, "cluster").join(sets, "node")
     x_own, y_own = (F.pmod(F.xxhash64("node", F.lit(k)), F.col(n)).cast("int") for k, n in ((1, "nx"), (2, "ny")))
     outside = rich.where(F.col("component") != F.col("main")).select(
@@ -283,7 +291,12 @@ def near_groups(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", siz
     rest = grouped(star, comp).join(tried, ["a", "b"], "left_anti")
     links = materialize(links.union(verified(rest, sets, percent)), "links")
     comp = components(links)
-    links = materialize(links.union(cross_links(star, comp, sets, percent)), "links")
+    clusters = components(star.select("a", "b"), "clusters").withColumnRenamed("component", "cluster")
+    links = materialize(links.union(cross_links(clusters, comp, sets, percent)), "links")
+    comp = components(links)
+    # whatever the partners said, members of a bucket in different groups meet
+    buckets = in_bucket.select(F.col("band").alias("cluster"), "node")
+    links = materialize(links.union(cross_links(buckets, comp, sets, percent)), "links")
     comp = components(links)
     named = reps.join(comp, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = own.join(named, "digest", "left")

@@ -85,6 +85,17 @@ def test_near_groups_equal_brute_force(docs, rows):
     assert setsketch.near_groups(empty(docs)).count() == 0
 
 
+def test_every_member_of_a_bucket_is_compared(spark, monkeypatch):
+    shared = [f"s{k}" for k in range(60)]
+    texts = []
+    for i in range(40):  # a family of pairwise similarity 0.5, each with one near copy
+        own = [f"u{i}x{k}" for k in range(30)]
+        texts += [(i, " ".join(shared + own)), (1000 + i, " ".join(shared + own[:-3] + [f"v{i}x{k}" for k in range(3)]))]
+    monkeypatch.setattr(setsketch, "band_members", lambda reps: reps.select(F.lit(0).cast("long").alias("band"), "node", "n_shingles"))
+    got = setsketch.near_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i % 1000 for i, _ in texts}
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(3)
     a, b = (rng.integers(0, 2**63, 3000, dtype=np.uint64) for _ in range(2))
