@@ -1,16 +1,18 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Every source is cut into blocks of ``block_rows`` documents.  A source of weight
-w gets its block k released at slot floor(k / w) and due by slot
-ceil((k + 1) / w); in every slot the released block with the earliest deadline
-goes next.  The share of each source then stays less than one block away from
-its target at every slot.
-
-Weights are integer blocks in a period, so releases and deadlines repeat: one
-period is scheduled here, whatever the corpus holds, and every block finds its
-slot as (periods before it, place in the period).  No document is dropped: a
-source with more blocks than its share lasts simply goes on after the others;
-``on_target`` marks the slots before the first source runs out.
+Every source is cut into blocks of ``block_rows`` documents.  A source whose
+share of all weights is w gets its block k released at slot floor(k / w) and due
+by slot ceil((k + 1) / w); in every slot the released block with the earliest
+deadline goes next.  The share of each source then stays less than one block
+away from its target at every slot before the first source runs out.
+
+Weights are exact rational numbers and the schedule covers the whole horizon, so
+no rounding repeats and no error adds up.  One task writes it as it goes, one row
+per block.  With ``period`` the weights are first rounded to whole blocks of a
+period (``blocks_per_period``), and the deviation is from the rounded weights.
+No document is dropped: a source with more blocks than its share lasts simply
+goes on after the others; ``on_target`` marks the slots before the first source
+runs out.
 
 A null source is a source of its own.  Rows with equal id keep separate places.
 An empty table gives an empty schedule.
@@ -19,11 +21,17 @@ An empty table gives an empty schedule.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import islice
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-BLOCK_ROWS, PERIOD, ROWS_PER_BUCKET = 64, 1024, 5_000
+from ledgerfold.session import materialize
+
+BLOCK_ROWS, ROWS_PER_BUCKET, BATCH = 64, 5_000, 10_000
 
 
 def blocks_per_period(weights: Mapping, period: int) -> dict:
@@ -71,6 +79,36 @@ def period_slots(blocks: Mapping, period: int) -> list[tuple]:
     return out
 
 
+def exact_shares(weights: Mapping) -> tuple[dict, int]:
+    """Integers in the exact proportions of ``weights``, and their sum."""
+    if weights and min(weights.values()) <= 0:
+        raise ValueError("weights must be positive")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = lcm(*[w.denominator for w in exact.values()])
+    parts = {s: int(w * scale) for s, w in exact.items()}
+    return parts, sum(parts.values())
+
+
+def schedule(parts: list[int], total: int, blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source number, block, release, deadline, slot) of the first ``blocks`` blocks of every source, earliest deadline first."""
+    waiting = [(0, n, 0) for n in range(len(parts)) if blocks[n]]
+    ready: list[tuple] = []
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            free, n, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline(k, parts[n], total), n, k, free))
+        due, n, k, free = heapq.heappop(ready)
+        if due <= slot:
+            raise AssertionError("missed deadline")
+        yield n, k, free, due, slot
+        if k + 1 < blocks[n]:
+            heapq.heappush(waiting, (release(k + 1, parts[n], total), n, k + 1))
+        slot += 1
+
+
 def numbered(docs: DataFrame, *, doc: str, source: str, rows: int) -> DataFrame:
     """(doc, source, number): places 0, 1, ... of each source in hash order.
 
@@ -103,26 +141,25 @@ def mix(docs: DataFrame, *, doc: str = "doc_id", source: str = "source", weights
     if missing := set(counts) - set(weights):
         raise ValueError(f"no weight for {sorted(map(str, missing))}")
     weights = {s: w for s, w in weights.items() if s in counts}
-    period = period or max(PERIOD, 8 * len(counts))
-    blocks = blocks_per_period(weights, period)
-    slots = period_slots(blocks, period) if blocks else []
-    first_gap = {}
-    place = {(s, k): slot for s, k, slot in slots}
-    for s, n in counts.items():
-        full = n // block_rows
-        first_gap[s] = full // blocks[s] * period + place[s, full % blocks[s]]
-    horizon = min(first_gap.values(), default=0)
-    kind = docs.schema[source].dataType
-    schema = T.StructType([T.StructField("_s", kind), T.StructField("_k", T.LongType()), T.StructField("_slot", T.LongType()),
-                           T.StructField("_blocks", T.LongType())])
-    table = spark.createDataFrame([(s, k, slot, blocks[s]) for s, k, slot in slots], schema)  # ``period`` rows, whatever the corpus
-    per = F.lit(period).cast("long")
+    keys = sorted(weights, key=lambda s: (s is None, s))
+    parts, total = exact_shares(weights if period is None else blocks_per_period(weights, period))
+    share, full = [parts[s] for s in keys], [counts[s] // block_rows for s in keys]
+
+    def slots(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = schedule(share, total, [n + 1 for n in full])  # up to the first block that is not full
+            while part := list(islice(rows, BATCH)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part)], names=["_n", "_k", "release", "deadline", "slot"])
+
+    table = materialize(spark.range(1, numPartitions=1).mapInArrow(slots, "_n long, _k long, release long, deadline long, slot long"), "slots")
+    names = spark.createDataFrame([(s, n, full[n]) for n, s in enumerate(keys)], T.StructType(  # one row per source
+        [T.StructField("_s", docs.schema[source].dataType), T.StructField("_t", T.LongType()), T.StructField("_full", T.LongType())]))
+    ends = table.join(F.broadcast(names), (F.col("_n") == F.col("_t")) & (F.col("_k") == F.col("_full")))
+    horizon = ends.agg(F.min("slot")).first()[0] or 0
     rows = numbered(docs, doc=doc, source=source, rows=sum(counts.values()))
-    share = spark.createDataFrame([(s, b) for s, b in blocks.items()], T.StructType([T.StructField("_t", kind), T.StructField("_n", T.LongType())]))
     rows = rows.withColumn("block", F.floor(F.col("number") / block_rows)).withColumn("block_place", F.pmod("number", F.lit(block_rows)))
-    rows = rows.join(F.broadcast(share), F.col("source").eqNullSafe(F.col("_t"))).withColumn("_at", F.pmod("block", F.col("_n")))
-    rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_at") == F.col("_k")))
-    slot = F.floor(F.col("block") / F.col("_n")) * per + F.col("_slot")
-    return rows.select(
-        "doc_id", "source", "block", "block_place", F.expr(f"block * {period} div _n").alias("release"),
-        F.expr(f"((block + 1) * {period} + _n - 1) div _n").alias("deadline"), slot.alias("slot"), (slot < F.lit(horizon)).alias("on_target"))
+    rows = rows.join(F.broadcast(names.drop("_full")), F.col("source").eqNullSafe(F.col("_s")))
+    rows = rows.join(table, (F.col("_t") == F.col("_n")) & (F.col("block") == F.col("_k")))
+    return rows.select("doc_id", "source", "block", "block_place", "release", "deadline", "slot", (F.col("slot") < F.lit(horizon)).alias("on_target"))

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -384,6 +385,22 @@ def test_pfair_schedule(spark):
     assert pfair.mix(df.where("doc_id < 0")).count() == 0
 
 
+def test_pfair_stays_at_the_given_weights(spark):
+    weights = {"s00": 0.5, "s01": 0.0001, **{f"s{k:02}": 0.4999 / 18 for k in range(2, 20)}}
+    total = sum(Fraction(w) for w in weights.values())
+    sizes = {s: int(9000 * w) + 1 for s, w in weights.items()}
+    data = [(100_000 * k + i, s) for k, s in enumerate(sizes) for i in range(sizes[s])]
+    out = pfair.mix(spark.createDataFrame(data, "doc_id long, source string"), weights=weights, block_rows=1).orderBy("slot").collect()
+    assert len(out) == len(data)
+    assert all(r.release <= r.slot < r.deadline for r in out)
+    done = dict.fromkeys(weights, 0)
+    reach = [r for r in out if r.on_target]
+    assert len(reach) > 8000 and [r.slot for r in reach] == list(range(len(reach)))
+    for r in reach:
+        done[r.source] += 1
+        assert all(abs(n - Fraction(weights[s]) / total * (r.slot + 1)) < 1 for s, n in done.items())
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
