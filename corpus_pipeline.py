@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeats of passages; a document whose every line was a repeat goes."""
-    cut = linewin.remove_repeats(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    """Texts without later repeats of passages; a document of which nothing is left goes."""
+    cut = linewin.remove_repeats(docs, passages=True).where((F.col("n_removed") == 0) | (F.char_length("text") > 0))
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))

@@ -57,7 +57,7 @@ def op7(spark, sf_dir):
 
 
 def op8(spark, sf_dir):
-    cut = linewin.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = linewin.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), passages=True)
     text = F.coalesce("text", F.lit(""))
     return cut.select("doc_id", "n_lines", "n_removed", F.char_length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
 

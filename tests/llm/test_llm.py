@@ -152,6 +152,26 @@ def test_line_windows_equal_brute_force(spark, docs, rows):
     assert linewin.remove_repeats(empty(docs)).count() == 0
 
 
+def test_repeated_passages_without_whole_lines(spark):
+    rng = random.Random(8)
+    texts, kept = [], []
+    for i in range(60):
+        passage = [f"p{i}x{rng.randrange(10**6)}" for _ in range(51)]
+        for k in range(2):
+            before, after = ([f"o{i}x{k}x{m}x{j}" for j in range(rng.randrange(5, 40))] for m in range(2))
+            texts.append((2 * i + k, " ".join(before + passage + after)))
+            kept.append((before, passage, after))
+    wide = "".join(chr(0x4E00 + rng.randrange(8000)) + ("\u3002" if k % 17 == 16 else "") for k in range(120))
+    texts += [(900, "\u4e01" * 30 + wide), (901, "\u4e02" * 30 + wide), (902, "tail a\nAll rights\nreserved\nby us"), (903, "tail b\nAll rights\nreserved\nby us")]
+    got = {r.doc_id: r for r in linewin.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), passages=True).collect()}
+    for i, (before, passage, after) in enumerate(kept):
+        left = got[i].text.split()
+        assert [w for w in left if w not in set(passage)] == before + after
+        assert len(left) - len(before + after) == 51 if i % 2 == 0 else len(left) - len(before + after) <= 31
+    assert got[900].text == texts[-4][1] and 30 <= len(got[901].text) <= 60
+    assert (got[902].text, got[903].text) == ("tail a\nAll rights\nreserved\nby us", "tail b")
+
+
 def test_decontamination_equals_brute_force(spark, docs, rows):
     text = dict(rows)
     items = [("a", " ".join(text[1].split(" ")[5:40])), ("b", text[208][1000:1400]), ("b", "w1"), ("c", None), ("d", "--- !"), ("e", text[7].upper()),
