@@ -65,6 +65,18 @@ def normal_form(words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
     return out.tobytes(), ends[words.first], start
 
 
+def matches(pattern, text: str) -> list:
+    """Matches from left to right: the best of all, then those in the parts left and right of it."""
+    out, parts = [], [(0, len(text))]
+    while parts:
+        lo, hi = parts.pop()
+        m = pattern.search(text, lo, hi)
+        if m and m.end() > m.start():
+            out.append(m)
+            parts += [(lo, m.start()), (m.end(), hi)]
+    return sorted(out, key=lambda m: m.start())
+
+
 def fuzzy(blob: bytes, offsets: np.ndarray, starts: np.ndarray, first: np.ndarray, notices: list[Notice]) -> list[tuple]:
     """(text, label, first word, words, edits, share of equal characters) of every verified notice."""
     seeds: dict[bytes, list[int]] = {}
@@ -89,7 +101,7 @@ def fuzzy(blob: bytes, offsets: np.ndarray, starts: np.ndarray, first: np.ndarra
             for doc in range(d, last + 1):
                 s, e = max(int(a), int(offsets[doc])), min(int(b), int(offsets[doc + 1]))
                 part = blob[s:e].decode("utf-8", "ignore")
-                for m in notice.pattern.finditer(part):
+                for m in matches(notice.pattern, part):
                     edits = sum(m.fuzzy_counts)
                     left = s + len(part[:m.start()].encode()) + (len(m.group()) - len(m.group().lstrip(" ")))
                     right = s + len(part[:m.end()].encode())

@@ -449,3 +449,10 @@ def test_license_notices(spark):
     assert [got[i].labels for i in (0, 2, 5, 6, 7, 8)] == ["mit", "apache", "", "gpl", "mpl", ""]
     assert got[7].notices[0].word == 60_000 and got[3].score == 0 and 0 < got[6].score < 1
     assert license_scan.license_report(df.where("doc_id < 0")).count() == 0
+
+
+def test_notices_before_a_better_one_are_reported():
+    notice = license_scan.Notice("mit", "licensed under the mit license", 2)
+    text = "licenced under the mit licence x licensed under the mit license licensed undr the mit license y licensed under the mit licence"
+    assert [(m.start(), sum(m.fuzzy_counts)) for m in license_scan.matches(notice.pattern, text)] == [
+        (text.index("licenced"), 2), (33, 0), (64, 1), (text.index("y lic") + 2, 1)]
