@@ -202,8 +202,7 @@ def by_year(t):
 
 
 def tree_stages(kind):
-    small = {"forest": {"numTrees": 20, "maxDepth": 5}, "boosted": {"maxIter": 10, "maxDepth": 3}}[kind]
-    return lambda: M.preprocessing(["close_prob", "ownership", "salary"], ["weight_class"]) + [M.estimator(kind, "actual_points", **small)]
+    return lambda: M.preprocessing(["close_prob", "ownership", "salary"], ["weight_class"]) + [M.estimator(kind, "actual_points")]
 
 
 def cv_columns(d):
@@ -228,12 +227,12 @@ def ridge_walk_forward(t):
 
 @query("M02_forest_walk_forward")
 def _(t):
-    return fold_report(M.walk_forward_cv(by_year(t), tree_stages("forest"), "actual_points", "year", min_train=5))
+    return fold_report(M.walk_forward_cv(t.players, tree_stages("forest"), "actual_points", "date_id", min_train=P.MIN_TRAIN_EVENTS))
 
 
 @query("M02_boosted_walk_forward")
 def _(t):
-    return fold_report(M.walk_forward_cv(by_year(t), tree_stages("boosted"), "actual_points", "year", min_train=5))
+    return fold_report(M.walk_forward_cv(t.players, tree_stages("boosted"), "actual_points", "date_id", min_train=P.MIN_TRAIN_EVENTS))
 
 
 @query("M03_ensemble")
@@ -241,29 +240,30 @@ def _(t):
     d = t.players
     pre = M.preprocessing(["close_prob", "ownership", "salary"])
     make = lambda k, **kw: Pipeline(stages=pre + [M.estimator(k, "actual_points", **kw)]).fit(d)
-    e = M.ensemble(d, {"ridge": make("ridge", reg_param=0.001), "forest": make("forest", numTrees=10, maxDepth=4)})
+    e = M.ensemble(d, {"ridge": make("ridge", reg_param=0.001), "forest": make("forest")})
     return e.select("player_id", "contest_id", *[r6(c, 4).alias(c) for c in ("pred_ridge", "pred_forest", "prediction")])
 
 
 @query("M04_compare_models")
 def _(t):
-    d = by_year(t)
+    d = t.players
     both = None
     for kind in ("forest", "boosted"):
-        cv = M.walk_forward_cv(d, tree_stages(kind), "actual_points", "year", min_train=5).select("fold", "actual_points", "prediction")
+        cv = M.walk_forward_cv(d, tree_stages(kind), "actual_points", "date_id", min_train=P.MIN_TRAIN_EVENTS).select("fold", "actual_points", "prediction")
         cv = cv.withColumn("model", F.lit(kind))
         both = cv if both is None else both.unionByName(cv)
-    linear = M.ridge_walk_forward(d, X2, "actual_points", "year", min_train=5).select("fold", "actual_points", "prediction").withColumn("model", F.lit("ridge"))
+    linear = M.ridge_walk_forward(d, X2, "actual_points", min_train=P.MIN_TRAIN_EVENTS).select("fold", "actual_points", "prediction").withColumn("model", F.lit("ridge"))
     m = M.compare_models(both.unionByName(linear), "actual_points", {"ridge": 1, "forest": 2, "boosted": 3})
     return m.select("model", r6("cv_mean", 4).alias("cv_mean"), r6("cv_std", 4).alias("cv_std"), "n_folds", "selected")
 
 
 @query("M05_random_search")
 def _(t):
-    params = M.sample_params({"maxDepth": [2, 4], "numTrees": [5, 10]}, 2)
+    # 30 is the deepest tree Spark grows
+    params = M.sample_params({"numTrees": [50, 100, 200], "maxDepth": [5, 10, 20, 30], "minInstancesPerNode": [1, 2, 4]}, 20)
     make = lambda p: M.preprocessing(["close_prob", "ownership"]) + [M.estimator("forest", "actual_points", **p)]
     d = t.players.select("date_id", "contest_id", "player_id", "close_prob", "ownership", "actual_points")
-    s = M.random_search(d, ["date_id", "contest_id", "player_id"], make, "actual_points", params, k=2)
+    s = M.random_search(d, ["date_id", "contest_id", "player_id"], make, "actual_points", params, k=5)
     return s.select("trial", "params", r6("cv_rmse", 4).alias("cv_rmse"))
 
 
