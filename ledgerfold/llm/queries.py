@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerfold.llm import archive, crf, license_scan, linewin, pfair, pq, setsketch, suffix, template, weaksup
+from ledgerfold.llm import archive, crf, license_scan, linewin, pfair, pq, setsketch, suffix, template, trie, vafile, weaksup, whiten
 from ledgerfold.session import apply_settings
 
 COSINE = 0.93
@@ -71,6 +71,20 @@ def op10(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return whiten.transform(vectors, whiten.fit(vectors))
+
+
+def op12(spark, sf_dir):
+    return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op13(spark, sf_dir):
+    c = F.col("conv_id")
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"), c - c % 5, F.crc32(c.cast("string").cast("binary")) % 9)
+
+
 QUERIES = {
     "op1_pq_near_vectors": op1,
     "op2_crf_language": op2,
@@ -82,6 +96,9 @@ QUERIES = {
     "op8_line_windows": op8,
     "op9_setsketch_near_documents": op9,
     "op10_suffix_decontamination": op10,
+    "op11_charpoly_whitening": op11,
+    "op12_va_file_top_k": op12,
+    "op13_skeleton_trie": op13,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -130,4 +147,31 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS t
 SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(t, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN covered ON covered.doc_id = dw.doc_id LEFT JOIN items ON items.doc_id = dw.doc_id""",
+    "op12_va_file_top_k": """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r AS q, q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])), 0)::BIGINT AS score
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s) WHERE rank <= 5""",
+    "op13_skeleton_trie": """
+WITH nibble AS (SELECT list_transform(range(16), lambda n: list_reduce([n, 0, 0, 0, 0], lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))) AS t),
+ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda a, b: xor(xor(xor(a, b) >> 4, t[(xor(a, b) & 15) + 1]) >> 4, t[(xor(xor(a, b) >> 4, t[(xor(a, b) & 15) + 1]) & 15) + 1])), 4294967295) % 9 AS h FROM ids, nibble),
+said AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256(octet_length(encode(role)) || ':' || role || ':' || text)) AS i FROM said),
+r AS (SELECT h.c, 0 AS own, i, role, text FROM h JOIN n ON n.c = h.c - h.c % 5 AND i <= h
+  UNION ALL SELECT h.c, 1, i, role, text FROM h JOIN n ON n.c = h.c AND i > h),
+o AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, i) AS d, sha256(octet_length(encode(role)) || ':' || role || ':' || text) AS k, octet_length(encode(text)) AS bytes FROM r),
+whole AS (SELECT ids.c, coalesce(list(k ORDER BY d) FILTER (k IS NOT NULL), []) AS ks, coalesce(list(bytes ORDER BY d) FILTER (k IS NOT NULL), []) AS bs
+  FROM ids LEFT JOIN o ON o.c = ids.c GROUP BY ids.c),
+p AS (SELECT c, d, len(ks) AS n, array_to_string(list_slice(ks, 1, d), '') AS key, CASE WHEN d > 0 THEN array_to_string(list_slice(ks, 1, d - 1), '') END AS up,
+  CASE WHEN d > 0 THEN bs[d] ELSE 0 END AS bytes FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM whole)),
+g AS (SELECT key, d, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+  sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends FROM p GROUP BY key, d),
+kids AS (SELECT up AS key, count(*) AS n FROM g WHERE up IS NOT NULL GROUP BY up),
+j AS (SELECT g.*, coalesce(kids.n, 0) AS n_children FROM g LEFT JOIN kids ON kids.key = g.key),
+sums AS (SELECT a.key, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.bytes) AS saved FROM j a JOIN j b ON starts_with(b.key, a.key) GROUP BY a.key)
+SELECT j.conv_id, j.d::BIGINT AS depth, u.conv_id AS parent_conv_id, j.n_convs::BIGINT AS n_convs, j.n_children::BIGINT AS n_children, sums.n_leaves::BIGINT AS n_leaves,
+  sums.saved::BIGINT AS saved_tokens, j.ends AS ends_sha256 FROM j JOIN sums ON sums.key = j.key LEFT JOIN j u ON u.key = j.up""",
 }
