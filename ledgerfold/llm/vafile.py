@@ -90,14 +90,15 @@ class Queries:
         return np.flatnonzero(hit), order[at[hit]]
 
     def bounds(self, middle: np.ndarray, half: np.ndarray, rows: slice) -> tuple[np.ndarray, np.ndarray]:
-        """Score of the cells' middles and how far a score can be from it.
+        """Least and largest score that a vector in these cells can have.
 
         The slack covers the rounding of sums that a double does not hold exactly.
         """
         centre = self.q[rows] @ middle.T
         reach = self.size[rows] @ half.T
         slack = 1e-13 * self.size[rows].sum(1)[:, None] * (np.abs(middle).max(initial=0) + half.max(initial=0))
-        return centre, reach + np.where(slack < 0.25, 0, slack)
+        reach += np.where(slack < 0.25, 0, slack)
+        return (centre - reach).clip(-LONG, LONG), (centre + reach).clip(-LONG, LONG)
 
 
 def long_matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -105,10 +106,10 @@ def long_matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _scores(q: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Exact inner products of one query: long where it holds them, else Python integers."""
+    """Exact inner products of one query, as long; those that it cannot hold saturate."""
     if int(np.abs(q).max(initial=0)) * int(np.abs(y).max(initial=0)) * max(1, len(q)) < LONG:
         return y @ q
-    return y.astype(object) @ q.astype(object)
+    return np.array([max(-LONG, min(LONG - 1, v)) for v in y.astype(object) @ q.astype(object)], dtype=np.int64)
 
 
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,8 +136,7 @@ def _lower_bounds(codes: DataFrame, cells, queries, dim: int, k: int) -> DataFra
             row, column = q.own_rows(batch.column(0).to_numpy())
             for lo in range(0, len(q.number), QUERY_ROWS):
                 part = slice(lo, lo + QUERY_ROWS)
-                centre, reach = q.bounds(middle, half, part)
-                low = centre - reach
+                low, _ = q.bounds(middle, half, part)
                 here = (row >= lo) & (row < lo + QUERY_ROWS)
                 low[row[here] - lo, column[here]] = -np.inf
                 best[part] = _best(np.concatenate([best[part], _best(low, k)], axis=1), k)
@@ -159,8 +159,7 @@ def _visited(data: DataFrame, cells, queries, dim: int, k: int) -> DataFrame:
             row, column = q.own_rows(node)
             for lo in range(0, len(q.number), QUERY_ROWS):
                 part = slice(lo, lo + QUERY_ROWS)
-                centre, reach = q.bounds(middle, half, part)
-                high = centre + reach
+                _, high = q.bounds(middle, half, part)
                 here = (row >= lo) & (row < lo + QUERY_ROWS)
                 high[row[here] - lo, column[here]] = -np.inf
                 floor = np.array([x[-1][0] if len(x) == k else -np.inf for x in kept[part]], dtype=np.float64)
@@ -180,9 +179,7 @@ def _visited(data: DataFrame, cells, queries, dim: int, k: int) -> DataFrame:
         rows = [(int(q.number[i]), s, n) for i, mine in enumerate(kept) for s, _, n in mine]
         for lo in range(0, len(rows), 10_000):
             number, score, node = zip(*rows[lo:lo + 10_000])
-            held = [max(-LONG, min(LONG - 1, s)) for s in score]
-            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(held, pa.int64()), pa.array(node, pa.int64())],
-                                             names=["number", "score", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (number, score, node)], names=["number", "score", "node"])
 
     return data.select("node", "ids", "codes", "y").mapInArrow(work, "number long, score long, node long")
 

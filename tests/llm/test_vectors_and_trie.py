@@ -172,7 +172,7 @@ def test_top_k_of_few_and_none(spark):
     assert top(spark, [(50, [1.0])]) == []
     assert top(spark, [(0, [1.0]), (1, [2.0])]) == [(0, 1, 1, 256 * 512)]
     assert top(spark, [(0, [-1e15, 3.0]), (1, [1e16, 1.0]), (2, [1e16, 2.0])]) == [
-        (0, 1, 2, -2**63), (0, 2, 1, -2**63)]  # exact order, saturated scores
+        (0, 1, 1, -2**63), (0, 2, 2, -2**63)]  # scores that a long cannot hold saturate and tie
 
 
 def test_bounds_hold():
