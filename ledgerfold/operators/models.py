@@ -2,12 +2,12 @@
 
 Linear models never loop over folds: sums of products per event are one
 aggregate, fold totals are running sums over events, and each fold is a small
-k x k solve inside a task.  Trees are refitted per fold with ``pyspark.ml``.
+k x k solve inside a task.  Trees over folds are in ``trees``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from ledgerfold import presets as P
 from ledgerfold.functions.scalars import clip
-from ledgerfold.operators import folds as V, inference as I, ordered as O
+from ledgerfold.operators import folds as V, inference as I, ordered as O, trees as T
 from ledgerfold.operators.returns import ratio
 from ledgerfold.operators.ordered import attach_row
 
@@ -254,41 +254,7 @@ def event_metric_interval(df: DataFrame, y: str, yhat: str, metric: str = "mae",
     return out
 
 
-# --- tree models over folds ------------------------------------------------------
-
-def walk_forward_cv(
-    df: DataFrame, stages: Callable[[], list], target: str, event: str, *, min_train: int,
-    lo: float = 0.0, hi: float = 100.0,
-) -> DataFrame:
-    """Predictions of each fold's test event by a pipeline refitted per fold.
-
-    The loop runs over dates on the driver; every fit and transform is a
-    distributed job on the numbered rows.
-    """
-    numbered = V.number_events(df, event)
-    folds = V.walk_forward(df, event, min_train).orderBy("fold").collect()  # one row per date
-    out = None
-    for f in folds:
-        model = Pipeline(stages=stages()).fit(numbered.where(F.col("event_no") <= f["train_last_no"]))
-        test = numbered.where(F.col("event_no") == f["train_last_no"] + 1)
-        part = clipped(model.transform(test), lo=lo, hi=hi).select(*df.columns, F.lit(f["fold"]).alias("fold"), "prediction")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("not enough events for one fold")
-    return out
-
-
-def fold_predictions(numbered: DataFrame, bounds: Sequence[tuple[int, ...]], stages: Callable[[], list], row: str = "row_no") -> DataFrame:
-    """As :func:`walk_forward_cv` for row-range folds (purged or rolling)."""
-    out = None
-    for b in bounds:
-        fold, lo, hi, start, end = b if len(b) == 5 else (b[0], 0, *b[1:])
-        r = F.col(row)
-        model = Pipeline(stages=stages()).fit(numbered.where((r >= lo) & (r < hi)))
-        part = model.transform(numbered.where((r >= start) & (r < end))).select(*numbered.columns, F.lit(fold).alias("fold"), "prediction")
-        out = part if out is None else out.unionByName(part)
-    return out
-
+# --- model comparison and search -------------------------------------------------
 
 def ensemble(df: DataFrame, models: Mapping[str, Transformer], lo: float = 0.0, hi: float = 100.0) -> DataFrame:
     """Each model's clipped prediction and their mean."""
@@ -324,20 +290,20 @@ def sample_params(grid: Mapping[str, Sequence], n: int, seed: int = P.SEED) -> l
 
 
 def random_search(
-    df: DataFrame, order: list[str], make: Callable[[dict], list], target: str, params: Sequence[dict], *, k: int = 3, gap: int = 0,
+    df: DataFrame, order: list[str], kind: str, target: str, params: Sequence[dict], numeric: Sequence[str], categorical: Sequence[str] = (), *,
+    k: int = 3, gap: int = 0,
 ) -> DataFrame:
-    """Forward-split score of each parameter set: (trial, params, cv_rmse)."""
+    """Forward-split score of each parameter set: (trial, params, cv_rmse).
+
+    All trials share one binning and one table of cells; every (trial, fold) is a task.
+    """
     import json
     numbered = V.number_rows(df, order)
-    n = df.count()
-    bounds = V.rolling_bounds(n, k, gap=gap)
-    out = None
-    for i, p in enumerate(params):
-        cv = fold_predictions(numbered, bounds, lambda p=p: make(p))
-        row = regression_metrics(cv, target, "prediction", ["fold"]).agg(F.avg("rmse").alias("cv_rmse")).select(
-            F.lit(i).alias("trial"), F.lit(json.dumps(p, sort_keys=True)).alias("params"), "cv_rmse")
-        out = row if out is None else out.unionByName(row)
-    return out
+    learners = {str(i): T.Learner(kind, **p) for i, p in enumerate(params)}
+    cv = T.row_folds(numbered, learners, target, V.rolling_bounds(df.count(), k, gap=gap), numeric, categorical, lo=None)
+    per = regression_metrics(cv, target, "prediction", ["model", "fold"]).groupBy("model").agg(F.avg("rmse").alias("cv_rmse"))
+    text = F.create_map(*[F.lit(x) for i, p in enumerate(params) for x in (str(i), json.dumps(p, sort_keys=True))])
+    return per.select(F.col("model").cast("int").alias("trial"), text[F.col("model")].alias("params"), "cv_rmse")
 
 
 # --- calibration and pooling --------------------------------------------------------

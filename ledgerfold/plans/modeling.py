@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from ledgerfold import presets as P
-from ledgerfold.operators import collinear as C, explain as X, folds as V, inference as I, models as M, strategy as S
+from ledgerfold.operators import collinear as C, explain as X, folds as V, inference as I, models as M, strategy as S, trees as T
 from ledgerfold.plans.features import rounded
 from ledgerfold.plans.registry import query, r6
 from ledgerfold.plans.returns import bootstrap_sql
@@ -197,16 +197,10 @@ def _(t):
     return M.regression_metrics(p, "actual_points", "prediction").select(*[r6(c, 4).alias(c) for c in ("mae", "rmse", "r2")], "n")
 
 
-def by_year(t):
-    return t.players.withColumn("year", F.floor(F.col("date_id") / 10000).cast("int"))
-
-
-def tree_stages(kind):
-    return lambda: M.preprocessing(["close_prob", "ownership", "salary"], ["weight_class"]) + [M.estimator(kind, "actual_points")]
-
-
-def cv_columns(d):
-    return d.select("player_id", "contest_id", "year", "fold", "actual_points", "prediction")
+def tree_folds(t, **learners):
+    """Walk-forward predictions of tree models from the 21st event on."""
+    d = t.players.select("date_id", "close_prob", "ownership", "salary", "weight_class", "actual_points")
+    return T.walk_forward(d, learners, "actual_points", "date_id", ["close_prob", "ownership", "salary"], ["weight_class"], min_train=P.MIN_TRAIN_EVENTS)
 
 
 def fold_report(cv, keys=("fold",)):
@@ -227,12 +221,12 @@ def ridge_walk_forward(t):
 
 @query("M02_forest_walk_forward")
 def _(t):
-    return fold_report(M.walk_forward_cv(t.players, tree_stages("forest"), "actual_points", "date_id", min_train=P.MIN_TRAIN_EVENTS))
+    return fold_report(tree_folds(t, forest=T.FOREST))
 
 
 @query("M02_boosted_walk_forward")
 def _(t):
-    return fold_report(M.walk_forward_cv(t.players, tree_stages("boosted"), "actual_points", "date_id", min_train=P.MIN_TRAIN_EVENTS))
+    return fold_report(tree_folds(t, boosted=T.BOOSTED))
 
 
 @query("M03_ensemble")
@@ -246,24 +240,17 @@ def _(t):
 
 @query("M04_compare_models")
 def _(t):
-    d = t.players
-    both = None
-    for kind in ("forest", "boosted"):
-        cv = M.walk_forward_cv(d, tree_stages(kind), "actual_points", "date_id", min_train=P.MIN_TRAIN_EVENTS).select("fold", "actual_points", "prediction")
-        cv = cv.withColumn("model", F.lit(kind))
-        both = cv if both is None else both.unionByName(cv)
-    linear = M.ridge_walk_forward(d, X2, "actual_points", min_train=P.MIN_TRAIN_EVENTS).select("fold", "actual_points", "prediction").withColumn("model", F.lit("ridge"))
-    m = M.compare_models(both.unionByName(linear), "actual_points", {"ridge": 1, "forest": 2, "boosted": 3})
+    trees = tree_folds(t, forest=T.FOREST, boosted=T.BOOSTED).select("model", "fold", "actual_points", "prediction")
+    linear = M.ridge_walk_forward(t.players, X2, "actual_points", min_train=P.MIN_TRAIN_EVENTS).select(F.lit("ridge").alias("model"), "fold", "actual_points", "prediction")
+    m = M.compare_models(trees.unionByName(linear), "actual_points", {"ridge": 1, "forest": 2, "boosted": 3})
     return m.select("model", r6("cv_mean", 4).alias("cv_mean"), r6("cv_std", 4).alias("cv_std"), "n_folds", "selected")
 
 
 @query("M05_random_search")
 def _(t):
-    # 30 is the deepest tree Spark grows
-    params = M.sample_params({"numTrees": [50, 100, 200], "maxDepth": [5, 10, 20, 30], "minInstancesPerNode": [1, 2, 4]}, 20)
-    make = lambda p: M.preprocessing(["close_prob", "ownership"]) + [M.estimator("forest", "actual_points", **p)]
+    params = M.sample_params({"trees": [50, 100, 200], "depth": [5, 10, 20, None], "split": [2, 5, 10], "leaf": [1, 2, 4]}, 20)
     d = t.players.select("date_id", "contest_id", "player_id", "close_prob", "ownership", "actual_points")
-    s = M.random_search(d, ["date_id", "contest_id", "player_id"], make, "actual_points", params, k=5)
+    s = M.random_search(d, ["date_id", "contest_id", "player_id"], "forest", "actual_points", params, ["close_prob", "ownership"], k=5)
     return s.select("trial", "params", r6("cv_rmse", 4).alias("cv_rmse"))
 
 
@@ -446,7 +433,7 @@ _FOLD_ROWS = " UNION ALL ".join(
 SELECT feature, round(avg(imp), 6) AS mean_importance, round(stddev_samp(imp), 6) AS std_importance, round(avg(rk), 6) AS mean_rank, round(stddev_samp(rk), 6) AS std_rank,
        round(1 - stddev_samp(rk)/2, 6) AS rank_stability FROM k GROUP BY 1""")
 def _(t):
-    years = by_year(t)
+    years = t.players.withColumn("year", F.floor(F.col("date_id") / 10000).cast("int"))
     out = None
     for i, (lo, hi) in enumerate(PERIODS):
         d = years.where(F.col("year").between(lo, hi)).select(*KEY, "close_prob", "ownership", "actual_points")

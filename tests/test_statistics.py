@@ -139,15 +139,6 @@ def test_ridge_walk_forward_equals_refits(panel):
         assert np.allclose(g["prediction"], np.clip(c[0] + g["x1"] * c[1] + g["x2"] * c[2], 0, 100))
 
 
-def test_walk_forward_cv_never_sees_the_test_date(panel):
-    df, _ = panel
-    stages = lambda: M.preprocessing(["x1", "x2"]) + [M.estimator("forest", "y", numTrees=3, maxDepth=3)]
-    a = M.walk_forward_cv(df, stages, "y", "date_id", min_train=28).toPandas().sort_values("id")["prediction"]
-    bent = df.withColumn("y", F.when(F.col("date_id") >= 29, F.col("y") + 1000).otherwise(F.col("y")))
-    b = M.walk_forward_cv(bent, stages, "y", "date_id", min_train=28).toPandas().sort_values("id")["prediction"]
-    assert len(a) == 40 and np.allclose(a, b)
-
-
 def test_bagging_spread(panel):
     df, _ = panel
     out = M.bagged_prediction(df, M.bagged_ridge(df, ["x1", "x2"], "y", members=20), ["x1", "x2"]).toPandas()
