@@ -3,15 +3,18 @@
 The fact table is read once and reduced to sums per (group, event).  Everything
 after that has at most groups x events rows, whatever the size of the facts.
 Draws are hashes of (seed, replicate, position): repeatable under any
-partitioning, and shared by all groups with the same number of events.
+partitioning, and shared by all groups.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Mapping, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -43,40 +46,64 @@ def draw_counts(sizes: DataFrame, draws: int, seed: int) -> DataFrame:
         F.count(F.lit(1)).alias("_times"))
 
 
+@lru_cache(maxsize=4)
+def replicate_draws(draws: int, seed: int, n: int) -> np.ndarray:
+    """32-bit draws, one row per drawn place and one column per replicate.
+
+    The same numbers as :func:`hash_uniform_int` before its remainder, so one
+    table made for the longest calendar serves groups of every size.
+    """
+    md5, heads = hashlib.md5, [f"{seed}|{b}|" for b in range(draws)]
+    return np.array([[int.from_bytes(md5(f"{h}{j}".encode()).digest()[:4], "big") for h in heads] for j in range(n)], dtype=np.uint32).reshape(n, draws)
+
+
+def replicate_counts(draws: int, seed: int, n: int) -> np.ndarray:
+    """How often each of ``n`` positions is drawn: one vector of ``draws`` counts per position."""
+    size = 64
+    while size < n:
+        size *= 2
+    place = replicate_draws(draws, seed, size)[:n] % np.uint32(n)
+    key = place.astype(np.int64) * draws + np.arange(draws)
+    return np.bincount(key.ravel(), minlength=n * draws).reshape(n, draws)
+
+
 def bootstrap_ratio(
     sums: DataFrame, by: Sequence[str], event: str, num: str, den: str, *, draws: int = P.BOOTSTRAP_DRAWS,
     ci: float = P.CONFIDENCE, seed: int = P.SEED, null_value: float = P.ROI_NULL, with_multiplicity: bool = True,
 ) -> DataFrame:
     """Interval, spread and two-sided p of ``sum(num)/sum(den)`` over event resamples.
 
-    ``sums`` comes from :func:`event_sums`.  ``with_multiplicity=False`` counts
-    a repeatedly drawn event once.
+    ``sums`` comes from :func:`event_sums`.  A group is one row per event, so a
+    task multiplies its sums with the replicate vectors of its positions; no
+    table of draws is shuffled.  ``with_multiplicity=False`` counts a repeatedly
+    drawn event once.
     """
-    order = Window.partitionBy(*by).orderBy(event)
-    whole = Window.partitionBy(*by)
-    ranked = sums.select(
-        *by, num, den, "n_rows", (F.row_number().over(order) - 1).cast("long").alias("_pos"),
-        F.count(F.lit(1)).over(whole).alias("n_events"))
-    point = ranked.groupBy(*by).agg(
-        ratio(F.sum(num), F.sum(den)).alias("point_estimate"), F.count(F.lit(1)).alias("n_events"),
-        F.sum("n_rows").alias("n_samples"))
-    times = F.col("_times") if with_multiplicity else F.lit(1)
-    stat = ranked.join(draw_counts(ranked, draws, seed), ["n_events", "_pos"]).groupBy(*by, "_rep").agg(
-        F.sum(F.col(num) * times).alias("_n"), F.sum(F.col(den) * times).alias("_d"))
-    stat = stat.withColumn("x", F.when(F.col("_d") > 0, F.col("_n") / F.col("_d")).otherwise(0.0))
-    a = (1 - ci) / 2
-    # B values per group: bounded by the number of replicates, so the built-in
-    # exact percentile is safe here.
-    spread = stat.groupBy(*by).agg(
-        F.percentile("x", F.array(F.lit(a), F.lit(1 - a))).alias("_q"), F.stddev_pop("x").alias("std"),
-        F.avg("x").alias("_mean"), F.avg((F.col("x") <= null_value).cast("double")).alias("_below"),
-        F.avg((F.col("x") >= null_value).cast("double")).alias("_above"))
-    p = F.least(F.lit(1.0), 2 * F.when(F.col("_mean") >= null_value, F.col("_below")).otherwise(F.col("_above")))
-    spread = spread.select(*by, F.col("_q")[0].alias("ci_lower"), F.col("_q")[1].alias("ci_upper"), "std",
-                           p.alias("p_value"))
-    if not by:
-        return point.transform(attach_row, spread)
-    return point.join(spread, list(by))
+    group = by or ["_all"]
+    rows = sums.select(*by, *([] if by else [F.lit(1).alias("_all")]), F.col(event).alias("_event"), F.col(num).cast("double").alias("_n"),
+                       F.col(den).cast("double").alias("_d"), F.col("n_rows").cast("long").alias("_rows"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in group)
+    stats = ["point_estimate", "n_events", "n_samples", "ci_lower", "ci_upper", "std", "p_value"]
+    schema = kinds + "".join(f", {c} {'long' if c.startswith('n_') else 'double'}" for c in stats)
+
+    def resample(table):
+        table = table.sort_by([("_event", "ascending")])
+        # nulls first, as an ascending order has them in Spark
+        at = np.argsort(~np.asarray(table["_event"].is_null()), kind="stable")
+        n, d = table["_n"].to_numpy()[at], table["_d"].to_numpy()[at]
+        counts = replicate_counts(draws, seed, len(at))
+        counts = counts if with_multiplicity else np.minimum(counts, 1)
+        top, bottom = n @ counts, d @ counts
+        x = np.divide(top, bottom, out=np.zeros(draws), where=bottom > 0)
+        low, high = np.quantile(x, [(1 - ci) / 2, 1 - (1 - ci) / 2])
+        side = (x <= null_value) if x.mean() >= null_value else (x >= null_value)
+        whole = float(d.sum())
+        values = [float(n.sum()) / whole if whole else None, len(at), int(table["_rows"].to_numpy().sum()), float(low), float(high),
+                  float(x.std()), min(1.0, 2 * float(side.mean()))]
+        return pa.table({**{g: table[g].slice(0, 1) for g in group},
+                         **{c: pa.array([v], pa.int64() if c.startswith("n_") else pa.float64()) for c, v in zip(stats, values)}})
+
+    out = rows.groupBy(*group).applyInArrow(resample, schema)
+    return out if by else out.drop("_all")
 
 
 def roi_interval(
