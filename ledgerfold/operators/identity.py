@@ -6,11 +6,13 @@ from collections.abc import Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.window import Window
 
 from ledgerfold import presets as P
 from ledgerfold.functions import scalars as S
 from ledgerfold.operators import ordered as O
 from ledgerfold.operators.ordered import attach_row
+from ledgerfold.session import materialize
 
 
 def build_canonical(names: DataFrame, col: str) -> DataFrame:
@@ -86,51 +88,86 @@ def matched_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 similarity = F.pandas_udf(matched_ratio, T.DoubleType())
 
 
-def _segments(text: Column, parts: Column, length: Column) -> Column:
-    """Array of (i, start, seg): ``text`` cut into ``parts`` even pieces."""
-    bound = lambda i: F.floor(i * length / parts).cast("int")
-    return F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(
-        i.alias("i"), bound(i).alias("start"), F.substring(text, bound(i) + 1, bound(i + 1) - bound(i)).alias("seg")))
-
-
 def _max_edits(la: Column, lb: Column, threshold: float) -> Column:
     """Largest number of unmatched characters a pair above the threshold has."""
     return F.ceil((1 - F.lit(threshold)) * (la + lb) - 1e-9).cast("int") - 1
 
 
-def blocked_pairs(queries: DataFrame, cands: DataFrame, threshold: float) -> DataFrame:
+GRAMS = (1, 2, 3, 5, 8)
+
+
+def _grams(text: str, length: Column) -> Column:
+    """Rows (g, at, gram): every substring of the lengths :data:`GRAMS`."""
+    def of_length(g):
+        at = lambda i: F.struct(F.lit(g).alias("g"), i.alias("at"), F.substring(F.col(text), i, F.lit(g)).alias("gram"))
+        return F.when(length >= g, F.transform(F.sequence(F.lit(1), F.greatest(length - g + 1, F.lit(1))), at))
+
+    return F.explode(F.flatten(F.filter(F.array(*map(of_length, GRAMS)), lambda x: x.isNotNull())))
+
+
+def _signature(text: str) -> Column:
+    """64 bits, one or more per (character, occurrence).
+
+    Two texts differ in at most as many bits as their characters, counted as
+    multisets, do.
+    """
+    chars = F.filter(F.split(F.col(text), ""), lambda ch: ch != "")
+    nth = F.transform(chars, lambda ch, i: F.pmod(F.xxhash64(ch, F.size(F.filter(F.slice(chars, F.lit(1), i), lambda y: y == ch))), F.lit(64)))
+    return F.aggregate(nth, F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.cast("int"))))
+
+
+def index_names(cands: DataFrame) -> DataFrame:
+    """Positional gram index of the distinct candidate names, written once: (g, gram, cand, lc, at_c, sig_c)."""
+    c = cands.select(F.col("norm").alias("cand")).distinct().withColumn("lc", F.length("cand")).withColumn("sig_c", _signature("cand"))
+    rows = c.select("cand", "lc", "sig_c", _grams("cand", F.col("lc")).alias("x"))
+    return materialize(rows.select("x.g", "x.gram", "cand", "lc", F.col("x.at").alias("at_c"), "sig_c"), "grams")
+
+
+def blocked_pairs(queries: DataFrame, cands: DataFrame, threshold: float, index: DataFrame | None = None) -> DataFrame:
     """All (norm, cand) pairs that can exceed ``threshold``, by equi join.
 
-    A ratio above t leaves fewer than (1-t)(|a|+|b|) characters unmatched.  If
-    k is the most that allows, one of k+1 even pieces of the candidate occurs
-    unchanged in the query, shifted by at most k.  Joining pieces with query
-    substrings is therefore lossless and never forms the cross product.
+    A ratio above t leaves fewer than (1-t)(|a|+|b|) characters unmatched.  Each
+    spoils at most g of the query's substrings of length g (g - 1, if it stands
+    in the candidate), so among one more of them than can be spoilt one occurs
+    in the candidate, shifted by no more than that number of characters.  A
+    query brings its rarest ones, of the length that meets the fewest
+    candidates; the join drops what is too long, too far or has other letters.
+    Lossless, and never the cross product.
     """
     if threshold < 2 / 3:
-        raise ValueError("the piece join is lossless only for thresholds of two thirds and more")
-    la, lb = F.length("norm"), F.length("cand")
-    c = cands.select(F.col("norm").alias("cand")).distinct().withColumn("lc", lb)
-    # lengths a query may have to reach this candidate
-    reach = F.floor(F.col("lc") * F.lit((2 - threshold) / threshold)).cast("int")
-    low = F.ceil(F.col("lc") * F.lit(threshold / (2 - threshold))).cast("int")
-    c = c.withColumn("lq", F.explode(F.sequence(F.greatest(low, F.lit(1)), reach)))
-    c = c.withColumn("k", _max_edits(F.col("lq"), F.col("lc"), threshold)).where("k >= abs(lq - lc)")
-    c = c.withColumn("parts", F.least(F.col("k") + 1, F.col("lc")))
-    pieces = c.select("cand", "lc", "lq", F.explode(_segments(F.col("cand"), F.col("parts"), F.col("lc"))).alias("s")).select(
-        "cand", "lq", "lc", F.col("s.i").alias("i"), F.col("s.seg").alias("seg"))
-    # (lq, lc) pairs are few: they only say which substrings a query must offer
-    shapes = c.select("lq", "lc", "k", "parts").distinct()
-    q = queries.select("norm").distinct().withColumn("lq", la).join(shapes, "lq")
-    idx = q.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    start = F.floor(F.col("i") * F.col("lc") / F.col("parts")).cast("int")
-    end = F.floor((F.col("i") + 1) * F.col("lc") / F.col("parts")).cast("int")
-    idx = idx.withColumn("n", end - start).withColumn("at", F.explode(F.sequence(
-        F.greatest(start - F.col("k"), F.lit(0)), F.greatest(F.least(start + F.col("k"), F.col("lq") - (end - start)),
-                                                           F.greatest(start - F.col("k"), F.lit(0))))))
-    grams = idx.select("norm", "lq", "lc", "i", F.substring(F.col("norm"), F.col("at") + 1, F.col("n")).alias("seg")).distinct()
-    pairs = grams.join(pieces, ["lq", "lc", "i", "seg"]).select("norm", "cand").distinct()
+        raise ValueError("the gram join is lossless only for thresholds of two thirds and more")
+    index = index_names(cands) if index is None else index
+    la, lc = F.col("la"), F.col("lc")
+    q = queries.select("norm").where("norm is not null and norm <> ''").distinct().withColumn("la", F.length("norm"))
+    low = F.greatest(F.ceil(la * F.lit(threshold / (2 - threshold))).cast("int"), F.lit(1))
+    high = F.greatest(F.floor(la * F.lit((2 - threshold) / threshold)).cast("int"), low)
+
+    def spoilt(g):
+        def at(length):
+            out = F.floor((_max_edits(la, length, threshold) - (length - la)) / 2)  # unmatched in the query
+            return F.when((out >= 0) & (out + length - la >= 0), g * out + (g - 1) * (out + length - la)).otherwise(0)
+        return F.array_max(F.transform(F.sequence(low, high), at))
+
+    needs = F.create_map(*[v for g in GRAMS for v in (F.lit(g), (spoilt(g) + 1).cast("long"))])
+    sized = q.withColumns({"low": low, "high": high, "sig": _signature("norm"), "needs": needs})
+    mine = sized.select("norm", "la", "low", "high", "sig", "needs", _grams("norm", la).alias("x")).select(
+        "norm", "la", "low", "high", "sig", "x.g", "x.at", "x.gram", F.element_at("needs", F.col("x.g")).alias("need")).where(
+        F.col("need") <= la - F.col("g") + 1)
+    often = index.groupBy("g", "gram").agg(F.count(F.lit(1)).alias("n"))
+    mine = mine.join(often, ["g", "gram"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    # one name's substrings: bounded by its length
+    rare = Window.partitionBy("norm", "g").orderBy("n", "at")
+    mine = mine.withColumn("_r", F.row_number().over(rare)).where("_r <= need")
+    cost = mine.withColumn("_cost", F.sum("n").over(Window.partitionBy("norm", "g")))
+    best = F.min(F.struct("_cost", "g")).over(Window.partitionBy("norm"))
+    chosen = cost.withColumn("_best", best).where((F.col("_best.g") == F.col("g")) & (F.col("n") > 0))
+    most = _max_edits(la, lc, threshold)
+    near = (lc.between(F.col("low"), F.col("high")) & (F.abs(F.col("at") - F.col("at_c")) <= most)
+            & (F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_c"))) <= most))
+    left, right = chosen.select("g", "gram", "norm", "la", "low", "high", "at", "sig").alias("l"), index.alias("r")
+    pairs = left.join(right, (F.col("l.g") == F.col("r.g")) & (F.col("l.gram") == F.col("r.gram")) & near).select("norm", "cand", "la", "lc").distinct()
     # cheap exact bound before Python: common characters as multisets
-    return pairs.where(2 * _common_chars("norm", "cand") > threshold * (la + lb))
+    return pairs.where(2 * _common_chars("norm", "cand") > threshold * (la + lc)).select("norm", "cand")
 
 
 def _common_chars(a: str, b: str) -> Column:
@@ -142,12 +179,22 @@ def _common_chars(a: str, b: str) -> Column:
 
 
 def fuzzy_tier(queries: DataFrame, cands: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Best candidate strictly above the threshold: (norm, id, ratio)."""
-    pairs = blocked_pairs(queries, cands, threshold).withColumn("ratio", similarity("norm", "cand"))
+    """Best candidate strictly above the threshold: (norm, id, ratio).
+
+    Near matches are looked for first: a name that has a candidate above 0.95
+    needs no other, and the join for a high threshold is far more selective.
+    """
+    index = index_names(cands)
     ids = cands.groupBy(F.col("norm").alias("cand")).agg(F.min("id").alias("id"))
-    hits = pairs.where(F.col("ratio") > threshold).join(ids, "cand")
-    best = hits.groupBy("norm").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "id")).alias("m"))
-    return best.select("norm", F.col("m.id").alias("id"), (-F.col("m.r")).alias("ratio"))
+    rest, out = queries.select("norm").distinct(), None
+    for t in sorted({threshold, (threshold + max(threshold, 0.95)) / 2, max(threshold, 0.95)}, reverse=True):
+        pairs = blocked_pairs(rest, cands, t, index).repartition("norm", "cand").withColumn("ratio", similarity("norm", "cand"))
+        hits = pairs.where(F.col("ratio") > t).join(ids, "cand")
+        best = hits.groupBy("norm").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "id")).alias("m"))
+        found = materialize(best.select("norm", F.col("m.id").alias("id"), (-F.col("m.r")).alias("ratio")), "fuzzy")
+        out = found if out is None else out.unionByName(found)
+        rest = rest.join(found.select("norm"), "norm", "left_anti")
+    return out
 
 
 def match_names(queries: DataFrame, cands: DataFrame, aliases: DataFrame, threshold: float = 0.85) -> DataFrame:
