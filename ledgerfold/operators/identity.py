@@ -186,7 +186,7 @@ def fuzzy_tier(queries: DataFrame, cands: DataFrame, threshold: float = 0.85) ->
     """
     index = index_names(cands)
     ids = cands.groupBy(F.col("norm").alias("cand")).agg(F.min("id").alias("id"))
-    rest, out = queries.select("norm").distinct(), None
+    rest, out = materialize(queries.select("norm").distinct(), "names"), None  # used once per round
     for t in sorted({threshold, (threshold + max(threshold, 0.95)) / 2, max(threshold, 0.95)}, reverse=True):
         pairs = blocked_pairs(rest, cands, t, index).repartition("norm", "cand").withColumn("ratio", similarity("norm", "cand"))
         hits = pairs.where(F.col("ratio") > t).join(ids, "cand")
