@@ -46,6 +46,27 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
         tops.select("node", F.col("node").alias("component")))
 
 
+def extended(comp: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``comp`` (node, component) after more ``links`` (a, b).
+
+    Only links between different groups matter.  They become edges between the
+    groups' names, a far smaller graph whose components rename the groups.
+    """
+    if links is None:
+        return comp
+    ends = (links.join(comp.withColumnsRenamed({"node": "a", "component": "c_a"}), "a", "left")
+            .join(comp.withColumnsRenamed({"node": "b", "component": "c_b"}), "b", "left")
+            .select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).where("a <> b").distinct())
+    ends = materialize(ends, "merged")
+    if ends.isEmpty():
+        return comp
+    renamed = materialize(components(ends, "merged"), "renamed")
+    # nodes without a group so far are named by themselves
+    both = comp.select("node", "component").union(renamed.select("node", F.col("node").alias("component")).join(comp.select("node"), "node", "left_anti"))
+    moved = both.join(renamed.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    return materialize(moved.select("node", F.coalesce("to", "component").alias("component")), "groups")
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerfold.llm.graph import arrow_batches, components, local_groups
+from ledgerfold.llm.graph import arrow_batches, components, extended, local_groups
 from ledgerfold.llm.text import NONSPACE, Words, pieces, runs_hash
 from ledgerfold.session import materialize
 
@@ -198,12 +198,13 @@ def overlapping(x_values, x_offsets, y_values, y_offsets, percent: int) -> tuple
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
-def cross_links(clusters: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def cross_links(clusters: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Links between different groups of a cluster (cluster, node).
 
     Members outside the cluster's largest group meet all of the cluster, in
     blocks of bounded size on both sides.  A block reports the local groups of
     its links, not the pairs.  Clusters of the same members are compared once.
+    None if no cluster holds two groups.
     """
     placed = materialize(clusters.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     share = placed.groupBy("cluster", "component").agg(
@@ -216,6 +217,8 @@ def cross_links(clusters: DataFrame, comp: DataFrame, sets: DataFrame, percent:
         F.ceil(F.col("n") / Y_BLOCK).cast("int").alias("ny"))
     # written, so that what follows is joined by measured sizes
     mixed = materialize(mixed, "mixed")
+    if mixed.isEmpty():
+        return None
     rich = placed.join(mixed, "cluster").join(sets, "node")
     x_own, y_own = (F.pmod(F.xxhash64("node", F.lit(k)), F.col(n)).cast("int") for k, n in ((1, "nx"), (2, "ny")))
     outside = rich.where(F.col("component") != F.col("main")).select(
@@ -287,17 +290,14 @@ def near_groups(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", siz
                 .join(comp.withColumnsRenamed({"node": "b", "component": "c_b"}), "b", "left")
                 .where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b"))
 
-    comp = components(links)
+    comp = materialize(components(links), "groups")
     rest = grouped(star, comp).join(tried, ["a", "b"], "left_anti")
-    links = materialize(links.union(verified(rest, sets, percent)), "links")
-    comp = components(links)
+    comp = extended(comp, verified(rest, sets, percent))
     clusters = components(star.select("a", "b"), "clusters").withColumnRenamed("component", "cluster")
-    links = materialize(links.union(cross_links(clusters, comp, sets, percent)), "links")
-    comp = components(links)
+    comp = extended(comp, cross_links(clusters, comp, sets, percent))
     # whatever the partners said, members of a bucket in different groups meet
     buckets = in_bucket.select(F.col("band").alias("cluster"), "node")
-    links = materialize(links.union(cross_links(buckets, comp, sets, percent)), "links")
-    comp = components(links)
+    comp = extended(comp, cross_links(buckets, comp, sets, percent))
     named = reps.join(comp, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = own.join(named, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
