@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 from itertools import product
 from math import e
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -45,9 +47,57 @@ def drawdowns(df: DataFrame, by: Sequence[str], order: Sequence[str], ret: str)
     return W.equity_curve(df, by, order, ret).groupBy(*by).agg(F.max("drawdown").alias("max_drawdown"))
 
 
+def _states(width: int):
+    """Per range part and strategy: sum, highest and lowest running sum, largest fall."""
+    def work(batches):
+        total, high, low, fall, part, n = np.zeros(width), np.full(width, -np.inf), np.full(width, np.inf), np.zeros(width), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = batch.column(0)[0].as_py()
+            run = total + np.asarray(batch.column(1).flatten()).reshape(-1, width).cumsum(0)
+            peak = np.maximum(np.maximum.accumulate(run, 0), high)
+            fall = np.maximum(fall, (peak - run).max(0))
+            high, low, total, n = peak[-1], np.minimum(low, run.min(0)), run[-1], n + batch.num_rows
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([part] * width, pa.int32()), pa.array(np.arange(width, dtype=np.int32)),
+                                              *[pa.array(x) for x in (total, high, low, fall)]], names=["part", "at", "total", "high", "low", "fall"])
+
+    return work
+
+
+def drawdowns_of(df: DataFrame, order: Sequence[str], returns: Sequence[Column]) -> DataFrame:
+    """(at, max_drawdown) of every strategy of a list, from one ordering of the rows.
+
+    Rows are range-sorted once with an array of returns.  A part becomes one
+    small state per strategy; states merge from left to right, and there are as
+    many as range parts.  A null return counts as 0.  ``order`` should be total.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(*order, F.array(*[F.coalesce(r.cast("double"), F.lit(0.0)) for r in returns]).alias("r"))
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "r")
+    states = ranged.mapInArrow(_states(len(returns)), "part int, at int, total double, high double, low double, fall double")
+    before = Window.partitionBy("at").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = states.withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0.0)))
+    placed = placed.withColumn("peak", F.max(F.col("base") + F.col("high")).over(before))
+    worst = F.greatest("fall", F.col("peak") - F.col("base") - F.col("low"))
+    return placed.groupBy("at").agg(F.max(worst).alias("max_drawdown"))
+
+
+def backtest_of(df: DataFrame, by: str, keys: Sequence, order: Sequence[str], returns: Sequence[Column]) -> DataFrame:
+    """As :func:`backtest` for strategies whose returns are columns of one row: ``keys`` name them in the column ``by``."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias(by), r.alias("r")) for k, r in zip(keys, returns)]))
+    m = risk_metrics(df.select(each.alias("_s")).select("_s.*"), [by], "r")
+    name = F.element_at(F.array(*map(F.lit, keys)), F.col("at") + 1).alias(by)
+    return _with_calmar(m.join(drawdowns_of(df, order, returns).select(name, "max_drawdown"), by))
+
+
 def backtest(df: DataFrame, by: Sequence[str], order: Sequence[str], ret: str) -> DataFrame:
     """Risk metrics with drawdown and Calmar ratio."""
-    m = risk_metrics(df, by, ret).join(drawdowns(df, by, order, ret), list(by))
+    return _with_calmar(risk_metrics(df, by, ret).join(drawdowns(df, by, order, ret), list(by)))
+
+
+def _with_calmar(m: DataFrame) -> DataFrame:
     return m.withColumn("calmar", F.when(F.col("max_drawdown") > 0, ratio(F.col("total_return"), F.col("max_drawdown"))).otherwise(0.0))
 
 

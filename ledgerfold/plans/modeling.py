@@ -544,7 +544,9 @@ def _(t):
 d AS (SELECT trial, max(eq) OVER (PARTITION BY trial ORDER BY date_id, contest_id, player_id) - eq AS dd FROM q)
 SELECT trial, round(max(dd), 4) AS max_drawdown, round(any_value(total_return)/max(dd), 4) AS calmar FROM d JOIN mt USING (trial) GROUP BY 1""")
 def _(t):
-    b = S.backtest(trial_returns(t).select("trial", "date_id", "contest_id", "player_id", "r"), ["trial"], ["date_id", "contest_id", "player_id"], "r")
+    returns = [S.strategy_return("actual_points", p["base"] + p["slope"] * F.col("close_prob"), F.lit(1.0)) for p in GRID]
+    d = t.players.select("date_id", "contest_id", "player_id", "actual_points", "close_prob")
+    b = S.backtest_of(d, "trial", list(range(1, len(GRID) + 1)), ["date_id", "contest_id", "player_id"], returns)
     return rounded(b, ["trial"], ["max_drawdown", "calmar"], 4)
 
 
