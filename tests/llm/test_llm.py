@@ -354,7 +354,87 @@ def test_main_text(spark):
     assert [got[k].text for k in (20, 21, 22, 23)] == ["alone", "", "", "a < b & c"]
     assert got[24].n_chars == 50_000 * 5 - 1
     assert template.extract(df.where("page_id < 0")).count() == 0
-    assert ("/html/body/article", "/html/body") in template.nested(["</html", "</html/body", "</html/body/article"])
+
+
+def test_main_text_keeps_what_only_resembles_noise():
+    article = ('<article><header><h1 class="article-header">Title</h1></header><p class="ad-hoc">Para</p><div class="related-work">Work</div>'
+               '<p id="search">Find</p><p hidden>Aside</p><math>x</math><p class="ad">Buy</p><div class="comments-list">Nice</div></article>')
+    assert template.Page(article).main_text() == "Title\nPara\nWork\nFind\nAside\nx"
+    assert template.Page('<p>a <b title="x>y</b> c</p><!-- z').main_text() == "a y c"
+    assert template.Page("<p>a<!-- b --> c <d").main_text() == "a c <d"
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a \"", "<a \">", "<b>", "<p><i>", "</x>", "<!--", "<![", "<ul><b>x<li></li>", "<a '\"x>"])
+def test_main_text_takes_linear_time(piece):
+    import time
+    template.Page(piece * 100).tokens()
+    start = time.perf_counter()
+    page = template.Page(piece * (1_000_000 // len(piece)))
+    page.tokens()
+    page.main_text()
+    assert time.perf_counter() - start < 15
+
+
+def test_main_text_by_classes_alone(spark):
+    rng = random.Random(4)
+    def words(n):
+        return " ".join(rng.choice("alpha beta gamma delta eps zeta eta theta iota kappa".split()) + str(rng.randrange(99)) for _ in range(n))
+    pages, want = [], {}
+    for n in range(8):  # no telling names: constant texts and a list of links around the article
+        paras = [words(12) for _ in range(rng.randrange(1, 5))]
+        links = "".join(f'<li><a href="/{k}">{words(2)}</a></li>' for k in range(5))
+        pages.append((n, "http://h/1", f'<body><div class="x1">Shop of all</div><div class="x2"><ul>{links}</ul></div><div class="x3"><h2>{paras[0][:9]} {n}</h2>'
+                      + "".join(f"<p>{p}</p>" for p in paras) + '</div><div class="x4">Call us</div>'))
+        want[n] = "\n".join([f"{paras[0][:9]} {n}", *paras])
+    for n in range(10, 16):  # an article element that holds teasers only does not hide the text; articles keep what they repeat
+        body = words(40)
+        pages.append((n, "http://t/1", f"<body><div class=q>{body}</div><article>More {n}</article><p class=z>End of it</p><i>Bye</i>"))
+        want[n] = f"{body}\nMore {n}\n"
+        text = words(30)
+        pages.append((n + 10, "http://u/1", f"<body><article><h1>{n}</h1><p>{text}</p><p>Tell your friends</p></article>"))
+        want[n + 10] = f"{n}\n{text}\nTell your friends"
+        pages.append((n + 20, "http://v/1", f"<body><article><h1>Same</h1><p>near copies of one text {n % 7}</p><p>whose other words are equal on all pages</p></article>"))
+        want[n + 20] = f"Same\nnear copies of one text {n % 7}\nwhose other words are equal on all pages"
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in template.extract(df).collect()}
+    assert {k: v.strip() for k, v in want.items()} == got
+
+
+def test_classes_against_brute_force(spark):
+    rng = random.Random(8)
+    pages = []
+    for n in range(40):
+        host = rng.choice("abc")
+        parts = [f"<div class=c{k}>{rng.choice(['s', 't'])}</div>" for k in range(6) if rng.random() < 0.9]
+        if host == "c" and rng.random() < 0.3:
+            parts.reverse()
+        pages.append((n, f"http://{host}/", "<body><h1>x</h1><div class=k>y</div>" + "".join(parts) + "<hr><i>z</i>"))
+    df = spark.createDataFrame(pages + [(99, "http://a/", None), (98, "http://d/", "<p>1</p>")], "page_id long, url string, html string")
+    got = {(r.host, tuple(r.tokens), r.root) for r in template.templates(df).collect()}
+    want = set()
+    for host in "abc":
+        own = {h: {t[0]: t for t in template.Page(h).tokens()} for _, u, h in pages if u == f"http://{host}/"}
+        vectors = {}
+        for t in {t for p in own.values() for t in p if t}:
+            v = tuple(p[t][2] if t in p else 0 for p in own.values())
+            if sum(map(bool, v)) >= 0.6 * len(own):
+                vectors.setdefault(v, []).append(t)
+        classes = []
+        for v, tokens in vectors.items():
+            if len(tokens) >= 3:
+                on = [p for p in own.values() if tokens[0] in p]
+                tokens.sort(key=lambda t: (sum(p[t][3] for p in on) / len(on), t))
+                classes.append((len(on), len(tokens), tokens, all(p[a][3] < p[b][3] and p[a][4] < p[b][4] for p in on for a, b in zip(tokens, tokens[1:]))))
+        classes.sort(key=lambda c: (-c[0], -c[1]))
+        if classes and classes[0][3]:
+            want.add((host, tuple(classes[0][2]), True))
+            assert len(classes) == 1 or classes[0][:2] != classes[1][:2]
+            for _, _, tokens, ordered in classes[1:]:
+                slots = {sum(p[r][3] < x for r in classes[0][2]) for p in own.values() if tokens[0] in p and classes[0][2][0] in p
+                         for x in (min(p[t][3] for t in tokens), max(p[t][4] for t in tokens))}
+                if ordered and len(slots) == 1:
+                    want.add((host, tuple(tokens), False))
+    assert want and got == want
 
 
 def test_archive_round_trip(spark, tmp_path):
