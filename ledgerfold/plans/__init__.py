@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["returns", "features", "markets", "people", "relational", "modeling", "profiles", "marts"]
+MODULES = ["returns", "features", "markets", "people", "relational", "modeling", "profiles", "panels", "marts"]
 
 
 def load():
