@@ -35,39 +35,48 @@ def score(df: DataFrame, y: str, metric: str, weight: str | None = None, by: Seq
     return df.groupBy(*by).agg(expr.alias("score"))
 
 
-def shuffled_copies(df: DataFrame, key: Sequence[str], cols: Sequence[str], seed: int, repeats: int) -> DataFrame:
+def shuffled_copies(df: DataFrame, key: Sequence[str], cols: Sequence[str], seed: int, repeats: int, fold: str | None = None) -> DataFrame:
     """One copy of ``df`` per (``_f``, ``_rep``) with the column ``_f`` shuffled.
 
     Rows are numbered once, in the order of a hash of their key, so neighbours
     are unrelated.  A copy takes the column from the row a drawn number of
     places further on, around the end: a permutation for any number of rows,
     and one equi join serves all copies.  The drawn shift is never zero (but
-    for a single row).
+    for a single row).  With an integer ``fold`` rows are numbered and shuffled
+    within their fold, each fold under its own seed (``seed + fold``); the join
+    keys stay unique, so a fold with most of the rows is not one task.
     """
-    h = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in key]))
-    at = O.running(df.withColumn("_h", h), [], ["_h", *key], number="_at").drop("_h").withColumn("_at", F.col("_at") - 1)
-    many = at.transform(attach_row, at.agg(F.count(F.lit(1)).alias("_n"))).withColumn(
-        "_f", F.explode(F.array(*[F.lit(c) for c in cols]))).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    shift = I.hash_uniform_int(F.greatest(F.col("_n") - 1, F.lit(1)), F.lit(seed), F.col("_rep"), F.col("_f")) + 1
+    by = [fold] if fold else []
+    salt = F.lit(seed) + F.col(fold) if fold else F.lit(seed)
+    h = F.md5(F.concat_ws("|", salt.cast("string"), *[F.col(k).cast("string") for k in key]))
+    at = O.running(df.withColumn("_h", h), by, ["_h", *key], number="_at").drop("_h").withColumn("_at", F.col("_at") - 1)
+    size = at.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    sized = at.join(size, fold) if fold else attach_row(at, size)
+    many = sized.withColumn("_f", F.explode(F.array(*[F.lit(c) for c in cols]))).withColumn(
+        "_rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    shift = I.hash_uniform_int(F.greatest(F.col("_n") - 1, F.lit(1)), salt, F.col("_rep"), F.col("_f")) + 1
     many = many.withColumn("_src", (F.col("_at") + shift) % F.col("_n"))
-    source = at.select(F.col("_at").alias("_src"), *[F.col(c).alias(f"_p_{c}") for c in cols])
+    source = at.select(*by, F.col("_at").alias("_src"), *[F.col(c).alias(f"_p_{c}") for c in cols])
     taken = {c: F.when(F.col("_f") == c, F.col(f"_p_{c}")).otherwise(F.col(c)) for c in cols}
-    return many.join(source, "_src").withColumns(taken).drop("_src", "_at", "_n", *[f"_p_{c}" for c in cols])
+    return many.join(source, [*by, "_src"]).withColumns(taken).drop("_src", "_at", "_n", *[f"_p_{c}" for c in cols])
 
 
 def permutation_importance(
     df: DataFrame, predict: Predict, key: Sequence[str], features: Sequence[str], y: str, *, metric: str = "mae", repeats: int = 10,
-    weight: str | None = None, seed: int = P.SEED,
+    weight: str | None = None, seed: int = P.SEED, fold: str | None = None,
 ) -> DataFrame:
     """(feature, importance, std): loss of score when a feature is shuffled.
 
-    All copies are scored by a single aggregate.
+    All copies are scored by a single aggregate.  With ``fold`` every fold is
+    scored and shuffled on its own and the rows are (fold, feature, importance,
+    std); ``predict`` sees the fold's columns, its coefficients for instance.
     """
-    base = score(predict(df), y, metric, weight).withColumnRenamed("score", "_base")
-    runs = score(predict(shuffled_copies(df, key, features, seed, repeats)), y, metric, weight, ["_f", "_rep"])
+    by = [fold] if fold else []
+    base = score(predict(df), y, metric, weight, by).withColumnRenamed("score", "_base")
+    runs = score(predict(shuffled_copies(df, key, features, seed, repeats, fold)), y, metric, weight, [*by, "_f", "_rep"])
+    both = runs.join(base, fold) if fold else runs.transform(attach_row, base)
     d = F.col("_base") - F.col("score")
-    return runs.transform(attach_row, base).groupBy(F.col("_f").alias("feature")).agg(
-        F.avg(d).alias("importance"), F.stddev_pop(d).alias("std"))
+    return both.groupBy(*by, F.col("_f").alias("feature")).agg(F.avg(d).alias("importance"), F.stddev_pop(d).alias("std"))
 
 
 def fold_importance(per_fold: DataFrame) -> DataFrame:
@@ -120,17 +129,54 @@ def ale(df: DataFrame, predict: Predict, feature: str, bins: int = 10) -> DataFr
     return out.select("bin", ((F.col("_a") + F.col("_b")) / 2).alias("center"), (F.col("_c") - F.avg("_c").over(w)).alias("ale"))
 
 
-def interactions(df: DataFrame, predict: Predict, features: Sequence[str], *, grid: int = 10, top: int = 10) -> DataFrame:
-    """Simplified H statistic per feature pair, all rows used, strongest first."""
-    var = {f: partial_dependence(df, predict, f, grid=grid).agg(F.var_pop("pd").alias(f"_v_{f}")) for f in features}
-    out = None
-    for a, b in combinations(features, 2):
-        v12 = partial_dependence_2d(df, predict, a, b, grid=grid).agg(F.var_pop("pd").alias("_v"))
-        row = v12.transform(attach_row, var[a]).transform(attach_row, var[b]).select(
-            F.lit(a).alias("feature1"), F.lit(b).alias("feature2"),
-            F.coalesce(F.greatest(F.lit(0.0), F.try_divide(F.col("_v") - F.col(f"_v_{a}") - F.col(f"_v_{b}"), F.col("_v"))), F.lit(0.0)).alias("h"))
-        out = row if out is None else out.unionByName(row)
-    return out.orderBy(F.desc("h"), "feature1", "feature2").limit(top)
+def _cells(ends: DataFrame, features: Sequence[str], grid: int) -> DataFrame:
+    """One row with the array ``_cells`` of (a, b, i, j, x, y): every point of all one-way
+    grids (``b`` is -1) and all two-way grids, numbered by feature and grid step.
+
+    The array grows with the features and the grid, never with the rows.
+    """
+    one = ends.agg(*[F.max(F.when(F.col("_f") == f, F.struct("_lo", "_hi", "_min", "_max"))).alias(f"_e{n}") for n, f in enumerate(features)])
+    step = F.sequence(F.lit(0), F.lit(grid - 1))
+
+    def point(n, i, lo, hi):
+        low, high = F.col(f"_e{n}")[lo], F.col(f"_e{n}")[hi]
+        return low + (high - low) * i / (grid - 1)
+
+    def line(a):
+        return F.transform(step, lambda i: F.struct(
+            F.lit(a).alias("a"), F.lit(-1).alias("b"), i.alias("i"), F.lit(0).alias("j"),
+            point(a, i, "_lo", "_hi").alias("x"), F.lit(None).cast("double").alias("y")))
+
+    def plane(a, b):
+        return F.flatten(F.transform(step, lambda i: F.transform(step, lambda j: F.struct(
+            F.lit(a).alias("a"), F.lit(b).alias("b"), i.alias("i"), j.alias("j"),
+            point(a, i, "_min", "_max").alias("x"), point(b, j, "_min", "_max").alias("y")))))
+
+    k = range(len(features))
+    return one.select(F.concat(*[line(a) for a in k], *[plane(a, b) for a, b in combinations(k, 2)]).alias("_cells"))
+
+
+def interactions(df: DataFrame, predict: Predict, features: Sequence[str], *, grid: int = 20, top: int = 10) -> DataFrame:
+    """Simplified H statistic per feature pair, all rows used, strongest first.
+
+    One ordering gives the ends of all grids and one scan fills all of them:
+    a row meets every grid point on the map side and is averaged there, so the
+    shuffle carries (tasks x points) rows however many features there are.
+    """
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("_f"), F.col(f).cast("double").alias("_v")) for f in features])).alias("_x")).select("_x.*")
+    ends = O.percentiles(long, ["_f"], "_v", {"_lo": 0.05, "_hi": 0.95, "_min": 0.0, "_max": 1.0})
+    at = df.transform(attach_row, _cells(ends, features, grid)).withColumn("_c", F.explode("_cells")).drop("_cells")
+    put = {f: F.when(F.col("_c.a") == n, F.col("_c.x")).when(F.col("_c.b") == n, F.col("_c.y")).otherwise(F.col(f).cast("double"))
+           for n, f in enumerate(features)}
+    means = predict(at.withColumns(put)).groupBy("_c").agg(F.avg("prediction").alias("_pd"))
+    var = means.groupBy(F.col("_c.a").alias("_a"), F.col("_c.b").alias("_b")).agg(F.var_pop("_pd").alias("_v"))  # one row per pair and feature
+    alone = var.where("_b = -1")
+    pairs = var.where("_b >= 0").join(alone.select("_a", F.col("_v").alias("_va")), "_a").join(
+        alone.select(F.col("_a").alias("_b"), F.col("_v").alias("_vb")), "_b")
+    name = F.array(*[F.lit(f) for f in features])
+    h = F.greatest(F.lit(0.0), F.try_divide(F.col("_v") - F.col("_va") - F.col("_vb"), F.col("_v")))
+    return pairs.select(name[F.col("_a")].alias("feature1"), name[F.col("_b")].alias("feature2"),
+                        F.coalesce(h, F.lit(0.0)).alias("h")).orderBy(F.desc("h"), "feature1", "feature2").limit(top)
 
 
 def linear_attribution(df: DataFrame, coefs: Mapping[str, float]) -> DataFrame:

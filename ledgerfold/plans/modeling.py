@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+from itertools import combinations
 
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
@@ -209,9 +211,12 @@ def fold_report(cv, keys=("fold",)):
                     r6("mean_actual", 9).alias("mean_actual"), "n")
 
 
-@query("M02_ridge_walk_forward", EV + """
+RIDGE_FOLDS = EV + """
 , tr AS (SELECT f.no AS fno, f.date_id AS test, p.* EXCLUDE (date_id) FROM ev f JOIN ev e ON e.no < f.no JOIN players p ON p.date_id = e.date_id WHERE f.no > 20)
-""" + RIDGE.format(by="test,", src="tr GROUP BY test", a="1.0::DOUBLE") + """
+""" + RIDGE.format(by="test,", src="tr GROUP BY test", a="1.0::DOUBLE")
+
+
+@query("M02_ridge_walk_forward", RIDGE_FOLDS + """
 , pr AS (SELECT test, p.actual_points AS y, least(greatest(my - w1*m1 - w2*m2 + w1*close_prob + w2*ownership, 0), 100) AS yh FROM players p JOIN cf ON p.date_id = test)
 SELECT (no - 21)::INT AS fold, round(avg(abs(yh-y)), 4) AS mae, round(sqrt(avg((yh-y)*(yh-y))), 4) AS rmse, round(1 - sum((yh-y)*(yh-y))/(var_pop(y)*count(*)), 4) AS r2,
        round(avg(yh), 4) AS mean_pred, round(avg(y), 9) AS mean_actual, round(avg(yh)/avg(y), 4) AS calibration_ratio, count(*) AS n FROM pr JOIN ev ON date_id = test GROUP BY no""")
@@ -422,25 +427,24 @@ def _(t):
     return rounded(X.permutation_importance(d, rule(), KEY, ["close_prob", "ownership"], "actual_points", repeats=REPEATS), ["feature"], ["importance", "std"])
 
 
-PERIODS = [(1990, 1996), (1997, 1999), (2000, 2100)]
-_FOLD_IMP = ", ".join(f"p{i} AS (SELECT * FROM players WHERE date_id // 10000 BETWEEN {lo} AND {hi}), {hashed_sql(f'p{i}', 42 + i)}" for i, (lo, hi) in enumerate(PERIODS))
-_FOLD_ROWS = " UNION ALL ".join(
-    f"SELECT {i} AS fold, any_value(feature) AS feature, avg(e) - (SELECT avg(abs(actual_points - {FSQL})) FROM p{i}) AS imp FROM ({swap_sql(c, 42 + i, f'p{i}')})"
-    for i in range(len(PERIODS)) for c in ("close_prob", "ownership"))
-
-
-@query("I02_fold_stable_importance", f""", {_FOLD_IMP}, r AS ({_FOLD_ROWS}), k AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY imp DESC)::DOUBLE AS rk FROM r)
+@query("I02_fold_stable_importance", RIDGE_FOLDS + f"""
+, te AS (SELECT player_id, contest_id, no - 21 AS fold, close_prob, ownership, actual_points, my - w1*m1 - w2*m2 AS w0, w1, w2
+         FROM players p JOIN cf ON p.date_id = test JOIN ev USING (date_id)),
+h AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY md5((42+fold)||'|'||player_id||'|'||contest_id), player_id, contest_id) - 1 AS place, count(*) OVER (PARTITION BY fold) AS n FROM te),
+b AS (SELECT fold, avg(abs(actual_points - least(greatest(w0 + w1*close_prob + w2*ownership, 0), 100))) AS e0 FROM te GROUP BY 1),
+sh AS (SELECT h.*, f, rep, (place + ('0x'||substr(md5((42+fold)||'|'||rep||'|'||f),1,8))::UBIGINT::BIGINT % greatest(n-1, 1) + 1) % n AS src_at
+       FROM h, (SELECT unnest(['close_prob', 'ownership']) AS f), (SELECT unnest(range({REPEATS})) AS rep)),
+e AS (SELECT sh.fold, f, rep, avg(abs(sh.actual_points - least(greatest(sh.w0 + sh.w1*CASE f WHEN 'close_prob' THEN s.close_prob ELSE sh.close_prob END
+        + sh.w2*CASE f WHEN 'ownership' THEN s.ownership ELSE sh.ownership END, 0), 100))) AS e FROM sh JOIN h s ON s.fold = sh.fold AND s.place = sh.src_at GROUP BY 1, 2, 3),
+i AS (SELECT fold, f AS feature, avg(e - e0) AS imp FROM e JOIN b USING (fold) GROUP BY 1, 2),
+k AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY imp DESC) + (count(*) OVER (PARTITION BY fold, imp) - 1)/2 AS rk FROM i)
 SELECT feature, round(avg(imp), 6) AS mean_importance, round(stddev_samp(imp), 6) AS std_importance, round(avg(rk), 6) AS mean_rank, round(stddev_samp(rk), 6) AS std_rank,
        round(1 - stddev_samp(rk)/2, 6) AS rank_stability FROM k GROUP BY 1""")
 def _(t):
-    years = t.players.withColumn("year", F.floor(F.col("date_id") / 10000).cast("int"))
-    out = None
-    for i, (lo, hi) in enumerate(PERIODS):
-        d = years.where(F.col("year").between(lo, hi)).select(*KEY, "close_prob", "ownership", "actual_points")
-        one = X.permutation_importance(d, rule(), KEY, ["close_prob", "ownership"], "actual_points", seed=42 + i, repeats=REPEATS).select(
-            "feature", F.lit(i).alias("fold"), "importance")
-        out = one if out is None else out.unionByName(one)
-    return rounded(X.fold_importance(out), ["feature"], ["mean_importance", "std_importance", "mean_rank", "std_rank", "rank_stability"])
+    cv = M.ridge_walk_forward(t.players, X2, "actual_points", min_train=P.MIN_TRAIN_EVENTS).select(*KEY, "fold", "coef", *X2, "actual_points")
+    own = X.column_model(M.clip(M.linear_prediction(F.col("coef"), X2), 0.0, 100.0))  # every fold's own fit
+    per_fold = X.permutation_importance(cv, own, KEY, X2, "actual_points", repeats=REPEATS, fold="fold")
+    return rounded(X.fold_importance(per_fold), ["feature"], ["mean_importance", "std_importance", "mean_rank", "std_rank", "rank_stability"])
 
 
 @query("I03_partial_dependence", f"""
@@ -471,10 +475,26 @@ def _(t):
     return rounded(X.ale(d, rule(), "close_prob", 50), ["bin"], ["center", "ale"])
 
 
-@query("I05_interactions")
+H_FEATURES = ["close_prob", "ownership", "salary"]
+
+
+def h_sql():
+    """Variances of all one-way (5 % to 95 %) and two-way (min to max) grids of 20 steps, then H per pair."""
+    f = FSQL[:-1] + " + salary/1000::DOUBLE)"
+    at = lambda c, lo, hi, i: f"(SELECT {lo} + ({hi} - {lo})*{i}/19 FROM (SELECT quantile_cont({c}::DOUBLE, 0.05) AS p5, quantile_cont({c}::DOUBLE, 0.95) AS p95, min({c}) AS mn, max({c}) AS mx FROM players))"
+    axis = lambda n, c, lo, hi: f"{n}_{c} AS (SELECT i, {at(c, lo, hi, 'i')} AS v FROM (SELECT unnest(range(20)) AS i))"
+    axes = [axis(n, c, *e) for c in H_FEATURES for n, e in (("a", ("p5", "p95")), ("c", ("mn", "mx")))]
+    put = lambda text, c, v: re.sub(rf"\b{c}\b", v, text)
+    ones = [f"SELECT '{c}' AS a, NULL AS b, var_pop(m) AS v FROM (SELECT avg({put(f, c, 'g.v')}) AS m FROM players, a_{c} g GROUP BY g.i)" for c in H_FEATURES]
+    twos = [f"SELECT '{c}' AS a, '{d}' AS b, var_pop(m) AS v FROM (SELECT avg({put(put(f, c, 'g.v'), d, 'k.v')}) AS m FROM players, c_{c} g, c_{d} k GROUP BY g.i, k.i)"
+            for c, d in combinations(H_FEATURES, 2)]
+    return ", " + ", ".join(axes) + ", hv AS (" + " UNION ALL ".join(ones + twos) + """)
+SELECT p.a AS feature1, p.b AS feature2, round(greatest(0, (p.v - x.v - y.v)/p.v), 6) AS h FROM hv p JOIN hv x ON x.a = p.a AND x.b IS NULL JOIN hv y ON y.a = p.b AND y.b IS NULL"""
+
+
+@query("I05_interactions", h_sql())
 def _(t):
-    d = t.players.select("close_prob", "ownership", "salary")
-    return rounded(X.interactions(d, rule(" + salary / 1000"), ["close_prob", "ownership", "salary"], grid=20), ["feature1", "feature2"], ["h"])
+    return rounded(X.interactions(t.players.select(*H_FEATURES), rule(" + salary / 1000"), H_FEATURES), ["feature1", "feature2"], ["h"])
 
 
 @query("I06_linear_attribution", """

@@ -1,5 +1,7 @@
 """Inference, skill, models, explanation, strategy."""
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -263,6 +265,37 @@ def test_product_interacts_more_than_sum(panel):
     assert mul > 0.9 > add  # one-way grids stop at the 5th and 95th percentile, two-way ones do not
 
 
+def test_interactions_equal_grids_by_hand(spark):
+    p = pd.DataFrame({"x": np.arange(40) % 7 / 2, "y": np.arange(40) % 11 * 1.5, "z": [2.0] * 40})
+    model = lambda x, y, z: x * y + z * x - y
+    got = {(r["feature1"], r["feature2"]): r["h"] for r in X.interactions(
+        spark.createDataFrame(p), X.column_model(F.expr("x * y + z * x - y")), ["x", "y", "z"], grid=6).collect()}
+
+    def spread(*names):
+        lo, hi = (0.05, 0.95) if len(names) == 1 else (0, 1)
+        axes = [np.linspace(p[n].quantile(lo), p[n].quantile(hi), 6) for n in names]
+        return np.var([model(**{**{c: p[c] for c in p}, **dict(zip(names, v))}).mean() for v in itertools.product(*axes)])
+
+    for a, b in itertools.combinations("xyz", 2):
+        both = spread(a, b)
+        want = max(0.0, (both - spread(a) - spread(b)) / both) if both else 0.0
+        assert got[a, b] == pytest.approx(want, abs=1e-9)
+
+
+def test_shuffling_within_folds_keeps_each_folds_values(spark):
+    rows = [(i, i % 3 if i % 5 else 7, float(i), float(i % 4)) for i in range(90)] + [(100, 9, 1.0, 1.0)]  # fold 9 has one row
+    df = spark.createDataFrame(rows, "id long, fold int, x double, y double")
+    out = X.shuffled_copies(df, ["id"], ["x"], 42, 3, "fold").toPandas()
+    p = df.toPandas()
+    assert len(out) == 3 * len(p)
+    for (fold, _), part in out.groupby(["fold", "_rep"]):
+        own = p[p.fold == fold]
+        assert sorted(part.x) == sorted(own.x)
+        assert len(own) == 1 or (part.sort_values("id").x.to_numpy() != own.sort_values("id").x.to_numpy()).all()
+    imp = X.permutation_importance(df.withColumn("t", F.col("x")), X.column_model(F.col("x")), ["id"], ["x"], "t", repeats=2, fold="fold").toPandas().set_index("fold").importance
+    assert imp[9] == 0 and (imp.drop(9) > 0).all() and len(imp) == 5
+
+
 def test_deflated_sharpe(spark):
     df = spark.createDataFrame([(2.0, 1), (2.0, 10), (2.0, 1000), (-1.0, 1)], "s double, n int")
     d = [r[0] for r in df.select(S.deflated_sharpe("s", "n")).collect()]
