@@ -5,7 +5,8 @@ and line breaks inside a notice do not matter.  *Base* places are where the
 words of a phrase stand consecutively.  The fuzzy search follows the pigeonhole
 rule: a notice with at most k edits leaves one of its k + 1 pieces intact, so
 exact hits of the pieces give every candidate; a regular expression with
-bounded errors then verifies the edits and reports the span.
+bounded errors then verifies the edits and reports the span.  A span is whole
+words: what a word has beyond the notice counts as edits.
 
 Null and empty texts have no words, no places and a score of 0.
 """
@@ -50,7 +51,8 @@ class Notice:
         self.label, self.words, self.edits = label, words, edits
         cuts = [round(i * len(words) / (edits + 1)) for i in range(edits + 2)]
         self.pieces = [(a, words[a:b].encode()) for a, b in zip(cuts, cuts[1:])]
-        self.pattern = regex.compile(rf"(?b)(?:{regex.escape(words, literal_spaces=True)}){{e<={edits}}}")
+        self.slack = 4 * edits + 1  # bytes that the edits and the blank before or after can take up
+        self.pattern = regex.compile(rf"(?b) (?:{regex.escape(words, literal_spaces=True)}){{e<={edits}}}(?= |\Z)")
 
 
 def normal_form(words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -90,23 +92,25 @@ def fuzzy(blob: bytes, offsets: np.ndarray, starts: np.ndarray, first: np.ndarra
                 seeds[piece] = found
     out = []
     for notice in notices:
-        lo = np.sort(np.array([p - a - notice.edits for a, piece in notice.pieces for p in seeds[piece]], dtype=np.int64))
+        lo = np.sort(np.array([p - a - notice.slack for a, piece in notice.pieces for p in seeds[piece]], dtype=np.int64))
         if not len(lo):
             continue
-        width = len(notice.words.encode()) + 2 * notice.edits
+        width = len(notice.words.encode()) + 2 * notice.slack
         new = np.append(True, lo[1:] > np.maximum.accumulate(lo + width)[:-1])
         for a, b in zip(lo[new], np.append(lo[np.flatnonzero(new)[1:] - 1], lo[-1]) + width):
             # a window may touch several texts; each is searched on its own
             d, last = (int(np.searchsorted(offsets, x, side="right")) - 1 for x in (max(a, 0), min(b, len(blob)) - 1))
             for doc in range(d, last + 1):
-                s, e = max(int(a), int(offsets[doc])), min(int(b), int(offsets[doc + 1]))
-                part = blob[s:e].decode("utf-8", "ignore")
+                end = int(offsets[doc + 1])
+                s, e = blob.find(b" ", max(int(a), int(offsets[doc])), end), min(int(b), end)
+                if e < end:  # a word cut by the window is none
+                    e = blob.rfind(b" ", s, e)
+                if s < 0 or e <= s:
+                    continue
+                part = blob[s:e].decode()
                 for m in matches(notice.pattern, part):
                     edits = sum(m.fuzzy_counts)
-                    left = s + len(part[:m.start()].encode()) + (len(m.group()) - len(m.group().lstrip(" ")))
-                    right = s + len(part[:m.end()].encode())
-                    w0 = max(int(np.searchsorted(starts, left, side="right")) - 1, int(first[doc]))
-                    w1 = max(int(np.searchsorted(starts, right, side="left")), w0 + 1)
+                    w0, w1 = (int(np.searchsorted(starts, s + len(part[:x].encode()))) for x in (m.start() + 1, m.end()))
                     out.append((doc, notice.label, w0 - int(first[doc]), w1 - w0, edits, 1 - edits / len(notice.words)))
     return out
 

@@ -534,5 +534,33 @@ def test_license_notices(spark):
 def test_notices_before_a_better_one_are_reported():
     notice = license_scan.Notice("mit", "licensed under the mit license", 2)
     text = "licenced under the mit licence x licensed under the mit license licensed undr the mit license y licensed under the mit licence"
-    assert [(m.start(), sum(m.fuzzy_counts)) for m in license_scan.matches(notice.pattern, text)] == [
+    assert [(m.start(), sum(m.fuzzy_counts)) for m in license_scan.matches(notice.pattern, " " + text)] == [
         (text.index("licenced"), 2), (33, 0), (64, 1), (text.index("y lic") + 2, 1)]
+
+
+def test_every_notice_within_its_bound_is_found(spark):
+    """Least edits of each notice over all runs of whole words, by brute force."""
+    rng = random.Random(5)
+    notices = [("mit", "licensed under the mit license", 2), ("bsd", "bsd 3 clause license", 1), ("mpl", "mozilla public license", 3), ("cc", "by nc", 1)]
+    texts = ["unlicensed under the mit licensee", "unlicensed under the mit license", "mozillapublic license", "x" * 3000 + "bsd 3 clause license", "bsd 3 clause license" + "é" * 3000]
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            words += rng.choices(["a", "mit", "license", "é語"], k=rng.randrange(3))
+            w = list(rng.choice(notices)[1])
+            for _ in range(rng.randrange(5)):
+                i = rng.randrange(len(w))
+                w[i] = rng.choice([w[i], "", "é", "語", w[i] + "s", w[i] + " ", "x" + w[i], " "])
+            words += "".join(w).split()
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for label, phrase, most in notices:
+        found = {r.doc_id: r.notices for r in license_scan.license_report(df, notices=[(label, phrase, most)]).collect()}
+        for i, text in enumerate(texts):
+            words = ALNUM.findall(low(text))
+            spans = [" ".join(words[a:b]) for a in range(len(words)) for b in range(a + 1, len(words) + 1)]
+            least = min(edits(span, phrase) for span in spans if len(span) <= len(phrase) + most) if any(
+                len(span) <= len(phrase) + most for span in spans) else most + 1
+            assert (min(n.edits for n in found[i]) if found[i] else most + 1) == min(least, most + 1), (text, phrase)
+            for n in found[i]:
+                assert edits(" ".join(words[n.word:n.word + n.n_words]), phrase) == n.edits
