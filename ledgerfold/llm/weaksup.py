@@ -2,12 +2,15 @@
 
 1. *Voters.*  Word stems (character n-grams inside words) that mark toxic
    documents are found in a bounded labelled sample; stems that occur in the
-   same documents form one lexicon voter.  Pattern voters look at how many
+   same documents form one lexicon voter, and the rarest beyond the number of
+   voters form the last one.  Pattern voters look at how many
    lexicons fire and how densely.
 2. *Label model.*  Over all documents the voters' means and covariances are
    counted in one pass.  If voters were independent given the class, the
    covariance of two would be the product of their strengths, so triplets of
    voters give every strength, and with it the chance to fire in either class.
+   How much more often than by chance voters meet tells the toxic share that
+   they can see, which may be less than the labels' share.
    What remains of the covariance is correlation; correlated voters share
    their weight.  A vote is a hit; silence abstains.
 3. *Classifier.*  A linear model is trained on the posteriors of a bounded
@@ -34,8 +37,9 @@ BITS = 21
 GRAMS = (4, 5, 6)
 SAMPLE, LONGEST, SHARDS, MOST_STEMS, MOST_VOTERS = 8_000, 20_000, 4, 2_048, 96
 DENSITY = 0.005
-RATIO, SURPRISE = 120, 30
+RATIO, SURPRISE = 40, 25
 AGREEING = 3
+PATTERNS = 5
 
 
 def stem_slots(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -103,14 +107,38 @@ class LabelModel:
         return np.where(votes.any(1), p, self.silent)
 
 
-def label_model(n: int, ones: np.ndarray, both: np.ndarray, prior: float) -> LabelModel:
-    """Fire rates of binary voters from their counts and pair counts over ``n`` documents."""
+def seen_share(n: int, ones: np.ndarray, both: np.ndarray, use: np.ndarray, prior: float) -> float:
+    """Share of documents in the class that the voters can see, at most ``prior``.
+
+    Voters that are silent in clean documents and independent in toxic ones meet
+    1 / share times as often as chance would have it; firing in clean documents
+    lowers that.  The middle pair counts, pairs weighted by their documents.
+    """
+    i, j = np.nonzero(np.triu(use, 1))
+    share = ones[i] * ones[j] / (max(n, 1) * np.maximum(both[i, j], 1))
+    order = np.argsort(share, kind="stable")
+    if not len(order):
+        return prior
+    weight = np.cumsum(both[i, j][order])
+    return float(np.clip(share[order[np.searchsorted(weight, weight[-1] / 2)]], 1e-4, prior))
+
+
+def label_model(n: int, ones: np.ndarray, both: np.ndarray, prior: float, patterns: int = 0) -> LabelModel:
+    """Fire rates of binary voters from their counts and pair counts over ``n`` documents.
+
+    ``prior`` bounds the toxic share.  The model's class is what the voters can
+    see of it: with the whole share as class, toxic documents in which no voter
+    fires would be taken for voters firing in clean ones.  The last
+    ``patterns`` voters follow from the others and don't tell the share.
+    """
     m = len(ones)
     mean = ones / max(n, 1)
     cov = both / max(n, 1) - np.outer(mean, mean)
     var = np.maximum(mean * (1 - mean), 1e-12)
     noise = 2 * np.sqrt(np.outer(var, var) / max(n, 1))
     strong = cov > noise
+    own = np.arange(m) < m - patterns
+    prior = seen_share(n, ones, both, strong & np.outer(own, own) & (cov < 0.6 * np.sqrt(np.outer(var, var))), prior)
     most = mean * np.sqrt((1 - prior) / prior)
     linked = np.zeros((m, m), dtype=bool)
     for _ in range(2):  # the second time without the pairs that proved correlated
@@ -133,13 +161,14 @@ def label_model(n: int, ones: np.ndarray, both: np.ndarray, prior: float) -> Lab
 
 
 def groups_of_stems(counts: np.ndarray, both: np.ndarray, most: int) -> np.ndarray:
-    """Voter of each stem: stems that share most of their documents vote together; -1 beyond ``most``."""
+    """Voter of each stem: stems that share most of their documents vote together, and
+    what ``most - 1`` such groups leave over votes as one, so every stem has a vote."""
     voter = np.full(len(counts), -1)
     n = 0
     for i in range(len(counts)):
-        if voter[i] >= 0 or n == most:
+        if voter[i] >= 0:
             continue
-        like = both[i] >= 0.6 * np.minimum(counts[i], counts)
+        like = both[i] >= 0.6 * np.minimum(counts[i], counts) if n < most - 1 else np.ones(len(counts), dtype=bool)
         voter[like & (voter < 0)] = n
         n += 1
     return voter
@@ -296,9 +325,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, train: Column, doc: str = "doc_id
     flat = src.select("text").mapInArrow(moments, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     value = np.zeros(flat.num_rows, dtype=np.int64)
     value[flat["k"].to_numpy()] = flat["n"].to_numpy()
-    m = int(detector.voter.max(initial=-1)) + 6
+    m = int(detector.voter.max(initial=-1)) + 1 + PATTERNS
     ones, pairs = value[1:1 + m], value[1 + m:].reshape(m, m)
-    detector.model = label_model(int(value[0]), ones, pairs, prior)
+    detector.model = label_model(int(value[0]), ones, pairs, prior, PATTERNS)
     # the classifier's training rows: a bounded sample of the training part, labelled or not
     total = src.where("train").count()
     rows = bounded(src.where(F.col("train")), F.xxhash64("id", F.lit(23)), 4 * sample, total).select("text")

@@ -315,6 +315,29 @@ def test_label_model_recovers_fire_rates():
     assert twice.weights[0] < model.weights[0]  # a copied voter shares its weight
 
 
+def test_toxic_documents_that_no_voter_sees_are_not_their_errors():
+    rng = np.random.default_rng(6)
+    n, seen, prior = 200_000, 0.05, 0.12
+    y = rng.random(n) < seen
+    toxic = np.array([0.5, 0.4, 0.35, 0.3, 0.3])
+    votes = (rng.random((n, 5)) < np.where(y[:, None], toxic, 0)).astype(float)
+    votes = np.concatenate([votes, votes.sum(1, keepdims=True) >= 2], axis=1)  # a pattern voter
+    model = weaksup.label_model(n, votes.sum(0), votes.T @ votes, prior, 1)
+    assert abs(model.prior - seen) < 0.005
+    assert np.allclose(model.fire_toxic[:5], toxic, atol=0.05) and model.fire_clean[:5].max() < 0.002
+    alone = np.eye(6)[:5]
+    assert model.posterior(alone).min() > 0.5
+    assert weaksup.seen_share(10, np.zeros(2), np.zeros((2, 2)), np.zeros((2, 2), dtype=bool), 0.3) == 0.3
+
+
+def test_every_stem_votes():
+    counts = np.array([9, 8, 7, 6, 5])
+    apart = np.diag(counts)
+    assert weaksup.groups_of_stems(counts, apart, 3).tolist() == [0, 1, 2, 2, 2]
+    assert weaksup.groups_of_stems(counts, apart, 9).tolist() == [0, 1, 2, 3, 4]
+    assert weaksup.groups_of_stems(counts[:0], apart[:0, :0], 3).tolist() == []
+
+
 def test_toxicity_of_held_out_texts(spark):
     rng = random.Random(3)
     bad = ["grumblet", "snorkwit", "flibbert"]
