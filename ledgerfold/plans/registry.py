@@ -21,8 +21,8 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = apply_settings(spark), sf_dir.rstrip("/")
 
-    def read(self, name: str) -> DataFrame:
-        return read_table(self.spark, f"{self.sf_dir}/{name}.parquet")
+    def read(self, name: str, where: str | None = None) -> DataFrame:
+        return read_table(self.spark, f"{self.sf_dir}/{name}.parquet", where=where)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

@@ -17,7 +17,7 @@ from ledgerfold.sources import tables as T
 
 @query("S01_scan_projected", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000")
 def _(t):
-    return t.orders.where("o_totalprice > 200000").select("o_orderkey", "o_totalprice")
+    return t.read("orders", "o_totalprice > 200000").select("o_orderkey", "o_totalprice")
 
 
 @query("S02_base_rows", """
@@ -394,7 +394,7 @@ def _(t):
 
 @query("J14_semi_join", "SELECT contest_id FROM contests WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = contest_id AND l_discount >= 0.1)")
 def _(t):
-    li = t.lineitem.where("l_discount >= 0.1").select(F.col("l_orderkey").alias("contest_id"))
+    li = t.read("lineitem", "l_discount >= 0.1").select(F.col("l_orderkey").alias("contest_id"))
     return t.contests.join(li, "contest_id", "left_semi").select("contest_id")
 
 

@@ -23,11 +23,19 @@ def require(df: DataFrame, columns: Sequence[str], what: str = "table") -> DataF
     return df
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType | None = None, fmt: str = "parquet", **options) -> DataFrame:
-    """Read a table; floating columns lose their NaN in favour of NULL."""
+def read_table(
+    spark: SparkSession, path: str, schema: StructType | None = None, fmt: str = "parquet", *, where: str | None = None, **options,
+) -> DataFrame:
+    """Read a table; floating columns lose their NaN in favour of NULL.
+
+    ``where`` is a conjunction of comparisons of columns with constants.  It is
+    applied to the file's own columns, so the scan can prune by it, and again
+    after the replacement: a comparison holds for no NULL, so the first filter
+    keeps all rows that the second one keeps.
+    """
     reader = spark.read.format(fmt).options(**options)
     df = (reader.schema(schema) if schema is not None else reader).load(path)
-    return nan_to_null(df)
+    return nan_to_null(df) if where is None else nan_to_null(df.where(where)).where(where)
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

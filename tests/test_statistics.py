@@ -45,6 +45,17 @@ def test_nan_becomes_null(spark):
     assert df.agg(F.avg("x")).first()[0] == 2.0
 
 
+def test_comparisons_reach_the_scan(spark, tmp_path):
+    from ledgerfold.sources.tables import read_table
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(float("nan"), 1), (2.0, 2), (None, 3), (5.0, 4)], "x double, i int").write.parquet(path)
+    for where, ids in (("x > 1", {2, 4}), ("x >= 2 AND x < 5", {2}), ("x <> 2", {4}), ("i > 1 AND x > 2", {4})):
+        df = read_table(spark, path, where=where)
+        assert {r["i"] for r in df.collect()} == ids == {r["i"] for r in read_table(spark, path).where(where).collect()}
+        pushed = df._jdf.queryExecution().executedPlan().toString().split("PushedFilters: ")[1].split("]")[0]
+        assert any(k in pushed for k in ("GreaterThan", "EqualTo"))
+
+
 def test_bootstrap_orders_and_repeats(spark, facts):
     df = spark.createDataFrame(facts)
     a = I.roi_interval(df, ["b"], draws=200).toPandas().sort_values("b")
