@@ -187,3 +187,31 @@ def test_stream_merges_late_files_and_replays(spark, tmp_path):
     Q.run_available(spark, landing, target, str(tmp_path / "p"))  # nothing new
     got = {r["event_id"]: (r["open_prob"], r["close_prob"]) for r in Q.read_lines(spark, target).collect()}
     assert got == {"e": (0.4, 0.6), "f": (0.9, 0.9)}
+
+
+def test_pairs_of_targets_equal_brute_force_in_blocks(spark):
+    rng = random.Random(3)
+    pool = sorted({(d, m, rng.choice([6000, 6500, 7000, 10600, 10700]), rng.randint(0, 6), rng.randint(0, 3)) for d in (1, 2) for m in range(40)})
+    pool += [(1, 50, 6500, 2, 2), (1, 51, 6500, 2, 2), (1, None, 6500, 2, 2)]  # equal amounts, and a member without a name
+    targets = sorted({(d, s, p, o) for d in (1, 2, 3) for s in (12000, 13000, 13500, 17100, 17200) for p in range(0, 13, 3) for o in range(4)})
+    want = {(*t, min(x[1], y[1]), max(x[1], y[1])) for t in targets for x in pool for y in pool
+            if x[1] is not None and y[1] is not None and x[1] != y[1] and x[0] == y[0] == t[0] and x[2] + y[2] == t[1] and x[3] + y[3] == t[2]
+            and x[4] + y[4] == t[3] and all(6000 <= z[2] <= 10600 for z in (x, y))}
+    p = frame(spark, pool, "date int, member bigint, salary int, points int, own int")
+    r = frame(spark, targets, "date int, r_salary int, r_points int, r_own int")
+    for pool_block, target_block in ((1000, 1000), (9, 7)):
+        rows = X.pairs_of_targets(r, p, pool_block, target_block).where("a <> b").collect()
+        assert {(*x[:4], min(x[4:]), max(x[4:])) for x in rows} == want and want
+
+
+def test_two_missing_writes_no_half_pairs(spark):
+    """Every target would meet each of the date's members: 300 x 4,000 rows a step earlier."""
+    pool = spark.range(4000).select(F.lit(1).alias("date"), F.col("id").alias("member"), F.lit(6000).alias("salary"),
+                                    (F.col("id") * 7).alias("points"), (F.col("id") * F.col("id")).alias("own"))
+    res = spark.range(300).select((F.col("id") + 9000).alias("set_id"), F.concat(F.lit("k"), "id").alias("set_key"), F.col("id").alias("contest_id"),
+                                  F.lit(1).alias("date"), F.lit(2).alias("n_missing"), F.lit(12000).alias("r_salary"),
+                                  ((2 * F.col("id") + 1) * 7).alias("r_points"), (F.col("id") * F.col("id") + (F.col("id") + 1) * (F.col("id") + 1)).alias("r_own"))
+    known = frame(spark, [], "set_id long, member long")
+    out = X.two_missing(res, known, pool)
+    assert {(r["a"] + 1, r["b"]) for r in out.collect()} == {(i + 1, i + 1) for i in range(300)}
+    assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().toString()
