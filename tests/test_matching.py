@@ -215,3 +215,14 @@ def test_two_missing_writes_no_half_pairs(spark):
     out = X.two_missing(res, known, pool)
     assert {(r["a"] + 1, r["b"]) for r in out.collect()} == {(i + 1, i + 1) for i in range(300)}
     assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().toString()
+
+
+def test_one_missing_by_total_counts_before_it_lists(spark):
+    cols = "set_id int, set_key string, contest_id int, date int, n_missing int, r_salary int"
+    # set 1: three members at 7000, two of them known; set 2: three, one known; set 3: listed twice, once with too many
+    res = frame(spark, [(1, "1:2:-1", 1, 10, 1, 7000), (2, "1:-1", 2, 10, 1, 7000), (3, "9:-1", 3, 10, 1, 7000), (3, "9:-1", 3, 11, 1, 8000),
+                        (4, "-1", 4, 11, 1, 8000)], cols)
+    known = frame(spark, [(1, 1), (1, 2), (2, 1), (3, 9)], "set_id int, member bigint")
+    pool = frame(spark, [(10, 1, 7000), (10, 2, 7000), (10, 3, 7000), (11, 5, 8000)], "date int, member bigint, salary int")
+    got = sorted(tuple(r) for r in X.one_missing_by_total(res, known, pool).collect())
+    assert got == [("-1", 5), ("1:2:-1", 3)]
