@@ -30,17 +30,25 @@ def _dir(missing):
             "WHEN line_move < -0.02::DOUBLE THEN 'drifted' ELSE 'stable' END AS line_move_dir")
 
 
-def events(t):
-    """Member rows of a date from its largest contest, the sentinel contest left out."""
-    return N.one_per_event(t.players.where(F.col("contest_id") != P.SENTINEL_CONTEST), ["date_id", "player_id"])
+MEMBER = ("date_id", "player_id", "contest_id", "contest_size", "salary", "ownership", "actual_points", "close_prob", "open_prob", "line_move")
+# the name settles ties of a member listed twice
+CLASSED = (*MEMBER, "full_name", "weight_class")
 
 
-def carded_events(t):
-    """:func:`events` with the section of the card."""
-    e = events(t)
-    card = W.position_in_group(e.select("date_id", "player_id", "salary"), ["date_id"], ["-salary", "player_id"], name="card_position",
+def events(t, columns=CLASSED):
+    """Member rows of a date from its largest contest, the sentinel contest left out.
+
+    The whole row is carried through the choice, so it brings only what a panel uses.
+    """
+    rows = t.players.where(F.col("contest_id") != P.SENTINEL_CONTEST).select(*columns)
+    return N.one_per_event(rows, ["date_id", "player_id"])
+
+
+def carded_events(t, columns=CLASSED):
+    """:func:`events` with the section of the card, numbered on the rows themselves: nothing is joined back."""
+    e = events(t, columns).where("date_id IS NOT NULL AND player_id IS NOT NULL")
+    return W.position_in_group(e, ["date_id"], ["-salary", "player_id"], name="card_position",
                                labels=P.CARD_SECTIONS, default=P.CARD_DEFAULT, label_name="card_section")
-    return e.join(card.select("date_id", "player_id", "card_section"), ["date_id", "player_id"])
 
 
 _BANDS = f"""{case_sql('salary', P.ENTITY_SALARY)} AS salary_tier, {case_sql('ownership', P.ENTITY_OWN)} AS ownership_band,
@@ -50,7 +58,7 @@ _BANDS = f"""{case_sql('salary', P.ENTITY_SALARY)} AS salary_tier, {case_sql('ow
 @query("S12_construction_panel", EVENTS + f"""
 SELECT date_id, player_id, card_section, {_BANDS}, {_VALUE} >= 6 AS is_optimal_range FROM ec WHERE close_prob IS NOT NULL AND actual_points IS NOT NULL""")
 def _(t):
-    return N.construction(carded_events(t)).select(
+    return N.construction(carded_events(t, MEMBER)).select(
         "date_id", "player_id", "card_section", "salary_tier", "ownership_band", "close_prob_band", "line_move_dir",
         r6("salary_value", 9).alias("salary_value"), "is_ceiling", "is_optimal_range")
 

@@ -50,3 +50,20 @@ def test_panels_of_no_rows(spark):
     df = frame(spark, [])
     for panel in (N.construction, N.detailed, N.archetype_members, N.archetype_prices, N.composition_members):
         assert panel(df).count() == 0
+
+
+def test_carded_events_number_the_rows_themselves(spark):
+    """One join (the carry of the numbering), and only the columns a panel uses; earlier the members were computed twice and joined."""
+    from types import SimpleNamespace
+    from ledgerfold.plans import panels as L
+    cols = "player_id long, contest_id long, salary long, ownership double, actual_points double, close_prob double, open_prob double, line_move double, " \
+           "date_id int, contest_size int, full_name string, weight_class string, brand string"
+    row = lambda p, c, sal, date, size, name="n", cls="LARGE": (p, c, sal, 1.0, 2.0, 0.5, 0.4, 0.1, date, size, name, cls, "b")
+    rows = [row(1, 10, 6000, 1, 5), row(1, 11, 6000, 1, 9), row(2, 10, 9000, 1, 5), row(3, 10, 6000, 1, 5, "b", "A"), row(3, 10, 6000, 1, 5, "a", "Z"),
+            row(4, 12, 7000, None, 5), row(5, 13, 7000, 2, None)]
+    t = SimpleNamespace(players=spark.createDataFrame(rows, cols))
+    out = L.carded_events(t)
+    got = sorted((r["date_id"], r["player_id"], r["contest_id"], r["card_section"], r["weight_class"]) for r in out.collect())
+    assert got == [(1, 1, 11, "co_main", "LARGE"), (1, 2, 10, "main_event", "LARGE"), (1, 3, 10, "main_card", "Z"), (2, 5, 13, "main_event", "LARGE")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert "brand" not in out.columns and "full_name" not in L.carded_events(t, L.MEMBER).columns
