@@ -349,8 +349,12 @@ def pooling_adjustments(df: DataFrame, by: str, y: str, yhat: str, strength: flo
 
 
 def apply_pooling(df: DataFrame, adj: DataFrame, by: str, yhat: str, lo: float = 0.0, hi: float = 100.0) -> DataFrame:
-    """Prediction plus its type's adjustment; unseen types get none."""
-    j = df.join(adj.select(by, "adjustment"), by, "left")
+    """Prediction plus its type's adjustment; unseen types get none.
+
+    The adjustments, one row per type, go to the rows: a join that deals the
+    rows out by type would gather each of the few types in one task.
+    """
+    j = df.join(F.broadcast(adj.select(by, "adjustment")), by, "left")
     return j.withColumn("pooled", clip(F.col(yhat) + F.coalesce("adjustment", F.lit(0.0)), lo, hi))
 
 

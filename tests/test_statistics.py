@@ -322,3 +322,16 @@ def test_metrics_pipeline_with_unseen_category(spark):
     train = spark.createDataFrame([(1.0, "a", 1.0), (2.0, "b", 2.0), (None, "a", 3.0)], "x double, c string, y double")
     m = Pipeline(stages=M.preprocessing(["x"], ["c"])).fit(train)
     assert m.transform(spark.createDataFrame([(None, "z")], "x double, c string")).count() == 1
+
+
+def test_pooling_does_not_gather_a_type_in_one_task(spark):
+    df = spark.createDataFrame([("a", 5.0, 4.0), ("a", 7.0, 4.0), ("b", 1.0, 2.0), (None, 1.0, 2.0)], "ct string, y double, p double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        from ledgerfold.operators import models as M
+        out = M.apply_pooling(df, M.pooling_adjustments(df, "ct", "y", "p", strength=0.0), "ct", "p")
+        assert sorted((r["ct"] or "", r["pooled"]) for r in out.collect()) == [("", 2.0), ("a", 6.0), ("a", 6.0), ("b", 1.0)]
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
