@@ -97,20 +97,45 @@ def _grid(lo, hi, n: int):
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: lo + (hi - lo) * i / (n - 1))
 
 
+def _counted(df: DataFrame, replaced: Sequence[str] = ()) -> DataFrame:
+    """Rows that agree in all columns but the ``replaced`` ones, once, with their number ``_times``.
+
+    A model predicts them alike, so a mean takes one prediction that many times.
+    Without repeats this is one row per row; either way the rows are dealt out
+    evenly, as every one of them meets a whole grid.
+    """
+    cols = [c for c in df.columns if c not in replaced]
+    counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_times"))
+    if not cols:
+        return counted.where("_times > 0")
+    # by a hash of them: by the columns themselves it would be left out, and few rows put into few tasks
+    return counted.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*cols))
+
+
+def _point_sums(rows: DataFrame, predict: Predict) -> DataFrame:
+    """(_k, _s, _m): sum and number of the predictions at every grid point ``_k``, a plain number and so a cheap key."""
+    p = F.col("prediction")
+    return predict(rows).groupBy("_k").agg(F.sum(p * F.col("_times")).alias("_s"), F.sum(F.when(p.isNotNull(), F.col("_times"))).alias("_m"))
+
+
 def partial_dependence(df: DataFrame, predict: Predict, feature: str, *, grid: int = 20, limits: tuple[float, float] = (0.05, 0.95)) -> DataFrame:
     """(grid_value, mean prediction).  Rows meet the grid on the map side and are
     averaged there: the shuffle carries partitions x grid rows."""
-    ends = O.percentiles(df, [], feature, {"_lo": limits[0], "_hi": limits[1]})
-    spread = df.transform(attach_row, ends).withColumn("grid_value", F.explode(_grid(F.col("_lo"), F.col("_hi"), grid)))  # ends: one row
-    return predict(spread.withColumn(feature, F.col("grid_value"))).groupBy("grid_value").agg(F.avg("prediction").alias("pd"))
+    ends = O.percentiles(df, [], feature, {"_lo": limits[0], "_hi": limits[1]})  # one row
+    line = ends.select(_grid(F.col("_lo"), F.col("_hi"), grid).alias("_line"))
+    spread = _counted(df, [feature]).transform(attach_row, line).select("*", F.posexplode("_line").alias("_k", feature)).drop("_line")
+    sums = _point_sums(spread, predict).transform(attach_row, line).withColumn("grid_value", F.col("_line")[F.col("_k")])
+    return sums.groupBy("grid_value").agg((F.sum("_s") / F.sum("_m")).alias("pd"))  # equal ends: one point
 
 
 def partial_dependence_2d(df: DataFrame, predict: Predict, f1: str, f2: str, *, grid: int = 10) -> DataFrame:
     """(v1, v2, mean prediction) on a min-max grid."""
     ends = df.agg(*[fn(f).cast("double").alias(f"_{n}{i}") for i, f in enumerate((f1, f2)) for n, fn in (("lo", F.min), ("hi", F.max))])
-    spread = df.transform(attach_row, ends).withColumn("v1", F.explode(_grid(F.col("_lo0"), F.col("_hi0"), grid))).withColumn(
-        "v2", F.explode(_grid(F.col("_lo1"), F.col("_hi1"), grid)))
-    return predict(spread.withColumn(f1, F.col("v1")).withColumn(f2, F.col("v2"))).groupBy("v1", "v2").agg(F.avg("prediction").alias("pd"))
+    lines = ends.select(*[_grid(F.col(f"_lo{i}"), F.col(f"_hi{i}"), grid).alias(f"_line{i}") for i in (0, 1)])
+    v1, v2 = F.col("_line0")[F.floor(F.col("_k") / grid).cast("int")], F.col("_line1")[F.col("_k") % grid]
+    spread = _counted(df, [f1, f2]).transform(attach_row, lines).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(grid * grid - 1))))
+    sums = _point_sums(spread.withColumns({f1: v1, f2: v2}).drop("_line0", "_line1"), predict)
+    return sums.transform(attach_row, lines).groupBy(v1.alias("v1"), v2.alias("v2")).agg((F.sum("_s") / F.sum("_m")).alias("pd"))
 
 
 def ale(df: DataFrame, predict: Predict, feature: str, bins: int = 10) -> DataFrame:
@@ -160,15 +185,18 @@ def interactions(df: DataFrame, predict: Predict, features: Sequence[str], *, gr
     """Simplified H statistic per feature pair, all rows used, strongest first.
 
     One ordering gives the ends of all grids and one scan fills all of them:
-    a row meets every grid point on the map side and is averaged there, so the
-    shuffle carries (tasks x points) rows however many features there are.
+    a row, equal ones together, meets every grid point on the map side and is
+    averaged there, so the shuffle carries (tasks x points) rows however many
+    features there are.
     """
     long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("_f"), F.col(f).cast("double").alias("_v")) for f in features])).alias("_x")).select("_x.*")
     ends = O.percentiles(long, ["_f"], "_v", {"_lo": 0.05, "_hi": 0.95, "_min": 0.0, "_max": 1.0})
-    at = df.transform(attach_row, _cells(ends, features, grid)).withColumn("_c", F.explode("_cells")).drop("_cells")
+    at = _counted(df).transform(attach_row, _cells(ends, features, grid)).select("*", F.posexplode("_cells").alias("_k", "_c")).drop("_cells")
     put = {f: F.when(F.col("_c.a") == n, F.col("_c.x")).when(F.col("_c.b") == n, F.col("_c.y")).otherwise(F.col(f).cast("double"))
            for n, f in enumerate(features)}
-    means = predict(at.withColumns(put)).groupBy("_c").agg(F.avg("prediction").alias("_pd"))
+    sums = _point_sums(at.withColumns(put).drop("_c"), predict)
+    means = sums.transform(attach_row, _cells(ends, features, grid)).withColumn("_c", F.col("_cells")[F.col("_k")]).select(
+        "_c", (F.col("_s") / F.col("_m")).alias("_pd"))
     var = means.groupBy(F.col("_c.a").alias("_a"), F.col("_c.b").alias("_b")).agg(F.var_pop("_pd").alias("_v"))  # one row per pair and feature
     alone = var.where("_b = -1")
     pairs = var.where("_b >= 0").join(alone.select("_a", F.col("_v").alias("_va")), "_a").join(

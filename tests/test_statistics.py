@@ -307,6 +307,30 @@ def test_shuffling_within_folds_keeps_each_folds_values(spark):
     assert imp[9] == 0 and (imp.drop(9) > 0).all() and len(imp) == 5
 
 
+def test_equal_rows_meet_a_grid_once(spark):
+    rows = [(float(i % 2), float(i % 3), float(i % 5)) for i in range(300)] + [(None, 1.0, 2.0), (1.0, None, None)]
+    df = spark.createDataFrame(rows, "x double, y double, z double")
+    p = df.toPandas()
+    seen = []
+
+    def model(d):
+        seen.append(d)
+        return d.withColumn("prediction", F.expr("x * y + z"))
+
+    got = {(r["v1"], r["v2"]): r["pd"] for r in X.partial_dependence_2d(df, model, "x", "y", grid=5).collect()}
+    assert seen.pop().count() == 25 * 6  # the other column holds five values and null
+    assert len(got) == 25 and all(v == pytest.approx(a * b + p.z.mean()) for (a, b), v in got.items())
+    line = {r["grid_value"]: r["pd"] for r in X.partial_dependence(df, model, "x", grid=4).collect()}
+    assert seen.pop().count() == 4 * (15 + 2 - 1)  # of the added rows one is like others without x
+    both = p.dropna(subset=["y", "z"])
+    assert len(line) == 4 and all(v == pytest.approx((a * both.y + both.z).mean()) for a, v in line.items())
+    X.interactions(df, model, ["x", "y", "z"], grid=5)
+    assert seen.pop().count() == (3 * 5 + 3 * 25) * (30 + 2)
+    same = X.partial_dependence_2d(df.withColumn("x", F.lit(1.0)), model, "x", "y", grid=5)
+    assert same.count() == 5  # a constant feature has one point
+    assert X.partial_dependence_2d(df.where("z > 9"), model, "x", "y").count() == 0
+
+
 def test_deflated_sharpe(spark):
     df = spark.createDataFrame([(2.0, 1), (2.0, 10), (2.0, 1000), (-1.0, 1)], "s double, n int")
     d = [r[0] for r in df.select(S.deflated_sharpe("s", "n")).collect()]
