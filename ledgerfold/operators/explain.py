@@ -13,6 +13,7 @@ from ledgerfold.functions.bands import rate
 from ledgerfold.operators import inference as I, ordered as O
 from ledgerfold.operators.models import auc
 from ledgerfold.operators.ordered import attach_row
+from ledgerfold.session import materialize
 
 Predict = Callable[[DataFrame], DataFrame]
 
@@ -35,30 +36,59 @@ def score(df: DataFrame, y: str, metric: str, weight: str | None = None, by: Seq
     return df.groupBy(*by).agg(expr.alias("score"))
 
 
+# Neighbouring rows that are moved together.
+BLOCK = 2048
+
+
 def shuffled_copies(df: DataFrame, key: Sequence[str], cols: Sequence[str], seed: int, repeats: int, fold: str | None = None) -> DataFrame:
     """One copy of ``df`` per (``_f``, ``_rep``) with the column ``_f`` shuffled.
 
     Rows are numbered once, in the order of a hash of their key, so neighbours
     are unrelated.  A copy takes the column from the row a drawn number of
-    places further on, around the end: a permutation for any number of rows,
-    and one equi join serves all copies.  The drawn shift is never zero (but
-    for a single row).  With an integer ``fold`` rows are numbered and shuffled
-    within their fold, each fold under its own seed (``seed + fold``); the join
-    keys stay unique, so a fold with most of the rows is not one task.
+    places further on, around the end: a permutation for any number of rows.
+    The drawn shift is never zero (but for a single row).  With an integer
+    ``fold`` rows are numbered and shuffled within their fold, each fold under
+    its own seed (``seed + fold``).
+
+    Places move by blocks: a block of neighbours finds a copy's values in two
+    or three others, so what is shuffled for a copy is its one column, and rows
+    are multiplied only after the last join.
     """
     by = [fold] if fold else []
     salt = F.lit(seed) + F.col(fold) if fold else F.lit(seed)
     h = F.md5(F.concat_ws("|", salt.cast("string"), *[F.col(k).cast("string") for k in key]))
     at = O.running(df.withColumn("_h", h), by, ["_h", *key], number="_at").drop("_h").withColumn("_at", F.col("_at") - 1)
-    size = at.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    sized = at.join(size, fold) if fold else attach_row(at, size)
+    held = F.struct("_at", F.struct(*df.columns).alias("r"))
+    numbered = at.groupBy(*by, F.floor(F.col("_at") / BLOCK).alias("_b")).agg(F.sort_array(F.collect_list(held)).alias("_rows"))
+    blocks = materialize(numbered.select(*by, "_b", F.col("_rows.r").alias("_rows")), "blocks")
+    count = blocks.select(*by, "_b", F.size("_rows").alias("_m"))
+    size = count.groupBy(*by).agg(F.sum("_m").alias("_n"))
+    sized = count.join(size, fold) if fold else attach_row(count, size)
     many = sized.withColumn("_f", F.explode(F.array(*[F.lit(c) for c in cols]))).withColumn(
         "_rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     shift = I.hash_uniform_int(F.greatest(F.col("_n") - 1, F.lit(1)), salt, F.col("_rep"), F.col("_f")) + 1
-    many = many.withColumn("_src", (F.col("_at") + shift) % F.col("_n"))
-    source = at.select(*by, F.col("_at").alias("_src"), *[F.col(c).alias(f"_p_{c}") for c in cols])
-    taken = {c: F.when(F.col("_f") == c, F.col(f"_p_{c}")).otherwise(F.col(c)) for c in cols}
-    return many.join(source, [*by, "_src"]).withColumns(taken).drop("_src", "_at", "_n", *[f"_p_{c}" for c in cols])
+    # the places start ... end - 1, then, around the end, 0 ... over - 1
+    many = many.withColumn("_start", (F.col("_b") * BLOCK + shift) % F.col("_n")).withColumn(
+        "_end", F.least(F.col("_start") + F.col("_m"), F.col("_n"))).withColumns(
+        {"_first": F.floor(F.col("_start") / BLOCK), "_last": F.floor((F.col("_end") - 1) / BLOCK),
+         "_over": F.col("_start") + F.col("_m") - F.col("_end")})
+
+    def piece(order, block, begin, length):
+        return F.struct(F.lit(order).alias("o"), block.cast("long").alias("b"), begin.cast("int").alias("at"), length.cast("int").alias("n"))
+
+    zero, border = F.lit(0), (F.col("_first") + 1) * BLOCK
+    pieces = F.array(piece(0, F.col("_first"), F.col("_start") % BLOCK, F.least("_end", border) - F.col("_start")),
+                     piece(1, F.col("_last"), zero, F.greatest(F.col("_end") - border, zero)), piece(2, zero, zero, F.col("_over")))
+    moves = many.select(*by, "_b", "_f", "_rep", F.explode(F.filter(pieces, lambda x: x["n"] > 0)).alias("_x")).withColumn("_src", F.col("_x.b"))
+    source = blocks.select(*by, F.col("_b").alias("_src"), *[F.col("_rows")[c].alias(f"_p_{c}") for c in cols])
+    moved = moves.join(source, [*by, "_src"]).select(*by, "_b", "_f", "_rep", F.struct("_x.o", *[
+        F.when(F.col("_f") == c, F.slice(f"_p_{c}", F.col("_x.at") + 1, F.col("_x.n"))).alias(c) for c in cols]).alias("_v"))
+    whole = moved.repartition(*by, "_b").groupBy(*by, "_b", "_f", "_rep").agg(F.array_sort(F.collect_list("_v")).alias("_v"))
+    values = whole.select(*by, "_b", "_f", "_rep", *[F.flatten(F.col("_v")[c]).alias(f"_p_{c}") for c in cols])
+    rows = blocks.join(values, [*by, "_b"]).select("_f", "_rep", *[f"_p_{c}" for c in cols], F.posexplode("_rows").alias("_at", "_r"))
+    taken = [F.when(F.col("_f") == c, F.col(f"_p_{c}")[F.col("_at")]).otherwise(F.col("_r")[c]).alias(c) if c in cols else F.col("_r")[c].alias(c)
+             for c in df.columns]
+    return rows.select(*taken, "_f", "_rep")
 
 
 def permutation_importance(

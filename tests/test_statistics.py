@@ -1,5 +1,6 @@
 """Inference, skill, models, explanation, strategy."""
 
+import hashlib
 import itertools
 
 import numpy as np
@@ -331,6 +332,28 @@ def test_equal_rows_meet_a_grid_once(spark):
     assert X.partial_dependence_2d(df.where("z > 9"), model, "x", "y").count() == 0
 
 
+def test_copies_are_rotations_over_blocks_and_multiplied_last(spark, monkeypatch):
+    monkeypatch.setattr(X, "BLOCK", 4)
+    rows = [(i, i % 2 if i > 4 else 5, float(i) if i % 6 else None, f"n{i}") for i in range(61)]
+    df = spark.createDataFrame(rows, "id long, fold int, x double, name string")
+    for fold in (None, "fold"):
+        out = X.shuffled_copies(df, ["id"], ["x", "name"], 42, 5, fold)
+        got = out.toPandas()
+        assert out.columns == [*df.columns, "_f", "_rep"] and len(got) == 10 * len(rows)
+        for at, part in got.groupby(["_f", "_rep", "fold"] if fold else ["_f", "_rep"]):
+            own = [r for r in rows if not fold or r[1] == at[2]]
+            seed = 42 + at[2] if fold else 42
+            own.sort(key=lambda r: hashlib.md5(f"{seed}|{r[0]}".encode()).hexdigest())
+            k, n = (2 if at[0] == "x" else 3), len(own)
+            part = part.astype(object).where(part.notna(), None).set_index("id")
+            values, other = [r[k] for r in own], 5 - k
+            new = [part.loc[r[0]][at[0]] for r in own]
+            assert any(new == values[s:] + values[:s] for s in range(1, n))
+            assert [part.loc[r[0]]["name" if k == 2 else "x"] for r in own] == [r[other] for r in own]
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate posexplode" in plan and plan.index("Generate") < plan.index("Join")
+
+
 def test_deflated_sharpe(spark):
     df = spark.createDataFrame([(2.0, 1), (2.0, 10), (2.0, 1000), (-1.0, 1)], "s double, n int")
     d = [r[0] for r in df.select(S.deflated_sharpe("s", "n")).collect()]
