@@ -371,6 +371,20 @@ def test_metrics_pipeline_with_unseen_category(spark):
     assert m.transform(spark.createDataFrame([(None, "z")], "x double, c string")).count() == 1
 
 
+def test_missing_numbers_take_the_exact_lower_median(spark):
+    rows = [(1.0, 4, float("nan")), (None, 9, float("inf")), (float("nan"), None, float("inf")), (5.0, 1, 0.5), (2.0, 7, None), (7.0, 2, 1.0)]
+    df = spark.createDataFrame(rows, "x double, k int, `odd name` double")
+    made = M.MedianImputer(["x", "k", "odd name"], ["a", "b", "c"]).fit(df).transform(df)
+    assert made.schema["b"].dataType == df.schema["k"].dataType
+    got = [(r["a"], r["b"], r["c"]) for r in made.collect()]
+    inf = float("inf")
+    assert got == [(1.0, 4, 1.0), (2.0, 9, inf), (2.0, 4, inf), (5.0, 1, 0.5), (2.0, 7, 1.0), (7.0, 2, 1.0)]
+    with pytest.raises(ValueError):
+        M.MedianImputer(["x"], ["a"]).fit(df.where("x > 9"))
+    # no sketch of all values goes to the driver
+    assert not any("Imputer" == type(s).__name__ for s in M.preprocessing(["x"]))
+
+
 def test_pooling_does_not_gather_a_type_in_one_task(spark):
     df = spark.createDataFrame([("a", 5.0, 4.0), ("a", 7.0, 4.0), ("b", 1.0, 2.0), (None, 1.0, 2.0)], "ct string, y double, p double")
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
