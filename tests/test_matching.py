@@ -226,3 +226,37 @@ def test_one_missing_by_total_counts_before_it_lists(spark):
     pool = frame(spark, [(10, 1, 7000), (10, 2, 7000), (10, 3, 7000), (11, 5, 8000)], "date int, member bigint, salary int")
     got = sorted(tuple(r) for r in X.one_missing_by_total(res, known, pool).collect())
     assert got == [("-1", 5), ("1:2:-1", 3)]
+
+
+def test_repairs_read_the_lines_once_and_sum_sets_in_one_shuffle(spark, tmp_path):
+    import datetime
+
+    from ledgerfold.plans import people
+    from ledgerfold.plans.registry import Tables
+
+    day = datetime.datetime(2001, 2, 3)
+    orders = [(3, 1, "F", 10.0, day, "1-URGENT"), (3, 2, "O", 20.0, day, "5-LOW"), (6, 1, "F", 10.0, day, "5-LOW")]
+    lines = [(3, 11, 2), (3, 12, 1), (3, 11, 3), (6, None, 1), (6, 14, 2), (9, 15, 1)]
+    frame(spark, orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+          ).write.parquet(f"{tmp_path}/orders.parquet")
+    frame(spark, lines, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    sets, known, pool, res = people.set_tables(Tables(spark, str(tmp_path)))
+    for df in (sets, known, pool, res):
+        assert "l_partkey" not in df._jdf.queryExecution().analyzed().toString()
+    # the order that is there twice counts twice, an unknown member adds nothing
+    pay = lambda *ms: sum(6000 + m * 100 % 4700 for m in ms)
+    assert sorted((r["set_id"], r["set_key"], r["total_salary"]) for r in sets.collect()) == [
+        (3, "12:-1", 2 * pay(11, 12)), (3, "12:-1", 2 * pay(11, 12)), (6, "-1", pay(14))]
+    # twice known, twice listed: four rows of the member
+    assert {(r["set_id"], r["r_salary"]) for r in res.collect()} == {(3, 2 * pay(11, 12) - 4 * pay(12))}
+
+
+def test_residuals_of_repeated_and_unlisted_members(spark):
+    sets = frame(spark, [(1, 1, "a", 10, 0, 100, 100, 100), (2, 1, "b", 10, 0, 100, 100, 100), (3, 1, "c", 10, 0, 100, 100, 100)],
+                 "set_id long, date int, set_key string, contest_id long, n_missing int, total_salary long, total_points long, total_own long")
+    known = frame(spark, [(1, 7), (1, 7), (1, 8), (2, 7), (2, 9), (3, 7)], "set_id long, member long")
+    stats = frame(spark, [(1, 7, 5, None, 1), (1, 8, 6, 2, 1), (1, 8, 6, 2, 1), (1, 6, 50, 50, 50), (2, 7, 5, 2, 1), (3, 7, None, 2, 1), (None, 7, 1, 1, 1), (3, None, 1, 1, 1)],
+                  "set_id long, member long, salary long, points long, own long")
+    got = X.residuals(sets, known, stats)
+    assert [tuple(r) for r in got.collect()] == [(1, 1, "a", 10, 0, 100 - 22, 100 - 4, 100 - 4, X.CAP - 22)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # members do not meet their rows in a join of its own
