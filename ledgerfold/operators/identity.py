@@ -96,6 +96,9 @@ def _max_edits(la: Column, lb: Column, threshold: float) -> Column:
 GRAMS = (1, 2, 3, 5, 8)
 
 
+VARIANTS = 200  # most spellings of one name with characters left out
+
+
 def _grams(text: str, length: Column) -> Column:
     """Rows (g, at, gram): every substring of the lengths :data:`GRAMS`."""
     def of_length(g):
@@ -105,6 +108,19 @@ def _grams(text: str, length: Column) -> Column:
     return F.explode(F.flatten(F.filter(F.array(*map(of_length, GRAMS)), lambda x: x.isNotNull())))
 
 
+def _ways(n: Column, k: Column) -> Column:
+    """Number of ways to leave ``k`` of ``n`` characters out."""
+    return F.aggregate(F.sequence(F.lit(0), k), F.lit(1.0), lambda w, i: F.when(i == 0, w).otherwise(w * (n - i + 1) / i))
+
+
+def _left_out(text: Column, k: Column) -> Column:
+    """Hashes of all spellings of ``text`` with exactly ``k`` characters left out."""
+    def fewer(s):
+        return F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+    all_ = F.aggregate(F.array_repeat(F.lit(0), k), F.array(text), lambda acc, _: F.array_distinct(F.flatten(F.transform(acc, fewer))))
+    return F.transform(all_, lambda s: F.xxhash64(s))
+
+
 def _signature(text: str) -> Column:
     """64 bits, one or more per (character, occurrence).
 
@@ -117,57 +133,89 @@ def _signature(text: str) -> Column:
 
 
 def index_names(cands: DataFrame) -> DataFrame:
-    """Positional gram index of the distinct candidate names, written once: (g, gram, cand, lc, at_c, sig_c)."""
+    """The distinct candidate names, written once: (cand, lc, sig_c)."""
     c = cands.select(F.col("norm").alias("cand")).distinct().withColumn("lc", F.length("cand")).withColumn("sig_c", _signature("cand"))
-    rows = c.select("cand", "lc", "sig_c", _grams("cand", F.col("lc")).alias("x"))
-    return materialize(rows.select("x.g", "x.gram", "cand", "lc", F.col("x.at").alias("at_c"), "sig_c"), "grams")
+    return materialize(c, "cands")
 
 
-def blocked_pairs(queries: DataFrame, cands: DataFrame, threshold: float, index: DataFrame | None = None) -> DataFrame:
-    """All (norm, cand) pairs that can exceed ``threshold``, by equi join.
+def _budgets(queries: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
+    """A row per query and length of candidates that can exceed the threshold, written once.
 
-    A ratio above t leaves fewer than (1-t)(|a|+|b|) characters unmatched.  Each
-    spoils at most g of the query's substrings of length g (g - 1, if it stands
-    in the candidate), so among one more of them than can be spoilt one occurs
-    in the candidate, shifted by no more than that number of characters.  A
-    query brings its rarest ones, of the length that meets the fewest
-    candidates; the join drops what is too long, too far or has other letters.
-    Lossless, and never the cross product.
+    ``out`` and ``ins`` are the most characters without a partner in the query
+    and in a candidate of that length.  Characters that no candidate of the
+    length has are among the first; ``kept`` is the query without them and
+    ``free`` what is left of ``out``.  ``few`` tells that both sides have at
+    most :data:`VARIANTS` spellings with that many characters left out.
     """
-    if threshold < 2 / 3:
-        raise ValueError("the gram join is lossless only for thresholds of two thirds and more")
-    index = index_names(cands) if index is None else index
-    la, lc = F.col("la"), F.col("lc")
+    la, lc, out, free, ins = (F.col(c) for c in ("la", "lc", "out", "free", "ins"))
+    chars = F.filter(F.split("cand", ""), lambda ch: ch != "")
+    lengths = index.select("lc", F.explode(chars).alias("ch")).groupBy("lc").agg(F.collect_set("ch").alias("letters"))
     q = queries.select("norm").where("norm is not null and norm <> ''").distinct().withColumn("la", F.length("norm"))
     low = F.greatest(F.ceil(la * F.lit(threshold / (2 - threshold))).cast("int"), F.lit(1))
     high = F.greatest(F.floor(la * F.lit((2 - threshold) / threshold)).cast("int"), low)
-
-    def spoilt(g):
-        def at(length):
-            out = F.floor((_max_edits(la, length, threshold) - (length - la)) / 2)  # unmatched in the query
-            return F.when((out >= 0) & (out + length - la >= 0), g * out + (g - 1) * (out + length - la)).otherwise(0)
-        return F.array_max(F.transform(F.sequence(low, high), at))
-
-    needs = F.create_map(*[v for g in GRAMS for v in (F.lit(g), (spoilt(g) + 1).cast("long"))])
-    sized = q.withColumns({"low": low, "high": high, "sig": _signature("norm"), "needs": needs})
-    mine = sized.select("norm", "la", "low", "high", "sig", "needs", _grams("norm", la).alias("x")).select(
-        "norm", "la", "low", "high", "sig", "x.g", "x.at", "x.gram", F.element_at("needs", F.col("x.g")).alias("need")).where(
-        F.col("need") <= la - F.col("g") + 1)
-    often = index.groupBy("g", "gram").agg(F.count(F.lit(1)).alias("n"))
-    mine = mine.join(often, ["g", "gram"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    q = q.withColumns({"sig": _signature("norm"), "lc": F.explode(F.sequence(low, high))})
+    # one row per length of a name
+    q = q.join(F.broadcast(lengths), "lc").withColumn("most", _max_edits(la, lc, threshold))
+    q = q.withColumn("out", F.floor((F.col("most") + la - lc) / 2).cast("int")).withColumn("ins", out + lc - la).where((out >= 0) & (ins >= 0))
+    kept = F.array_join(F.filter(F.split("norm", ""), lambda ch: F.array_contains("letters", ch)), "")
+    q = q.withColumn("kept", kept).withColumn("free", out - (la - F.length("kept"))).where(free >= 0)
+    few = (_ways(F.length("kept"), free) <= VARIANTS) & (_ways(lc, ins) <= VARIANTS)
+    return materialize(q.withColumn("few", few).drop("letters"), "budgets")
+
+
+def _by_spelling(plan: DataFrame, index: DataFrame) -> DataFrame:
+    """Pairs that become equal when each side leaves out what it may: exact for common subsequences."""
+    used = plan.select("lc", "ins").distinct()
+    left = plan.select("norm", "la", "lc", "ins", F.explode(_left_out(F.col("kept"), F.col("free"))).alias("key"))
+    right = index.join(F.broadcast(used), "lc").select("cand", "lc", "ins", F.explode(_left_out(F.col("cand"), F.col("ins"))).alias("key"))
+    return left.join(right, ["lc", "ins", "key"]).select("norm", "cand", "la", "lc")
+
+
+def _by_grams(plan: DataFrame, index: DataFrame) -> DataFrame:
+    """Pairs that share one of the query's rarest substrings near the same place."""
+    la, free, ins = F.col("la"), F.col("free"), F.col("ins")
+    grams = index.join(F.broadcast(plan.select("lc").distinct()), "lc").select("cand", "lc", "sig_c", _grams("cand", F.col("lc")).alias("x")).select(
+        "x.g", "x.gram", "cand", "lc", F.col("x.at").alias("at_c"), "sig_c")
+    often = grams.groupBy("lc", "g", "gram").agg(F.count(F.lit(1)).alias("n"))
+    mine = plan.select("norm", "kept", "la", "lc", "out", "free", "ins", "most", "sig", _grams("norm", la).alias("x")).select(
+        "norm", "la", "lc", "out", "ins", "most", "sig", "x.g", "x.at", "x.gram",
+        (F.col("x.g") * free + (F.col("x.g") - 1) * ins + 1).alias("need"),
+        # a substring with a letter that no candidate has is spoilt already
+        (F.length(F.call_function("translate", F.col("x.gram"), F.col("kept"), F.lit(""))) == 0).alias("whole")).where("whole")
+    mine = mine.join(often, ["lc", "g", "gram"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     # one name's substrings: bounded by its length
-    rare = Window.partitionBy("norm", "g").orderBy("n", "at")
-    mine = mine.withColumn("_r", F.row_number().over(rare)).where("_r <= need")
-    cost = mine.withColumn("_cost", F.sum("n").over(Window.partitionBy("norm", "g")))
-    best = F.min(F.struct("_cost", "g")).over(Window.partitionBy("norm"))
+    one = Window.partitionBy("norm", "lc", "g")
+    mine = mine.withColumns({"_r": F.row_number().over(one.orderBy("n", "at")), "_all": F.count(F.lit(1)).over(one)}).where("_all >= need and _r <= need")
+    cost = mine.withColumn("_cost", F.sum("n").over(one))
+    best = F.min(F.struct("_cost", "g")).over(Window.partitionBy("norm", "lc"))
     chosen = cost.withColumn("_best", best).where((F.col("_best.g") == F.col("g")) & (F.col("n") > 0))
-    most = _max_edits(la, lc, threshold)
-    near = (lc.between(F.col("low"), F.col("high")) & (F.abs(F.col("at") - F.col("at_c")) <= most)
-            & (F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_c"))) <= most))
-    left, right = chosen.select("g", "gram", "norm", "la", "low", "high", "at", "sig").alias("l"), index.alias("r")
-    pairs = left.join(right, (F.col("l.g") == F.col("r.g")) & (F.col("l.gram") == F.col("r.gram")) & near).select("norm", "cand", "la", "lc").distinct()
+    near = ((F.col("at_c") - F.col("at")).between(-F.col("out"), ins) & (F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_c"))) <= F.col("most")))
+    left, right = chosen.select("lc", "g", "gram", "norm", "la", "out", "ins", "most", "at", "sig").alias("l"), grams.alias("r")
+    same = (F.col("l.lc") == F.col("r.lc")) & (F.col("l.g") == F.col("r.g")) & (F.col("l.gram") == F.col("r.gram"))
+    return left.join(right, same & near).select("norm", "cand", "la", "l.lc")
+
+
+def blocked_pairs(queries: DataFrame, cands: DataFrame, threshold: float, index: DataFrame | None = None) -> DataFrame:
+    """All (norm, cand) pairs that can exceed ``threshold``, by equi join.
+
+    A ratio above t leaves fewer than (1-t)(|a|+|b|) characters unmatched, which
+    for a length of the candidates tells how many each side has at most.  Where
+    that leaves few spellings, both sides bring their spellings with so many
+    characters left out: the pairs with a long enough common subsequence agree
+    in one, and no others.  Elsewhere an unmatched character spoils at most g of
+    the query's substrings of length g (g - 1, if it stands in the candidate),
+    so among one more of them than can be spoilt one occurs in the candidate,
+    shifted by no more than that number of characters; a query brings its rarest
+    ones, of the length that meets the fewest candidates.  Lossless, and never
+    the cross product.
+    """
+    if threshold < 2 / 3:
+        raise ValueError("the gram join is lossless only for thresholds of two thirds and more")
+    index = index_names(cands) if index is None else index
+    plan = _budgets(queries, index, threshold)
+    pairs = _by_spelling(plan.where("few"), index).unionByName(_by_grams(plan.where("not few"), index)).distinct()
     # cheap exact bound before Python: common characters as multisets
-    return pairs.where(2 * _common_chars("norm", "cand") > threshold * (la + lc)).select("norm", "cand")
+    return pairs.where(2 * _common_chars("norm", "cand") > threshold * (F.col("la") + F.col("lc"))).select("norm", "cand")
 
 
 def _common_chars(a: str, b: str) -> Column:

@@ -59,6 +59,22 @@ def test_fuzzy_equals_brute_force(spark, threshold):
     assert got == want
 
 
+def test_numbered_names_meet_only_their_like(spark):
+    # digits in another order are the same letters, but no long enough common subsequence
+    cands = frame(spark, [(f"supplier#{k:09d}", k) for k in range(130)], "norm string, id long")
+    got = D.blocked_pairs(frame(spark, [(f"aka supplier#{k:09d}",) for k in range(100, 130)], "norm string"), cands, 0.85)
+    assert sorted(map(tuple, got.collect())) == [(f"aka supplier#{k:09d}", f"supplier#{k:09d}") for k in range(100, 130)]
+
+
+def test_long_names_and_letters_outside_the_basic_plane(spark):
+    base = ["the quick brown fox jumps over it", "\U0001f94a\U0001f94b boxing night of the year two", "the quick brown fox jumped over us"]
+    qs = ["teh quick brown fox jumps ovr it", "\U0001f94b\U0001f94a boxing night of the yeer two", "zz the quick brown fox jumped over us", "nobody at all"]
+    got = {r["norm"]: (r["id"], r["ratio"]) for r in D.fuzzy_tier(
+        frame(spark, [(q,) for q in qs], "norm string"), frame(spark, list(zip(base, range(3))), "norm string, id long")).collect()}
+    best = {q: max((SequenceMatcher(None, q, c).ratio(), -i) for i, c in enumerate(base)) for q in qs}
+    assert got == {q: (-i, r) for q, (r, i) in best.items() if r > 0.85} and len(got) == 3
+
+
 def test_fuzzy_refuses_lossy_threshold(spark):
     with pytest.raises(ValueError):
         D.fuzzy_tier(frame(spark, [("a",)], "norm string"), frame(spark, [("b", 1)], "norm string, id long"), 0.5)
