@@ -396,3 +396,12 @@ def test_pooling_does_not_gather_a_type_in_one_task(spark):
         assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_contest_means_with_one_cost_a_contest_need_no_contest_partials(spark):
+    rows = [("a" if i % 3 else "b", i % 7, None if i % 5 == 0 else float(i), float(i % 7)) for i in range(60)]
+    d = spark.createDataFrame(rows, "g string, contest_id long, payout double, fee double")
+    two, one = (R.contest_mean_roi(d, ["g"], cost="fee", extra=[F.sum("payout").alias("paid")], same_cost=s) for s in (False, True))
+    got, want = ({r["g"]: tuple(r)[1:] for r in x.collect()} for x in (one, two))
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+    assert one._jdf.queryExecution().executedPlan().toString().count("contest_id") < two._jdf.queryExecution().executedPlan().toString().count("contest_id")
