@@ -276,3 +276,44 @@ def test_residuals_of_repeated_and_unlisted_members(spark):
     got = X.residuals(sets, known, stats)
     assert [tuple(r) for r in got.collect()] == [(1, 1, "a", 10, 0, 100 - 22, 100 - 4, 100 - 4, X.CAP - 22)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # members do not meet their rows in a join of its own
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    import pathlib
+
+    from ledgerfold.session import materialize
+
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {p.name for d in folders for p in pathlib.Path(d).rglob("shuffle_*")}
+    before = files()
+    written = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert not files() - before
+    assert sorted(r["count"] for r in written.collect()) == [142] + [143] * 6
+    read = written.groupBy("count").agg(F.count("k").alias("n"))
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, read.collect())) == [(142, 1), (143, 6)]  # what is not written may run twice
+
+
+def test_fixes_are_written_step_by_step_and_known_members_meet_candidates_once(spark, tmp_path):
+    import datetime
+
+    from ledgerfold.plans import people
+    from ledgerfold.plans.registry import Tables
+
+    day = datetime.datetime(2001, 2, 3)
+    frame(spark, [(k, 1, "F", 10.0, day, "5-LOW") for k in (3, 4, 5)],
+          "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(3, 11, 1), (3, 12, 2), (4, 11, 1), (4, 12, 2), (4, 16, 3), (5, 17, 1)]
+    frame(spark, lines, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    _, (out, added), _ = people.repaired(Tables(spark, str(tmp_path)))
+    assert {(r["set_id"], r["new_key"]) for r in out.collect()} == {(3, "11:12"), (4, "11:12:16"), (5, "17")}
+    assert sorted(tuple(r) for r in added.collect()) == [(3, 1, 12), (4, 1, 12), (4, 2, 16)]
+    assert "FlatMapCoGroups" not in out._jdf.queryExecution().toString()
+
+    sets, known, pool, res = tables(spark)
+    plan = X.two_missing(res, known, pool)._jdf.queryExecution()
+    assert "LeftAnti" not in plan.optimizedPlan().toString()
+    # a known member, and one that is not named, in either column
+    cand = frame(spark, [(1, 7, 8), (1, 8, 9), (1, 9, None), (2, 7, 8), (None, 7, 7)], "set_id long, a long, b long")
+    held = frame(spark, [(1, 7), (1, None), (None, 7), (2, 9)], "set_id long, member long")
+    kept = X._without_known(cand, held, ("a", "b")).collect()
+    assert {tuple(r) for r in kept} == {(1, 8, 9), (1, 9, None), (2, 7, 8), (None, 7, 7)}
