@@ -30,16 +30,24 @@ def entity_dim(canonical: DataFrame | None, members: DataFrame) -> DataFrame:
         F.min("full_name").alias("canonical_name"), F.lit(None).cast("string").alias("weight_class"))
 
 
-def snapshot_fact(members: DataFrame, sections: DataFrame, canonical: DataFrame) -> DataFrame:
-    """One row per (date, entity): the largest contest's row, smallest id on ties."""
-    one = W.keep_first(members.select("date_id", "player_id", "full_name", "salary", "ownership", "actual_points", "contest_size", "contest_id",
-                                      "close_prob"), ["date_id", "player_id"], ["-contest_size", "contest_id"])
+SNAPSHOT = ("full_name", "salary", "ownership", "actual_points", "contest_size", "contest_id", "close_prob")
+
+
+def snapshot_fact(members: DataFrame, sections: DataFrame, canonical: DataFrame, last: str = SNAPSHOT[-1]) -> DataFrame:
+    """One row per (date, entity): the largest contest's row, smallest id on ties.
+
+    Rows that still tie are told apart by the columns in the order of SNAPSHOT, so
+    a leading part of them, up to ``last``, is the same with or without the others.
+    """
+    keys, order = ["date_id", "player_id"], ["-contest_size", "contest_id"]
+    one = W.keep_first(members, keys, order, SNAPSHOT[:SNAPSHOT.index(last) + 1])
     names = canonical.groupBy("canonical_name").agg(F.min("canonical_id").alias("canonical_id"))
     s = F.col("salary")
     tier = F.when(s >= 10000, "$10K+").when(s >= 9000, "$9K-$10K").when(s >= 8000, "$8K-$9K").when(s >= 7000, "$7K-$8K").when(
         s >= 6000, "$6K-$7K").otherwise("Under $6K")
-    return (one.join(names, one.full_name == names.canonical_name, "left").drop("canonical_name")
-            .join(sections, ["date_id", "player_id"], "left").withColumn("salary_tier", tier))
+    # sections first: the rows still lie by (date, entity)
+    return (one.join(sections, keys, "left").join(names, F.col("full_name") == F.col("canonical_name"), "left").drop("canonical_name")
+            .withColumn("salary_tier", tier))
 
 
 def with_canonical(fact: DataFrame, canonical: DataFrame, name: str) -> DataFrame:

@@ -12,7 +12,8 @@ from ledgerfold.plans.features import rounded
 from ledgerfold.plans.markets import QUOTES, raw
 from ledgerfold.plans.people import EXPO, signals
 from ledgerfold.plans.registry import query, r6
-from ledgerfold.session import scratch_dir
+from ledgerfold.plans.roles import players_table
+from ledgerfold.session import materialize, scratch_dir
 from ledgerfold.sources import tables as T
 from ledgerfold.streaming import quotes as Q
 
@@ -22,8 +23,8 @@ EVENTS_SQL = """
 """
 
 
-def event_dim(t):
-    return R.event_dim(t.contests, t.players)
+def event_dim(t, members=None):
+    return R.event_dim(t.contests, t.players if members is None else members)
 
 
 @query("R01_event_dimension", EVENTS_SQL + "SELECT date_id, event_date, n_contests, n_members FROM evd")
@@ -53,12 +54,13 @@ snap AS (SELECT one.*, cn.canonical_id, CASE WHEN pos = 1 THEN 'main_event' WHEN
 """
 
 
-def snapshot(t):
-    best = t.players.groupBy("date_id", "player_id").agg(F.max("salary").alias("s"))
+def snapshot(t, members=None, **kw):
+    members = t.players if members is None else members
+    best = members.groupBy("date_id", "player_id").agg(F.max("salary").alias("s"))
     sections = W.position_in_group(best, ["date_id"], ["-s", "player_id"], name="pos", labels=P.CARD_SECTIONS, default=P.CARD_DEFAULT,
                                    label_name="card_section").select("date_id", "player_id", "card_section")
     canon = t.part.select(F.col("p_partkey").alias("canonical_id"), F.col("p_name").alias("canonical_name"))
-    return R.snapshot_fact(t.players, sections, canon)
+    return R.snapshot_fact(members, sections, canon, **kw)
 
 
 @query("R02_snapshot_fact", SNAP + """
@@ -75,9 +77,9 @@ def _(t):
     return R.with_canonical(signals(t), canon, "brand").select("date_id", "brand", "canonical_id", r6("delta").alias("delta"))
 
 
-def predictions(t):
+def predictions(t, members=None):
     """Share predicted from price for every (date, entity)."""
-    return t.players.groupBy("date_id", "player_id").agg((F.avg("close_prob") * 35).alias("predicted"))
+    return (t.players if members is None else members).groupBy("date_id", "player_id").agg((F.avg("close_prob") * 35).alias("predicted"))
 
 
 @query("R04_performance_view", EXPO + SNAP + EVENTS_SQL + """
@@ -85,8 +87,12 @@ def predictions(t):
 SELECT player_id, event_date, s.salary, card_section, round(predicted, 6) AS predicted, round(sp - fp, 6) + 0.0::DOUBLE AS delta
 FROM snap s JOIN evd USING (date_id) LEFT JOIN prd USING (date_id, player_id) LEFT JOIN sig USING (date_id, brand)""")
 def _(t):
-    snap = snapshot(t).join(t.part.select(F.col("p_partkey").alias("player_id"), F.col("p_brand").alias("brand")), "player_id")
-    v = R.performance_view(snap, event_dim(t), predictions(t), signals(t))
+    # members, signals and snapshot are written once each; what was shuffled for them is gone before the next step
+    members = players_table(t, "date_id", "player_id", "contest_id", "user_id", "full_name", "brand", "salary", "contest_size", "close_prob")
+    seen = materialize(signals(t, members), "signals")
+    snap = materialize(snapshot(t, members, last="salary"), "snapshot")
+    snap = snap.join(t.part.select(F.col("p_partkey").alias("player_id"), F.col("p_brand").alias("brand")), "player_id")
+    v = R.performance_view(snap, event_dim(t, members), predictions(t, members), seen)
     return v.select("player_id", F.col("event_date").cast("string").alias("event_date"), "salary", "card_section", r6("predicted").alias("predicted"), r6("delta").alias("delta"))
 
 
