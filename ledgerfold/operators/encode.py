@@ -10,6 +10,7 @@ from ledgerfold import presets as P
 from ledgerfold.functions import bands as B, scalars as S
 from ledgerfold.operators import ordered as O, returns as R, windows as W
 from ledgerfold.operators.ordered import attach_row
+from ledgerfold.session import discard, materialize
 
 
 class LeakageError(ValueError):
@@ -91,24 +92,32 @@ def ownership_features(players: DataFrame) -> DataFrame:
 
     History is computed on the (member, date) panel and joined back, so a row
     sees only earlier dates.  Prices are blanked on low-coverage dates.
+
+    The card is numbered on the panel itself.  Ranks and sizes of a contest are
+    joined by (contest, salary), one narrow row each, before they meet the rows.
+    Each step is written, so what it shuffled is gone when the next one begins;
+    the result does not read ``players`` again.
     """
     assert_no_leakage(FEATURES)
     panel = players.groupBy("player_id", "date_id").agg(F.avg("ownership").alias("own"), F.min("contest_date").alias("_ts"),
                                                         F.max("salary").alias("_sal"))
     w = W.timeline(["player_id"], "date_id")
-    hist = W.expanding(W.rolling(W.lags(panel, ["own"], [1, 2], w), ["own"], [3], w), ["own"], w)
-    hist = W.recency(hist, "_ts", w).select(
+    card = W.position_in_group(panel, ["date_id"], ["-_sal", "player_id"], name="card_position", labels=P.CARD_SECTIONS, default=P.CARD_DEFAULT,
+                               label_name="card_section")
+    hist = W.expanding(W.rolling(W.lags(card, ["own"], [1, 2], w), ["own"], [3], w), ["own"], w)
+    hist = materialize(W.recency(hist, "_ts", w).select(
         "player_id", "date_id", F.col("own_lag1").alias("ownership_lag1"), F.col("own_lag2").alias("ownership_lag2"),
         F.col("own_roll3_mean").alias("ownership_roll3"), F.col("own_exp_mean").alias("historical_avg_ownership"),
-        "days_since_last", F.col("n_prior").cast("int").alias("n_prior"))
-    card = W.position_in_group(panel.select("date_id", "player_id", "_sal"), ["date_id"], ["-_sal", "player_id"],
-                               name="card_position", labels=P.CARD_SECTIONS, default=P.CARD_DEFAULT,
-                               label_name="card_section").select("player_id", "date_id", "card_section", "card_position")
+        "days_since_last", F.col("n_prior").cast("int").alias("n_prior"), "card_section", "card_position"), "history")
     size = players.groupBy("contest_id").agg(F.count(F.lit(1)).alias("num_on_slate"))
     gate = F.col("is_high_quality") == 1
-    base = O.ranks(players, ["contest_id"], "salary", name="salary_rank_overall", descending=True)
-    out = (base.join(hist.join(card, ["player_id", "date_id"]), ["player_id", "date_id"])
-           .join(size, "contest_id").join(price_quality(players), "date_id"))
+    ranks = O.ranks(players.select("contest_id", "salary"), ["contest_id"], "salary", name="salary_rank_overall", descending=True).distinct()
+    slate = materialize(ranks.join(size, "contest_id"), "slate")
+    rows = players.select("player_id", "contest_id", "date_id", "salary", "ownership", "close_prob", "contest_size", "entry_fee")
+    base = materialize(O._join_by(rows, slate, ["contest_id", "salary"], "inner"), "ranked")
+    discard(slate)
+    quality = materialize(price_quality(players), "quality")  # one row a date: known to be small before the rows are dealt out
+    out = base.join(hist, ["player_id", "date_id"]).join(quality, "date_id")
     return out.withColumns({
         "salary_pct": F.col("salary") / P.SALARY_CAP, "salary_tier": B.apply_band("salary", P.SALARY_TIER),
         "entry_cost": F.col("entry_fee"), "log_field_size": F.log1p("contest_size"), "consensus_prob": F.when(gate, F.col("close_prob")),

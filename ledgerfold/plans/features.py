@@ -9,6 +9,8 @@ from ledgerfold.functions import bands as B, scalars as S
 from ledgerfold.operators import encode as N, ordered as O, returns as R, windows as W
 from ledgerfold.plans.registry import query, r6
 from ledgerfold.plans.returns import case_sql
+from ledgerfold.plans.roles import players_table
+from ledgerfold.session import discard
 
 PANEL = """
 , pan AS (SELECT player_id, date_id, avg(ownership) AS own, avg(actual_points) AS pts, min(contest_date) AS ts
@@ -257,7 +259,9 @@ SELECT player_id, contest_id, date_id, salary, pos AS card_position, contest_siz
   round(ownership, 6) AS target
 FROM players JOIN q USING (date_id) JOIN h USING (player_id, date_id) JOIN cp USING (player_id, date_id)""")
 def ownership_features(t):
-    f = N.ownership_features(t.players)
+    members = players_table(t, "player_id", "contest_id", "date_id", "contest_date", "salary", "ownership", "close_prob", "open_prob", "contest_size", "entry_fee")
+    f = N.ownership_features(members)
+    discard(members)
     return f.select("player_id", "contest_id", "date_id", "salary", "card_position", "contest_size", "entry_cost", r6("salary_pct").alias("salary_pct"), "salary_rank_overall",
                     "salary_tier", "card_section", *[r6(c).alias(c) for c in (
                         "ownership_lag1", "ownership_lag2", "ownership_roll3", "historical_avg_ownership")],

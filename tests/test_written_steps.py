@@ -70,3 +70,20 @@ def test_a_leading_part_of_the_snapshot_is_the_same(spark):
     columns = ("date_id", "player_id", "full_name", "salary", "canonical_id", "card_section", "salary_tier")
     assert rows(whole, *columns) == rows(part, *columns) and "ownership" not in part.columns
     assert [r["full_name"] for r in whole.orderBy("player_id").collect()] == ["m", None]
+
+
+def test_ownership_features_leave_the_players(spark, folder):
+    """The result reads its own steps only, and equals windows over the small tables."""
+    made = __spark_entry__.queries()["C01_ownership_features"](spark, folder)
+    assert "l_extendedprice" not in made._jdf.queryExecution().analyzed().toString()
+    got = made.toPandas()
+    p = Tables(spark, folder).players.toPandas()
+    p = p[p["contest_id"].isin(got["contest_id"]) & p["date_id"].notna()]
+    assert len(got) == len(p)
+    size, rank = p.groupby("contest_id").size(), p.groupby("contest_id")["salary"].rank(method="min", ascending=False)
+    want = sorted(zip(p["player_id"], p["contest_id"], p["date_id"], rank.astype(int), p["contest_id"].map(size)))
+    assert sorted(zip(got["player_id"], got["contest_id"], got["date_id"], got["salary_rank_overall"], got["num_on_slate"])) == want
+    panel = p.groupby(["date_id", "player_id"])["salary"].max().reset_index().sort_values(["date_id", "salary", "player_id"], ascending=[True, False, True])
+    panel["position"] = panel.groupby("date_id").cumcount() + 1
+    place = panel.set_index(["date_id", "player_id"])["position"]
+    assert all(place[(d, m)] == k for d, m, k in zip(got["date_id"], got["player_id"], got["card_position"]))
